@@ -87,5 +87,11 @@ def slash_order(cell: Column) -> Column:
 
 
 def to_json_value(cell: Column) -> Column:
-    """The parsed value (VARIANT), NULL when the text is no JSON."""
-    return F.try_parse_json(cell)
+    """The parsed value (VARIANT), NULL when the whole text is not one JSON value.
+
+    The parser stops after the first value, so the text is also read as a member and as an element:
+    what follows a value cannot close both.
+    """
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), cell, F.lit("}")))
+    element = F.try_parse_json(F.concat(F.lit("["), cell, F.lit("]")))
+    return F.when(element.isNotNull(), F.try_variant_get(member, "$.v", "variant"))

@@ -271,8 +271,8 @@ def seed_scan(texts: DataFrame, text_id: str, text: str, needles: DataFrame) ->
     opening = anchored.select("gram").distinct()
 
     def grams(size: int) -> Column:
-        last = F.greatest(F.length("_low") - (size - 1), F.lit(1))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring("_low", i, F.lit(size))))
+        # a look-ahead matches at every position, in one pass over the text
+        return F.array_distinct(F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
     listed = low.select(text_id, F.explode(grams(MIN_TOKEN)).alias("gram"))
     short = needles.where(F.length("needle") < MIN_TOKEN)
@@ -349,10 +349,12 @@ def shape_duplicates(
         .withColumn("_r", F.row_number().over(rare))
         .where(F.col("_r") <= F.col("n") - F.floor(F.col("n") * percent / 100))
     )
-    left = prefix.select("attr", F.col("shape").alias("a"), F.col("n").alias("na"))
-    right = prefix.select("attr", F.col("shape").alias("b"), F.col("n").alias("nb"))
-    sized = (F.least("na", "nb") * 100 > F.greatest("na", "nb") * percent) & (F.col("a") < F.col("b"))
-    candidates = left.join(right, "attr").where(sized).select("a", "b", "na", "nb").distinct()
+    left = prefix.select("attr", F.col("shape").alias("a"), F.col("n").alias("na"), F.col("_r").alias("ra"))
+    right = prefix.select("attr", F.col("shape").alias("b"), F.col("n").alias("nb"), F.col("_r").alias("rb"))
+    # a pair alike meets on its first shared attribute, after which this many more can be shared
+    most = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
+    possible = (F.col("a") < F.col("b")) & (most * 100 > (F.col("na") + F.col("nb") - most) * percent)
+    candidates = left.join(right, "attr").where(possible).select("a", "b", "na", "nb").distinct()
     shared = (
         candidates.join(held.select(F.col("shape").alias("a"), "attr"), "a")
         .join(held.select(F.col("shape").alias("b"), "attr"), ["b", "attr"])

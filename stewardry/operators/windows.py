@@ -136,7 +136,8 @@ def incidents(
     order = [ts, *tie]
     rows = signals.withColumn(CHUNK, F.to_date(ts))
     near = with_previous(rows, keys, order, None, [ts], "_before")
-    quiet = F.unix_micros(ts) - F.unix_micros(F.col("_before")[ts])
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    quiet = micros(F.col(ts)) - micros(F.col("_before")[ts])
     opens = F.when(F.col("_before").isNull() | (quiet > gap_seconds * 1_000_000), 1).otherwise(0)
     numbered = running_total(near, keys, order, None, opens, "incident")
     return numbered.drop("_before", CHUNK)

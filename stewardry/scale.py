@@ -69,7 +69,7 @@ def ranked(
     keys = list(keys)
     rows = _chunked(df, chunk)
     local = rows.withColumn(
-        "_pos", F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order))
+        "_at", F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order))
     )
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -79,8 +79,8 @@ def ranked(
     )
     return (
         local.join(offsets, [*keys, CHUNK])
-        .withColumn(out, (F.col("_pos") + F.col("_base")).cast("bigint"))
-        .drop("_pos", "_base", *_made(df))
+        .withColumn(out, (F.col("_at") + F.col("_base")).cast("bigint"))
+        .drop("_at", "_base", *_made(df))
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stewardry.functions.coerce import to_json_value
 from stewardry.sources.delimited import _lines
 
 
@@ -15,7 +16,7 @@ def explode_documents(df: DataFrame, document: str, keep: list[str]) -> DataFram
     A document that does not parse, is no object, or whose ``spec.data`` is no list gives no rows;
     rows that are no objects are skipped.
     """
-    parsed = F.try_parse_json(document)
+    parsed = to_json_value(F.col(document))
     kind_of = lambda v: F.schema_of_variant(v)
     many = F.when(kind_of(parsed).startswith("ARRAY"), F.try_variant_get(parsed, "$", "array<variant>"))
     one = F.when(kind_of(parsed).startswith("OBJECT"), F.array(parsed))
