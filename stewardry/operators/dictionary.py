@@ -244,21 +244,22 @@ def missing_inverses(entities: DataFrame, relationships: DataFrame) -> DataFrame
         & (F.col("kind") != F.col("peer"))
         & F.col("identifier").isNotNull()
     ).select("kind", "name", "identifier", "peer").distinct()
-    lineage = (
-        entities.select("kind", F.explode(F.array_append(F.coalesce("inherit_from", F.array().cast("array<string>")), F.col("kind"))).alias("base"))
-        .distinct()
+    bases = F.array_append(F.coalesce("inherit_from", F.array().cast("array<string>")), F.col("kind"))
+    lineage = entities.select("kind", F.explode(bases).alias("base")).distinct()
+    # each forward relation lists the few places its inverse may connect, then looks them up
+    source = lineage.select("kind", F.col("base").alias("to_kind"))
+    holder = lineage.select(F.col("kind").alias("peer"), F.col("base").alias("on_kind"))
+    places = forward.join(source, "kind", "left").join(holder, "peer", "left").select(
+        "kind", "name", "identifier", "peer",
+        F.coalesce("to_kind", "kind").alias("to_kind"),
+        F.coalesce("on_kind", "peer").alias("on_kind"),
     )
-    # every (peer or its generic) x (source or its generic) a declared inverse could connect
     declared = relationships.where(~F.col("rel_kind").isin("Parent", "Component")).select(
-        F.col("identifier"), F.col("kind").alias("on_kind"), F.col("peer").alias("to_kind")
+        "identifier", F.col("kind").alias("on_kind"), F.col("peer").alias("to_kind")
     ).distinct()
-    on_peer = declared.join(
-        lineage.select(F.col("base").alias("on_kind"), F.col("kind").alias("peer")), "on_kind"
-    )
-    inverse = on_peer.join(
-        lineage.select(F.col("base").alias("to_kind"), F.col("kind").alias("source")), "to_kind"
-    ).select("identifier", "peer", F.col("source").alias("kind")).distinct()
-    return forward.join(inverse, ["identifier", "peer", "kind"], "left_anti")
+    paired = places.join(declared, ["identifier", "on_kind", "to_kind"], "left_semi")
+    keys = ["kind", "name", "identifier", "peer"]
+    return forward.join(paired.select(*keys).distinct(), keys, "left_anti")
 
 
 def unused_flags(flags: DataFrame, uses: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from stewardry.plans import (  # noqa: F401
     correlation,
+    dictionaries,
+    imports,
     policies,
     texts,
     triage,

@@ -503,10 +503,10 @@ def bounded_tokens(t: Tables):
 
 @query(
     "M2_numbers_in_documents",
-    """SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^0-9])10([^0-9]|$)')""",
+    """SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^0-9])555([^0-9]|$)')""",
 )
 def numbers_in_documents(t: Tables):
-    return t.documents.where(corpus.has_number(F.col("text"), "10")).select("doc_id")
+    return t.documents.where(corpus.has_number(F.col("text"), "555")).select("doc_id")
 
 
 FENCED = "CASE WHEN doc_id % 3 = 0 THEN '```' || chr(10) || text ELSE text END"

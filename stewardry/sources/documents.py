@@ -97,20 +97,22 @@ LOG_LINE = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?)Z?\s+(?:\[?([A
 
 
 def read_log_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """All lines of ``logs/<service>/<replica>[.previous].log`` with service, replica and time.
+    """All lines of ``logs/<service>/<replica>[.previous].log`` with service, replica and time."""
+    return read_log_lines(spark, f"{path.rstrip('/')}/logs/*/*.log", LOG_PATH)
 
-    Every service is read, never a sample. A line without a time keeps NULL there.
-    """
-    lines = _lines(spark, [f"{path.rstrip('/')}/logs/*/*.log"])
+
+def read_log_lines(spark: SparkSession, files: str, layout: str) -> DataFrame:
+    """Log lines of all files, never a sample; ``layout`` takes service, replica and the mark of a
+    previous log out of the path. A line without a time keeps NULL there."""
+    lines = _lines(spark, [files])
+    level = F.regexp_extract("value", LOG_LINE, 2)
     return lines.select(
-        F.regexp_extract("_path", LOG_PATH, 1).alias("service"),
-        F.regexp_extract("_path", LOG_PATH, 2).alias("replica"),
-        F.col("_path").endswith(".previous.log").alias("is_previous"),
+        F.regexp_extract("_path", layout, 1).alias("service"),
+        F.regexp_extract("_path", layout, 2).alias("replica"),
+        (F.regexp_extract("_path", layout, 3) != "").alias("is_previous"),
         F.col("_line").cast("bigint").alias("line_no"),
-        F.try_to_timestamp(
-            F.translate(F.regexp_extract("value", LOG_LINE, 1), "T,", " .")
-        ).alias("ts"),
-        F.when(F.regexp_extract("value", LOG_LINE, 2) != "", F.regexp_extract("value", LOG_LINE, 2)).alias("level"),
+        F.try_to_timestamp(F.translate(F.regexp_extract("value", LOG_LINE, 1), "T,", " .")).alias("ts"),
+        F.when(level != "", level).alias("level"),
         F.when(F.col("value").rlike(LOG_LINE), F.regexp_extract("value", LOG_LINE, 3))
         .otherwise(F.col("value"))
         .alias("msg"),
