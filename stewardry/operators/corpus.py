@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stewardry.functions.text import normalised
+from stewardry.scale import cut
 
 
 @dataclass(frozen=True)
@@ -319,17 +320,25 @@ def known_issue_scores(
     )
 
 
+SMALL_SHAPE = 16
+
+
 def shape_duplicates(
     members: DataFrame, node: str, attribute: str, *, percent: int = 70, min_nodes: int = 3
 ) -> DataFrame:
     """Shapes (sets of attributes) with at least ``min_nodes`` nodes of like shape around them.
 
-    Alike means a Jaccard overlap above ``percent``. Nodes of equal shape are folded into one row
-    first, so a group of copies never meets itself. Shapes then meet on their rarest attributes only
-    (any two alike share one of the first ``n - floor(percent n / 100)``), and each candidate pair
-    is verified on all attributes.
+    Alike means a Jaccard overlap above ``percent`` (50 at least). Nodes of equal shape are folded
+    into one row first, so a group of copies never meets itself. Different shapes meet on their
+    rarest attributes only: two alike share at least ``k = floor(n percent / 100) + 1`` attributes,
+    so they share two of each one's ``n - k + 2`` rarest. Small shapes meet on such pairs; shapes
+    above ``SMALL_SHAPE`` attributes on single attributes among the ``n - k + 1`` rarest, which are
+    selective enough there. Every candidate pair is then verified on all attributes.
     """
-    pairs = members.select(node, attribute).distinct()
+    if percent < 50:
+        raise ValueError("below 50 percent a single shared attribute could be enough")
+    # what several steps below read is written once instead of being derived again for each
+    pairs = cut(members.select(node, attribute).distinct(), "pairs")
     code = F.xxhash64(attribute)
     mark = F.xxhash64(F.lit("second"), F.col(attribute))
     shapes = (
@@ -339,28 +348,61 @@ def shape_duplicates(
         .agg(F.min(node).alias("shape"), F.count("*").alias("n_nodes"))
         .select("shape", "n", "n_nodes")
     )
-    held = pairs.join(shapes.select(F.col("shape").alias(node), "n"), node).select(
-        F.col(node).alias("shape"), "n", F.col(attribute).alias("attr")
+    shapes = cut(shapes, "shapes")
+    held = cut(
+        pairs.join(shapes.select(F.col("shape").alias(node), "n"), node).select(
+            F.col(node).alias("shape"), "n", F.col(attribute).alias("attr")
+        ),
+        "held",
     )
     frequency = held.groupBy("attr").agg(F.count("*").alias("freq"))
     rare = Window.partitionBy("shape").orderBy("freq", "attr")
-    prefix = (
-        held.join(frequency, "attr")
+    prefix = cut(
+        held.where(F.col("n") > 1)
+        .join(frequency, "attr")
         .withColumn("_r", F.row_number().over(rare))
-        .where(F.col("_r") <= F.col("n") - F.floor(F.col("n") * percent / 100))
+        .where(F.col("_r") <= F.col("n") - F.floor(F.col("n") * percent / 100) + 1),
+        "prefix",
+    )
+    token = F.struct(F.col("_r").alias("r"), F.col("attr").alias("t"))
+    listed = (
+        prefix.where(F.col("n") <= SMALL_SHAPE)
+        .groupBy("shape", "n")
+        .agg(F.sort_array(F.collect_list(token)).alias("_l"))
+    )
+    twos = F.flatten(
+        F.transform(
+            "_l",
+            lambda x: F.transform(
+                F.filter("_l", lambda y: y["r"] > x["r"]),
+                lambda y: F.struct(x["t"].alias("t1"), y["t"].alias("t2"), y["r"].alias("r")),
+            ),
+        )
     )
-    left = prefix.select("attr", F.col("shape").alias("a"), F.col("n").alias("na"), F.col("_r").alias("ra"))
-    right = prefix.select("attr", F.col("shape").alias("b"), F.col("n").alias("nb"), F.col("_r").alias("rb"))
-    # a pair alike meets on its first shared attribute, after which this many more can be shared
-    most = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
-    possible = (F.col("a") < F.col("b")) & (most * 100 > (F.col("na") + F.col("nb") - most) * percent)
-    candidates = left.join(right, "attr").where(possible).select("a", "b", "na", "nb").distinct()
-    shared = (
+    small = listed.select("shape", "n", F.explode(twos).alias("_k")).select("shape", "n", "_k.*")
+    # small shapes close to the border also list single attributes, for their larger partners
+    single = prefix.where(
+        (F.col("n") * 100 > F.lit(SMALL_SHAPE * percent))
+        & (F.col("_r") <= F.col("n") - F.floor(F.col("n") * percent / 100))
+    ).select("shape", "n", F.col("attr").alias("t1"), F.col("_r").alias("r"))
+
+    def meet(index: DataFrame, keys: list[str], shared: int) -> DataFrame:
+        left = index.select(*keys, F.col("shape").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
+        right = index.select(*keys, F.col("shape").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+        # a pair alike meets on its first shared attributes, after which this many can follow
+        most = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + shared
+        possible = (F.col("a") < F.col("b")) & (most * 100 > (F.col("na") + F.col("nb") - most) * percent)
+        return left.join(right, keys).where(possible).select("a", "b", "na", "nb")
+
+    large = meet(single, ["t1"], 1).where(F.greatest("na", "nb") > SMALL_SHAPE)
+    candidates = meet(small, ["t1", "t2"], 2).unionByName(large).distinct()
+    shared = cut(
         candidates.join(held.select(F.col("shape").alias("a"), "attr"), "a")
         .join(held.select(F.col("shape").alias("b"), "attr"), ["b", "attr"])
         .groupBy("a", "b", "na", "nb")
         .agg(F.count("*").alias("o"))
-        .where(F.col("o") * 100 > (F.col("na") + F.col("nb") - F.col("o")) * percent)
+        .where(F.col("o") * 100 > (F.col("na") + F.col("nb") - F.col("o")) * percent),
+        "alike",
     )
     both = shared.select(F.col("a").alias("shape"), F.col("b").alias("other")).unionByName(
         shared.select(F.col("b").alias("shape"), F.col("a").alias("other"))
