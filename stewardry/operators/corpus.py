@@ -262,31 +262,50 @@ def seed_needles(seeds: DataFrame, seed: str, *, stop: Sequence[str] = GENERIC_T
 def seed_scan(texts: DataFrame, text_id: str, text: str, needles: DataFrame) -> DataFrame:
     """Every ``(text_id, needle)`` where the normalised text contains the needle.
 
-    Needles are found by their first five characters: texts list their distinct five-letter grams,
-    an equi-join keeps the grams that open a needle, and only such candidates are compared in full.
-    So neither side has to fit in memory and no text meets a needle it cannot hold. Needles shorter
-    than a gram are matched by their own length.
+    A run of letters and digits inside a needle lies inside one word of the text. So each needle is
+    looked up by its longest run: first among the distinct words of the whole corpus, by the
+    five-letter grams of those words, then through the ``(text, word)`` pairs. A needle that is one
+    run is thereby found; any other is compared with its few candidate texts in full. Needles whose
+    longest run is shorter than a gram go through the grams of the texts themselves.
     """
     low = texts.select(text_id, normalised(F.col(text)).alias("_low"))
-    anchored = needles.select("needle", F.left("needle", F.lit(MIN_TOKEN)).alias("gram"))
-    opening = anchored.select("gram").distinct()
-
-    def grams(size: int) -> Column:
-        # a look-ahead matches at every position, in one pass over the text
-        return F.array_distinct(F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-
-    listed = low.select(text_id, F.explode(grams(MIN_TOKEN)).alias("gram"))
-    short = needles.where(F.length("needle") < MIN_TOKEN)
-    hits = listed.join(opening, "gram", "left_semi").join(
-        anchored.where(F.length("needle") >= MIN_TOKEN), "gram"
-    ).select(text_id, "needle")
-    starts = low.select(
-        text_id,
-        F.explode(F.flatten(F.array(*[grams(n) for n in range(1, MIN_TOKEN)]))).alias("needle"),
+    runs = F.filter(F.split("needle", "[^a-z0-9]+"), lambda x: F.length(x) >= MIN_TOKEN)
+    longest = F.array_max(F.transform(runs, lambda x: F.struct(F.length(x).alias("n"), x.alias("run"))))
+    anchored = needles.select("needle", longest["run"].alias("run"))
+    known = anchored.where(F.col("run").isNotNull())
+
+    listed = low.select(text_id, F.explode(F.array_distinct(F.split("_low", "[^a-z0-9]+"))).alias("word")).where(
+        F.length("word") >= MIN_TOKEN
+    )
+    vocabulary = listed.select("word").distinct()
+    opening = known.select("run", F.left("run", F.lit(MIN_TOKEN)).alias("gram")).distinct()
+    words = (
+        vocabulary.select("word", F.explode(_grams("word", MIN_TOKEN)).alias("gram"))
+        .join(opening, "gram")
+        .where(F.contains("word", "run"))
+        .select("word", "run")
     )
-    exact = starts.join(short, "needle", "left_semi").distinct()
-    verified = hits.join(low, text_id).where(F.contains("_low", "needle")).select(text_id, "needle")
-    return verified.unionByName(exact.select(text_id, "needle"))
+    hits = listed.join(words, "word").select(text_id, "run").distinct().join(known, "run")
+    alone = F.col("needle") == F.col("run")
+    found = hits.where(alone).select(text_id, "needle").unionByName(
+        hits.where(~alone).join(low, text_id).where(F.contains("_low", "needle")).select(text_id, "needle")
+    )
+    rest = anchored.where(F.col("run").isNull()).select("needle")
+    return found if rest.isEmpty() else found.unionByName(_scan_by_grams(low, text_id, rest))
+
+
+def _grams(column: str, size: int) -> Column:
+    """The distinct substrings of a length; a look-ahead matches at every position in one pass."""
+    return F.array_distinct(F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _scan_by_grams(low: DataFrame, text_id: str, needles: DataFrame) -> DataFrame:
+    """Needles without a long run: found by their first characters, then compared in full."""
+    sizes = range(1, MIN_TOKEN + 1)
+    opening = needles.select("needle", F.left("needle", F.lit(MIN_TOKEN)).alias("gram"))
+    grams = low.select(text_id, F.explode(F.flatten(F.array(*[_grams("_low", n) for n in sizes]))).alias("gram"))
+    hits = grams.join(opening, "gram").select(text_id, "needle").distinct()
+    return hits.join(low, text_id).where(F.contains("_low", "needle")).select(text_id, "needle")
 
 
 def distinct_tokens(df: DataFrame, row_id: str, text: str, min_length: int) -> DataFrame:

@@ -51,24 +51,18 @@ def collapse_ranges(
             "_width",
             F.when(F.col("_digits").rlike("^0."), F.length("_digits")).otherwise(F.lit(0)),
         )
-        .withColumn("_sib", F.to_json(F.struct(F.lit(0).alias("_"), *siblings)))
     )
     numbered = split.where(F.col("_num").isNotNull() & F.col(parent).isNotNull())
-    group = [parent, "_prefix", "_width", "_sib"]
+    # siblings are grouping columns themselves: NULL equals NULL there, and all aggregates stay numeric
+    group = [parent, "_prefix", "_width", *siblings]
     distinct = (
-        numbered.groupBy(*group, "_num")
-        .agg(*[F.first(c).alias(c) for c in siblings])
-        .withColumn("_block", F.floor(F.col("_num") / RANGE_BLOCK))
+        numbered.select(*group, "_num").distinct().withColumn("_block", F.floor(F.col("_num") / RANGE_BLOCK))
     )
     within = Window.partitionBy(*group, "_block").orderBy("_num")
     pieces = (
         distinct.withColumn("_island", F.col("_num") - F.row_number().over(within))
         .groupBy(*group, "_block", "_island")
-        .agg(
-            F.min("_num").alias("_lo"),
-            F.max("_num").alias("_hi"),
-            *[F.first(c).alias(c) for c in siblings],
-        )
+        .agg(F.min("_num").alias("_lo"), F.max("_num").alias("_hi"))
         .drop("_block", "_island")
     )
     touches = (F.pmod("_lo", F.lit(RANGE_BLOCK)) == 0) | (
@@ -81,11 +75,7 @@ def collapse_ranges(
     stitched = (
         border.withColumn("_run", F.sum("_new").over(order))
         .groupBy(*group, "_run")
-        .agg(
-            F.min("_lo").alias("_lo"),
-            F.max("_hi").alias("_hi"),
-            *[F.first(c).alias(c) for c in siblings],
-        )
+        .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
         .drop("_run")
     )
     runs = pieces.where(~touches).unionByName(stitched).withColumn(
@@ -97,28 +87,24 @@ def collapse_ranges(
         padded = F.lpad(text, F.greatest(F.col("_width"), F.length(text)), F.lit("0"))
         return F.when(F.col("_width") > 0, padded).otherwise(text)
 
-    ranges = runs.where(F.col("n_rows") >= min_rows).select(
-        parent,
-        F.concat("_prefix", F.lit("["), shown(F.col("_lo")), F.lit("-"), shown(F.col("_hi")), F.lit("]")).alias(name),
-        *siblings,
-        "n_rows",
-        F.lit(True).alias("expand_range"),
+    def entry(label: Column, rows: Column, ranged: bool) -> Column:
+        return F.struct(label.alias("label"), rows.cast("bigint").alias("n"), F.lit(ranged).alias("ranged"))
+
+    folded = F.concat("_prefix", F.lit("["), shown(F.col("_lo")), F.lit("-"), shown(F.col("_hi")), F.lit("]"))
+    singles = F.transform(
+        F.sequence("_lo", "_hi"), lambda i: entry(F.concat("_prefix", shown(i)), F.lit(1), False)
     )
-    singles = (
-        runs.where(F.col("n_rows") < min_rows)
-        .withColumn("_num", F.explode(F.sequence("_lo", "_hi")))
-        .select(
-            parent,
-            F.concat("_prefix", shown(F.col("_num"))).alias(name),
-            *siblings,
-            F.lit(1).cast("bigint").alias("n_rows"),
-            F.lit(False).alias("expand_range"),
-        )
+    entries = F.when(
+        F.col("n_rows") >= min_rows, F.array(entry(folded, F.col("n_rows"), True))
+    ).otherwise(singles)
+    listed = runs.select(parent, *siblings, F.explode(entries).alias("_e")).select(
+        parent, F.col("_e.label").alias(name), *siblings, F.col("_e.n").alias("n_rows"),
+        F.col("_e.ranged").alias("expand_range"),
     )
     plain = split.where(F.col("_num").isNull() | F.col(parent).isNull()).select(
         parent, name, *siblings
     ).distinct().withColumn("n_rows", F.lit(1).cast("bigint")).withColumn("expand_range", F.lit(False))
-    return ranges.unionByName(singles).unionByName(plain)
+    return listed.unionByName(plain)
 
 
 def duplicate_names(rows: DataFrame, parent: str, name: str) -> DataFrame:

@@ -451,7 +451,7 @@ SCORES = f"""WITH d AS ({TOKENS.format(key='doc_id', table='documents')}), i AS
 
 def benchmark_scores(t: Tables):
     return corpus.known_issue_scores(
-        t.documents.select("doc_id", "text"),
+        t.texts("documents", "doc_id", "text"),
         t.benchmark,
         subject="doc_id",
         subject_text="text",

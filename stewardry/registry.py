@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stewardry.scale import spread
+
 
 class Tables:
     """Lazy access to the parquet tables of one folder: ``tables.orders`` is a DataFrame."""
@@ -18,6 +20,10 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def texts(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a table for work that is heavy per row, on all cores even from one file."""
+        return spread(self.spark.read.parquet(self.path(name)).select(*columns))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -53,6 +53,15 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan with at least one task per core, for work that is heavy per row.
+
+    Only a scan of few files is redistributed; one that already has enough tasks stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def _chunked(df: DataFrame, chunk: Column | None) -> DataFrame:
     return df if CHUNK in df.columns else df.withColumn(CHUNK, chunk)
 
