@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stewardry.contracts import violations
 from stewardry.functions.network import ip_to_long, network_of
+from stewardry.scale import block_of
 
 
 def cross_key(
@@ -153,10 +154,10 @@ def interval_overlap(
         (F.col(start) + size).cast("bigint").alias("e"),
         *carry,
     )
-    first, last = F.floor(F.col("s") / bin_width), F.floor((F.col("e") - 1) / bin_width)
+    first = block_of(F.col("s"), bin_width)
     early = rows.select(
         "bucket",
-        F.explode(F.sequence(first, last)).alias("bin"),
+        F.explode(F.sequence(first, F.col("e") - 1, F.lit(bin_width).cast("bigint"))).alias("bin"),
         *[F.col(c).alias(f"{c}_a") for c in ("id", "s", "e", *carry)],
     )
     late = rows.select(

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stewardry.scale import first_per_key, ranked
+from stewardry.scale import block_of, first_per_key, ranked
 
 
 class EmptyDesiredState(RuntimeError):
@@ -130,11 +130,11 @@ def nest_components(
 ) -> DataFrame:
     """Children as ``{kind, data[]}`` per parent, in blocks of at most ``block_size``.
 
-    A parent with more children gets further rows with a higher ``block``; loading them one after
+    ``block`` is the position of its first child, so a parent with more children gets further rows; loading them one after
     the other gives the same objects, and no task ever holds an unbounded list.
     """
     placed = ranked(children, [parent], list(order), chunk, "_pos").withColumn(
-        "block", F.floor((F.col("_pos") - 1) / block_size)
+        "block", block_of(F.col("_pos") - 1, block_size)
     )
     return (
         placed.groupBy(parent, "block")

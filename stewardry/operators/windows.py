@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stewardry.scale import CHUNK, first_per_key, ranked, running_total, with_previous
+from stewardry.scale import CHUNK, block_of, first_per_key, ranked, running_total, with_previous
 
 
 def first_wins(
@@ -56,7 +56,7 @@ def collapse_ranges(
     # siblings are grouping columns themselves: NULL equals NULL there, and all aggregates stay numeric
     group = [parent, "_prefix", "_width", *siblings]
     distinct = (
-        numbered.select(*group, "_num").distinct().withColumn("_block", F.floor(F.col("_num") / RANGE_BLOCK))
+        numbered.select(*group, "_num").distinct().withColumn("_block", block_of(F.col("_num"), RANGE_BLOCK))
     )
     within = Window.partitionBy(*group, "_block").orderBy("_num")
     pieces = (
@@ -209,20 +209,19 @@ def allocate_next(
         pool,
         "low",
         "high",
-        F.explode(F.sequence(F.floor(F.col("low") / block), F.floor(F.col("high") / block))).alias("_b"),
+        F.explode(F.sequence(block_of(F.col("low"), block), F.col("high"), F.lit(block))).alias("_b"),
     )
     numbers = blocks.select(
         pool,
         F.explode(
             F.sequence(
-                F.greatest(F.col("low"), F.col("_b") * block),
-                F.least(F.col("high"), F.col("_b") * block + (block - 1)),
+                F.greatest(F.col("low"), F.col("_b")), F.least(F.col("high"), F.col("_b") + (block - 1))
             )
         ).alias("number"),
     )
     free = numbers.join(used.select(pool, "number").distinct(), [pool, "number"], "left_anti")
-    free_rank = ranked(free, [pool], ["number"], F.floor(F.col("number") / block), "_rank")
-    wait_rank = ranked(waiting, [pool], [requester], F.floor(F.col(requester) / block), "_rank")
+    free_rank = ranked(free, [pool], ["number"], block_of(F.col("number"), block), "_rank")
+    wait_rank = ranked(waiting, [pool], [requester], block_of(F.col(requester), block), "_rank")
     granted = wait_rank.join(free_rank, [pool, "_rank"], "left").select(pool, requester, "number")
     status = F.when(F.col("number").isNull(), "exhausted").otherwise("allocated")
     return kept.withColumn("status", F.lit("kept")).unionByName(granted.withColumn("status", status))
@@ -243,7 +242,7 @@ def stitch_tracebacks(lines: DataFrame, *, own_code: str, block: int = 100_000)
     """
     flush = F.when(F.col("text").rlike(r"^\s|^\z"), 0).otherwise(1)
     parts = running_total(
-        lines, ["file"], ["line_no"], F.floor(F.col("line_no") / block), flush, "_seg"
+        lines, ["file"], ["line_no"], block_of(F.col("line_no"), block), flush, "_seg"
     )
     frame = F.col("text").rlike(r'^\s+File "') & F.col("text").contains(own_code)
     segments = parts.groupBy("file", "_seg").agg(
@@ -282,7 +281,7 @@ def sort_breaks(
 ) -> DataFrame:
     """Rows that come before their predecessor in the declared order (none = sorted)."""
     seen = with_previous(
-        rows, keys, [position], F.floor(F.col(position) / block), list(order), "_before"
+        rows, keys, [position], block_of(F.col(position), block), list(order), "_before"
     )
     return seen.where(F.col("_before") > F.struct(*order)).drop("_before")
 
@@ -308,7 +307,7 @@ def order_findings(
     ladder = F.col(phase) == sorted_phase
     rows = findings.withColumn("_step", F.when(ladder, F.col("ladder_step")).otherwise(F.lit(0)))
     file = F.when(ladder, F.coalesce(F.col("file"), F.lit(""))).otherwise(F.lit(""))
-    part = F.when(ladder, F.lit(0)).otherwise(F.floor(F.col(position) / 100_000))
+    part = F.when(ladder, F.lit(0)).otherwise(block_of(F.col(position), 100_000))
     chunk = F.struct(F.col("_step").alias("step"), file.alias("file"), part.alias("part"))
     order = ["_step", file, position]
     return ranked(rows, [phase], order, chunk, "report_position").drop("_step")

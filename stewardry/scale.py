@@ -62,6 +62,11 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def block_of(number: Column, size: int) -> Column:
+    """The first number of the block a whole number lies in (exact for any bigint)."""
+    return number - F.pmod(number, F.lit(size))
+
+
 def _chunked(df: DataFrame, chunk: Column | None) -> DataFrame:
     return df if CHUNK in df.columns else df.withColumn(CHUNK, chunk)
 
