@@ -321,8 +321,9 @@ def known_issue_scores(
 ) -> DataFrame:
     """Shared-token score of subjects and known issues, open and closed alike.
 
-    A token weighs 1000 // (issues that hold it), so constant words of one issue count most. Token
-    pairs are summed map-side; with ``synonyms`` (``token, synonym``) a second pass adds the
+    A token weighs 1000 // (issues that hold it), so constant words of one issue count most and a
+    token of more than a thousand issues counts nothing. Weightless tokens are left out, which bounds
+    what one token of a subject can meet. Scores are summed map-side; with ``synonyms`` (``token, synonym``) a second pass adds the
     synonyms of the subject's tokens.
     """
     words = distinct_tokens(subjects, subject, subject_text, min_length)
@@ -331,7 +332,7 @@ def known_issue_scores(
         words = words.unionByName(also).distinct()
     index = distinct_tokens(issues, issue, issue_text, min_length)
     weights = index.groupBy("token").agg(F.floor(F.lit(1000) / F.count("*")).alias("weight"))
-    weighted = index.join(weights, "token")
+    weighted = index.join(weights.where(F.col("weight") > 0), "token")
     return (
         words.join(weighted, "token")
         .groupBy(subject, issue)

@@ -112,15 +112,20 @@ def duplicate_names(rows: DataFrame, parent: str, name: str) -> DataFrame:
     return rows.groupBy(parent, name).agg(F.count("*").alias("n")).where(F.col("n") > 1)
 
 
+def time_chunk(ts: str, seconds: int) -> Column:
+    return block_of(F.unix_seconds(F.col(ts).cast("timestamp")), seconds)
+
+
 def incidents(
-    signals: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int, *, tie: Sequence[str] = ()
+    signals: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int, *, tie: Sequence[str] = (),
+    chunk_seconds: int = 3600,
 ) -> DataFrame:
     """Number the clusters of each timeline: a new one starts after more than ``gap_seconds``.
 
-    One timeline may hold most of the log: work is cut by day and stitched over midnight.
+    One timeline may hold most of the log: work is cut by the hour and stitched over the borders.
     """
     order = [ts, *tie]
-    rows = signals.withColumn(CHUNK, F.to_date(ts))
+    rows = signals.withColumn(CHUNK, time_chunk(ts, chunk_seconds))
     near = with_previous(rows, keys, order, None, [ts], "_before")
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     quiet = micros(F.col(ts)) - micros(F.col("_before")[ts])
@@ -162,12 +167,13 @@ def root_candidate(
 
 
 def red_to_green(
-    events: DataFrame, keys: Sequence[str], ts: str, tie: str, *, failed: Column, passed: Column
+    events: DataFrame, keys: Sequence[str], ts: str, tie: str, *, failed: Column, passed: Column,
+    chunk_seconds: int = 86400,
 ) -> DataFrame:
     """Passes directly preceded by a failure of the same keys."""
     rows = (
         events.withColumn("_state", F.when(failed, "red").when(passed, "green"))
-        .withColumn(CHUNK, F.to_date(ts))
+        .withColumn(CHUNK, time_chunk(ts, chunk_seconds))
     )
     seen = with_previous(rows, keys, [ts, tie], None, ["_state", ts], "_before")
     turned = seen.where((F.col("_state") == "green") & (F.col("_before._state") == "red"))
@@ -192,7 +198,7 @@ def allocate_next(
     *,
     requester: str,
     pool: str = "pool",
-    block: int = 1024,
+    block: int = 100_000,
 ) -> DataFrame:
     """Give each requester the next free number of its pool.
 

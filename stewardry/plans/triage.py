@@ -446,7 +446,7 @@ def load_order(t: Tables):
 TOKENS = """SELECT DISTINCT {key} AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 7)) AS token FROM {table}"""
 SCORES = f"""WITH d AS ({TOKENS.format(key='doc_id', table='documents')}), i AS ({TOKENS.format(key='item_id', table='benchmark')}),
   w AS (SELECT token, 1000 // count(*) AS weight FROM i GROUP BY 1)
-  SELECT i.id AS item_id, d.id AS doc_id, count(*) AS n_shared, CAST(sum(weight) AS BIGINT) AS score FROM d JOIN i ON d.token = i.token JOIN w ON w.token = i.token GROUP BY ALL"""
+  SELECT i.id AS item_id, d.id AS doc_id, count(*) AS n_shared, CAST(sum(weight) AS BIGINT) AS score FROM d JOIN i ON d.token = i.token JOIN w ON w.token = i.token WHERE weight > 0 GROUP BY ALL"""
 
 
 def benchmark_scores(t: Tables):

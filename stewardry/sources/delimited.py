@@ -11,10 +11,9 @@ from pyspark.sql.window import Window
 from stewardry.functions.text import snake_case
 from stewardry.operators.checks import GateClosed
 
-# Accepted extensions, delimiters in order of preference, bytes looked at.
+# Accepted extensions, and delimiters in order of preference.
 EXTENSIONS = ("csv", "tsv")
 DELIMITERS = (",", ";", "\t")
-SNIFFED_BYTES = 4096
 BOM = "﻿"
 # Windows-1252 characters at bytes 0x80-0x9F, where ISO-8859-1 has control codes.
 CP1252_FROM = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
@@ -26,7 +25,7 @@ def _extension(path: Column) -> Column:
 
 
 def list_inputs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The files to import as ``path, length, input_rank``.
+    """The files to import as ``path, file, length, input_rank`` (``file``: as row metadata name it).
 
     Files and folders may be mixed. Folders give their ``*.csv`` and ``*.tsv`` files in alphabetical
     order, below the place the user gave them; a file named twice counts once, at its first place.
@@ -38,7 +37,7 @@ def list_inputs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true")
             .load(path)
-            .select("path", "length", F.lit(place).alias("_place"))
+            .select("path", "length", F.col("_metadata.file_path").alias("file"), F.lit(place).alias("_place"))
         )
         last = path.rstrip("/").rsplit("/", 1)[-1]
         if "." in last and last.rsplit(".", 1)[-1].lower() not in EXTENSIONS:
@@ -50,69 +49,60 @@ def list_inputs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         raise GateClosed("no inputs given")
     return (
         found.where(_extension(F.col("path")).isin(list(EXTENSIONS)))
-        .groupBy("path")
-        .agg(F.first("length").alias("length"), F.min("_place").alias("_place"))
-        .select("path", "length", F.format_string("%06d:%s", "_place", "path").alias("input_rank"))
+        .groupBy("path", "file")
+        .agg(F.max("length").alias("length"), F.min("_place").alias("_place"))
+        .select("path", "file", "length", F.format_string("%06d:%s", "_place", "path").alias("input_rank"))
     )
 
 
 def sniff_dialect(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """One row per file: encoding, delimiter, quote, line ending, decimal sign and header.
 
-    Decided once per file. The encoding is tested on the whole content, everything else on its
-    first bytes. A tie between delimiters goes to the extension, else ``delimiter`` is NULL:
-    ambiguous, to be refused by the reader.
+    Decided once per file by one aggregate over its raw lines, so a file of any size is looked at in
+    splits. Delimiters are counted in the header; a tie goes to the extension, else ``delimiter`` is
+    NULL: ambiguous, to be refused by the reader.
     """
-    content = F.col("content")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    extension = _extension(F.col("path"))
-    encoding = F.when(F.is_valid_utf8(content.cast("string")), "utf-8").otherwise("windows-1252")
-    head = F.expr(f"substring(content, 1, {SNIFFED_BYTES})")
-    text = F.regexp_replace(
-        F.when(F.col("encoding") == "utf-8", F.make_valid_utf8(head.cast("string"))).otherwise(
-            F.decode(head, "ISO-8859-1")
-        ),
-        f"^{BOM}",
-        "",
+    value = F.col("value")
+    files = (
+        spark.read.option("lineSep", "\n")
+        .option("recursiveFileLookup", "true")
+        .text(list(paths))
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
+        .withColumn("_id", F.monotonically_increasing_id())
     )
-    header = F.split_part(F.regexp_replace(F.col("head"), "\r\n?", "\n"), F.lit("\n"), F.lit(1))
+    extension = _extension(F.col("file"))
+    facts = files.where(extension.isin(list(EXTENSIONS))).groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8(value)).alias("utf8"),
+        F.bool_or(F.contains(value, F.lit('"'))).alias("double_quotes"),
+        F.bool_or(F.contains(value, F.lit("'"))).alias("single_quotes"),
+        F.bool_or(F.endswith(value, F.lit("\r"))).alias("crlf"),
+        F.bool_or(F.contains(value, F.lit("\r"))).alias("cr"),
+        F.bool_or(F.make_valid_utf8(value).rlike(r"(^|[;\"'])\d+,\d+")).alias("comma_numbers"),
+        F.min_by(value.cast("binary"), F.struct("_start", "_id")).alias("first"),
+    )
+    first = F.when(F.col("utf8"), F.col("first").cast("string")).otherwise(F.decode("first", "ISO-8859-1"))
+    header = F.regexp_replace(F.split_part(first, F.lit("\r"), F.lit(1)), f"^{BOM}", "")
 
     def times(mark: str) -> Column:
         return F.length("header") - F.length(F.replace(F.col("header"), F.lit(mark), F.lit("")))
 
     counts = [times(d) for d in DELIMITERS]
     most = F.greatest(*counts)
-    leaders = F.filter(
-        F.array(*[F.when(n == most, F.lit(d)) for n, d in zip(counts, DELIMITERS, strict=True)]),
-        lambda x: x.isNotNull(),
+    leaders = F.array_compact(
+        F.array(*[F.when(n == most, F.lit(d)) for n, d in zip(counts, DELIMITERS, strict=True)])
     )
     hint = F.when(extension == "tsv", F.lit("\t")).otherwise(F.lit(","))
-    delimiter = (
-        F.when(F.size(leaders) == 1, F.get(leaders, F.lit(0)))
-        .when(F.array_contains(leaders, hint), hint)
-    )
-    body = F.col("head")
+    delimiter = F.when(F.size(leaders) == 1, F.get(leaders, F.lit(0))).when(F.array_contains(leaders, hint), hint)
     return (
-        files.where(extension.isin(list(EXTENSIONS)))
-        .select("path", "content", encoding.alias("encoding"))
-        .select(
-            "path",
-            "encoding",
-            text.alias("head"),
-            F.when(F.decode("content", "ISO-8859-1").contains('"'), '"')
-            .when(F.decode("content", "ISO-8859-1").contains("'"), "'")
-            .otherwise('"')
-            .alias("quote"),
-        )
-        .withColumn("header", header)
+        facts.withColumn("header", header)
         .withColumn("delimiter", delimiter)
         .select(
-            "path",
-            "encoding",
+            "file",
+            F.when(F.col("utf8"), "utf-8").otherwise("windows-1252").alias("encoding"),
             "delimiter",
-            "quote",
-            F.when(body.contains("\r\n"), "crlf").when(body.contains("\r"), "cr").otherwise("lf").alias("eol"),
-            F.when((F.col("delimiter") == ";") & body.rlike(r"(^|[;\n\"'])\d+,\d+"), ",").otherwise(".").alias("decimal"),
+            F.when(~F.col("double_quotes") & F.col("single_quotes"), "'").otherwise('"').alias("quote"),
+            F.when(F.col("crlf"), "crlf").when(F.col("cr"), "cr").otherwise("lf").alias("eol"),
+            F.when((F.col("delimiter") == ";") & F.col("comma_numbers"), ",").otherwise(".").alias("decimal"),
             "header",
         )
     )
@@ -161,7 +151,7 @@ def read_delimited(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     inputs = list_inputs(spark, paths)
     plans = (
         sniff_dialect(spark, paths)
-        .join(inputs, "path")
+        .join(inputs, "file")
         .select("path", "input_rank", "encoding", "delimiter", "quote", "header")
         .collect()
     )
@@ -178,16 +168,14 @@ def read_delimited(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         text = decoded(F.col("value"), encoding)
         rows = _lines(spark, [f.path for f in files]).where((F.col("_line") > 1) & (F.trim("value") != ""))
         parsed = rows.select(
-            F.regexp_replace(F.col("_path"), "^file:/+", "/").alias("_file"),
+            F.col("_path").alias("_file"),
             "_line",
             F.from_csv(text, ddl, {"sep": delimiter, "quote": quote}).alias("_row"),
         ).select("_row.*", "_file", F.col("_line").cast("bigint").alias("_line"))
         out = parsed if out is None else out.unionByName(parsed, allowMissingColumns=True)
     if out is None:
         raise GateClosed("no readable csv or tsv file found")
-    ranks = inputs.select(
-        F.regexp_replace("path", "^file:/+", "/").alias("_file"), F.col("input_rank").alias("_input_rank")
-    )
+    ranks = inputs.select(F.col("file").alias("_file"), F.col("input_rank").alias("_input_rank"))
     return out.join(ranks, "_file", "left")
 
 
@@ -203,5 +191,5 @@ def dialect_leftovers(df: DataFrame, columns: Sequence[str], keep: Sequence[str]
 def header_cells(dialects: DataFrame) -> DataFrame:
     """Rows ``file, position, header`` of all files for the column mapping."""
     cells = F.split(F.col("header"), F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E")))
-    rows = dialects.select(F.col("path").alias("file"), F.posexplode(cells).alias("position", "header"))
+    rows = dialects.select("file", F.posexplode(cells).alias("position", "header"))
     return rows.withColumn("header", F.trim("header")).withColumn("snake", snake_case(F.col("header")))

@@ -42,7 +42,8 @@ def envelope(rows: DataFrame, kind: str, *, api_version: str = "v1") -> DataFram
 def write_load_set(frames: Mapping[str, DataFrame], prefixes: Mapping[str, str], path: str) -> None:
     """Write the kinds below ``path/load_order=NN/kind=K``, referents first.
 
-    All kinds go out in one partitioned write, as one stage of independent tasks.
+    All kinds go out in one partitioned write; rebalancing gives each kind files of even size and
+    splits a kind that holds most rows.
     """
     missing = sorted(set(frames) - set(prefixes))
     if missing:
@@ -53,7 +54,7 @@ def write_load_set(frames: Mapping[str, DataFrame], prefixes: Mapping[str, str],
             "value", F.lit(prefixes[kind]).alias("load_order"), F.lit(kind).alias("kind")
         )
         out = part if out is None else out.unionByName(part)
-    out.write.partitionBy("load_order", "kind").text(path)
+    out.hint("rebalance", "load_order", "kind").write.partitionBy("load_order", "kind").text(path)
 
 
 def envelope_problems(documents: DataFrame, document: str, keep: Sequence[str]) -> DataFrame:
@@ -106,9 +107,13 @@ def write_manifest(manifest: DataFrame, path: str, *, branch: str) -> None:
 
 
 def write_artifacts(df: DataFrame, target: str, content: Column, content_type: str, path: str) -> None:
-    """One artifact folder per target; a struct is written as JSON, a string as it is."""
+    """One artifact folder per target; a struct is written as JSON, a string as it is.
+
+    Rows are rebalanced by target, so a target is a few even files instead of one per task.
+    """
     if content_type not in CONTENT_TYPES:
         raise ValueError(f"content type {content_type!r} is not one of {CONTENT_TYPES}")
     kind = df.select(content.alias("c")).schema["c"].dataType.typeName()
     text = content if kind == "string" else F.to_json(content)
-    df.select(text.alias("value"), F.col(target)).write.partitionBy(target).text(path)
+    rows = df.select(text.alias("value"), F.col(target)).hint("rebalance", target)
+    rows.write.partitionBy(target).text(path)
