@@ -130,7 +130,7 @@ ADDRESS = """CASE WHEN o_custkey % 17 = 0 OR (o_orderstatus = 'P' AND o_custkey
 
 
 def addresses(t: Tables):
-    placed = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus").join(
+    placed = t.spread("orders", "o_orderkey", "o_custkey", "o_orderstatus").join(
         t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")
     )
     return placed.selectExpr("o_orderkey", "o_custkey", "c_nationkey AS site", f"{ADDRESS} AS address")

@@ -117,7 +117,9 @@ SLASH = """CASE o_orderstatus WHEN 'F' THEN lpad(CAST(month(o_orderdate) AS STRI
     headline=True,
 )
 def to_datetime(t: Tables):
-    cells = t.orders.selectExpr("o_orderkey", "o_orderstatus", f"{SLASH} AS cell")
+    cells = t.spread("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate").selectExpr(
+        "o_orderkey", "o_orderstatus", f"{SLASH} AS cell"
+    )
     order = cells.groupBy("o_orderstatus").agg(coerce.slash_order(F.col("cell")).alias("slashes"))
     joined = cells.join(order, "o_orderstatus")
     return joined.select(
@@ -237,7 +239,7 @@ def batch_names(t: Tables):
         SELECT doc_id, ip, number, number - number % 4096 AS first_number, number - number % 4096 + 4095 AS last_number, ip AS again FROM n""",
 )
 def ip_functions(t: Tables):
-    found = t.texts("documents", "doc_id", "text").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(text.IPV4), F.lit(0))).alias("ip"))
+    found = t.spread("documents", "doc_id", "text").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(text.IPV4), F.lit(0))).alias("ip"))
     cidr = F.concat("ip", F.lit("/20"))
     number = network.ip_to_long(cidr)
     return found.select(
@@ -270,7 +272,7 @@ def _redacted_sql(column: str) -> str:
     headline=True,
 )
 def redact(t: Tables):
-    cleaned = t.texts("documents", "doc_id", "text", "lang", "source").select("doc_id", text.redact(F.expr(LEAKY)).alias("r"))
+    cleaned = t.spread("documents", "doc_id", "text", "lang", "source").select("doc_id", text.redact(F.expr(LEAKY)).alias("r"))
     return cleaned.select(
         "doc_id", F.md5(F.col("r").cast("binary")).alias("redacted_md5"), F.length("r").cast("bigint").alias("n_chars")
     )
@@ -289,7 +291,7 @@ def redact(t: Tables):
     headline=True,
 )
 def detect_leaks(t: Tables):
-    leaky = t.texts("documents", "doc_id", "text", "lang", "source").selectExpr("doc_id", f"{LEAKY} AS x")
+    leaky = t.spread("documents", "doc_id", "text", "lang", "source").selectExpr("doc_id", f"{LEAKY} AS x")
     return text.detect_leaks(leaky, F.col("x"), ["doc_id"])
 
 
@@ -304,7 +306,7 @@ SECRET = """text || CASE doc_id % 7 WHEN 0 THEN ' ghp_' || repeat('a', 24) WHEN
     headline=True,
 )
 def quarantine_secrets(t: Tables):
-    _, held = text.quarantine_secrets(t.texts("documents", "doc_id", "text").selectExpr("doc_id", f"{SECRET} AS x"), "x")
+    _, held = text.quarantine_secrets(t.spread("documents", "doc_id", "text").selectExpr("doc_id", f"{SECRET} AS x"), "x")
     return held.select("doc_id", "secrets")
 
 
@@ -313,7 +315,7 @@ def quarantine_secrets(t: Tables):
     f"""SELECT doc_id, md5(x) AS text_md5 FROM (SELECT doc_id, {SECRET} AS x FROM documents WHERE doc_id % 7 >= 4)""",
 )
 def clean_rows(t: Tables):
-    clean, _ = text.quarantine_secrets(t.texts("documents", "doc_id", "text").selectExpr("doc_id", f"{SECRET} AS x"), "x")
+    clean, _ = text.quarantine_secrets(t.spread("documents", "doc_id", "text").selectExpr("doc_id", f"{SECRET} AS x"), "x")
     return clean.select("doc_id", F.md5(F.col("x").cast("binary")).alias("text_md5"))
 
 
@@ -330,7 +332,7 @@ NEEDLES = """SELECT DISTINCT needle FROM (SELECT unnest(list_append(list_filter(
 )
 def seed_scan(t: Tables):
     needles = corpus.seed_needles(t.benchmark, "text")
-    hits = corpus.seed_scan(t.texts("documents", "doc_id", "text"), "doc_id", "text", needles)
+    hits = corpus.seed_scan(t.spread("documents", "doc_id", "text"), "doc_id", "text", needles)
     return hits.groupBy("doc_id").agg(
         F.count("*").alias("n_needles"), F.count_if(F.contains("needle", F.lit(" "))).alias("n_whole")
     )
@@ -350,7 +352,7 @@ TERMS = (r"\bhierarchical\b", r"\bcardinalit(?:y|ies)\b", r"\bpeers?\b")
         WHERE words < 25 OR (marks >= 4 AND NOT term)""",
 )
 def over_redacted(t: Tables):
-    thinned = t.texts("documents", "doc_id", "text", "n_chars", "lang").selectExpr("doc_id", f"{THINNED.format(g='')} AS x")
+    thinned = t.spread("documents", "doc_id", "text", "n_chars", "lang").selectExpr("doc_id", f"{THINNED.format(g='')} AS x")
     judged = thinned.select("doc_id", text.over_redacted(F.col("x"), TERMS).alias("verdict"))
     return judged.where(F.col("verdict").isNotNull())
 
@@ -368,7 +370,7 @@ def _template_sql(column: str) -> str:
     headline=True,
 )
 def error_template(t: Tables):
-    lines = t.texts("documents", "text").select(F.explode(F.split("text", "\n")).alias("line"))
+    lines = t.spread("documents", "text").select(F.explode(F.split("text", "\n")).alias("line"))
     return lines.groupBy(text.error_template(F.col("line")).alias("template")).agg(F.count("*").alias("n"))
 
 
@@ -379,7 +381,7 @@ def error_template(t: Tables):
     headline=True,
 )
 def fix_status(t: Tables):
-    lines = t.lineitem.selectExpr(
+    lines = t.spread("lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag").selectExpr(
         "l_orderkey",
         "l_linenumber",
         "l_suppkey",
@@ -461,7 +463,7 @@ RULES = (
     headline=True,
 )
 def text_rules(t: Tables):
-    return corpus.text_rules(t.texts("documents", "doc_id", "text"), "text", RULES, ["doc_id"])
+    return corpus.text_rules(t.spread("documents", "doc_id", "text"), "text", RULES, ["doc_id"])
 
 
 @query(
@@ -521,7 +523,7 @@ FENCED = "CASE WHEN doc_id % 3 = 0 THEN '```' || chr(10) || text ELSE text END"
     headline=True,
 )
 def forbidden_mentions(t: Tables):
-    texts = t.texts("documents", "doc_id", "text").selectExpr("doc_id", f"{FENCED} AS x")
+    texts = t.spread("documents", "doc_id", "text").selectExpr("doc_id", f"{FENCED} AS x")
     return corpus.forbidden_mentions(texts, "x", " the ", ["doc_id"], negations=r"\b(?:of|by)\b")
 
 
@@ -534,7 +536,7 @@ def forbidden_mentions(t: Tables):
 )
 def excused_within_words(t: Tables):
     return corpus.forbidden_mentions(
-        t.texts("documents", "doc_id", "text"), "text", "the ", ["doc_id"], negations=r"\b(?:of|by)", within_words=2
+        t.spread("documents", "doc_id", "text"), "text", "the ", ["doc_id"], negations=r"\b(?:of|by)", within_words=2
     )
 
 

@@ -66,7 +66,8 @@ MESSAGE = """CASE WHEN event_type = 'error' AND value > 12 THEN 'FATAL java heap
 
 
 def log_lines(t: Tables):
-    return t.events.selectExpr("event_id", "ts", "user_id", "event_type AS service", f"{MESSAGE} AS msg", "value")
+    events = t.spread("events", "event_id", "ts", "user_id", "event_type", "value")
+    return events.selectExpr("event_id", "ts", "user_id", "event_type AS service", f"{MESSAGE} AS msg", "value")
 
 
 @query(
@@ -183,7 +184,8 @@ PORTS = """SELECT l_orderkey AS parent, 'Ethernet' || (l_suppkey % 2) || '/' ||
 
 
 def ports(t: Tables):
-    return t.lineitem.selectExpr(
+    lines = t.spread("lineitem", "l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return lines.selectExpr(
         "l_orderkey AS parent",
         "'Ethernet' || (l_suppkey % 2) || '/' || CASE WHEN l_returnflag = 'N' THEN '0' || l_linenumber ELSE CAST(l_linenumber AS STRING) END AS name",
         "CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'N' THEN NULL ELSE l_returnflag END AS role",
@@ -328,7 +330,7 @@ TRACE = """CASE WHEN event_type = 'error' THEN concat('Traceback (most recent ca
 
 
 def trace_lines(t: Tables):
-    blocks = t.events.selectExpr("user_id", "event_id", f"{TRACE} AS block")
+    blocks = t.spread("events", "user_id", "event_id", "event_type").selectExpr("user_id", "event_id", f"{TRACE} AS block")
     return blocks.select(
         F.concat(F.lit("user-"), "user_id").alias("file"),
         F.posexplode(F.split("block", "\n")).alias("i", "text"),
@@ -451,7 +453,7 @@ SCORES = f"""WITH d AS ({TOKENS.format(key='doc_id', table='documents')}), i AS
 
 def benchmark_scores(t: Tables):
     return corpus.known_issue_scores(
-        t.texts("documents", "doc_id", "text"),
+        t.spread("documents", "doc_id", "text"),
         t.benchmark,
         subject="doc_id",
         subject_text="text",

@@ -20,7 +20,7 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
-    def texts(self, name: str, *columns: str) -> DataFrame:
+    def spread(self, name: str, *columns: str) -> DataFrame:
         """Columns of a table for work that is heavy per row, on all cores even from one file."""
         return spread(self.spark.read.parquet(self.path(name)).select(*columns))
 
