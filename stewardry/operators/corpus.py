@@ -125,24 +125,19 @@ def forbidden_mentions(
         ),
         lambda acc: acc["starts"],
     )
-    rows = df.where(F.col(text).rlike(pattern)).select(
-        *keep,
-        F.col(text).alias("_text"),
-        F.explode(places).alias("position"),
-    )
-    prefix = F.substring(
-        "_text", F.greatest(F.col("position") - within_chars, F.lit(0)) + 1,
-        F.least(F.col("position"), F.lit(within_chars)),
-    )
-    if within_words is None:
-        near = prefix.rlike(f"(?i){negations}")
-    else:
-        near = prefix.rlike(rf"(?i){negations}(?:\s+\S+){{0,{within_words}}}\s+\z")
-    fences = F.regexp_count(F.substring("_text", F.lit(1), F.col("position")), F.lit(FENCE))
-    fenced = F.when(F.col("_text").contains("```"), F.pmod(fences, F.lit(2)) == 1).otherwise(F.lit(False))
-    return rows.select(
-        *keep, F.col("position").cast("bigint").alias("position"), (near & ~fenced).alias("excused")
-    )
+    def judged(start: Column) -> Column:
+        before = F.substring(
+            F.col(text), F.greatest(start - within_chars, F.lit(0)) + 1, F.least(start, F.lit(within_chars))
+        )
+        tail = "" if within_words is None else rf"(?:\s+\S+){{0,{within_words}}}\s+\z"
+        fences = F.regexp_count(F.substring(F.col(text), F.lit(1), start), F.lit(FENCE))
+        fenced = F.when(F.contains(F.col(text), F.lit("```")), F.pmod(fences, F.lit(2)) == 1).otherwise(F.lit(False))
+        excused = before.rlike(f"(?i){negations}{tail}") & ~fenced
+        return F.struct(start.cast("bigint").alias("position"), excused.alias("excused"))
+
+    # every match is judged inside its row: texts are never repeated per match
+    hits = df.where(F.col(text).rlike(pattern)).select(*keep, F.explode(F.transform(places, judged)).alias("_h"))
+    return hits.select(*keep, "_h.position", "_h.excused")
 
 
 def sections(df: DataFrame, text: str, heading: str, keep: Sequence[str]) -> DataFrame:
