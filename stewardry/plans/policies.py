@@ -16,7 +16,7 @@ def violation_sql(policy, kind, object_id, reason, source, *, name=None, group="
     return f"""
     SELECT '{policy}' AS policy, '{kind}' AS kind, CAST({object_id} AS VARCHAR) AS object_id,
            CAST({name} AS VARCHAR) AS object_name, CAST({group} AS VARCHAR) AS group_key,
-           '{severity}' AS severity, {reason} AS reason, {fix} AS suggested_fix
+           '{severity}' AS severity, {reason} AS reason, CAST({fix} AS VARCHAR) AS suggested_fix
     FROM {source}"""
 
 
