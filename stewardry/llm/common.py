@@ -18,9 +18,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row's content. Rows that are equal in ``columns`` share it, and get equal results."""
-    return F.xxhash64(*columns)
+def row_keys(*columns: str) -> tuple[Column, Column]:
+    """Two 64-bit keys ``_k1``, ``_k2`` of a row's content.
+
+    Rows that are equal in ``columns`` share them, and get equal results; no other rows do, at any size in practice.
+    """
+    return F.xxhash64(*columns).alias("_k1"), F.xxhash64(F.lit(1), *reversed(columns)).alias("_k2")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

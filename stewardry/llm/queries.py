@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import decision_list
+from stewardry.llm import decision_list, secrets, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,6 +27,57 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Words that mark a host of the list: advertising, gambling, adult, pills, spam.
+LISTED_WORDS = r"(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)"
+URL_RULES = [
+    url_filter.Rule("net", "/", "block"),
+    url_filter.Rule("example.net", "/en/", "allow"),
+    url_filter.Rule("example.com", "/de/", "block"),
+    url_filter.Rule("org", "/fr/", "allow"),
+]
+
+
+@query(
+    "op1_url_filter",
+    """
+    WITH parts AS (
+        SELECT page_id,
+            translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+        FROM pages
+    ), ruled AS (
+        SELECT *, CASE
+            WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+            WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+            WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+        FROM parts
+    )
+    SELECT page_id, host, path, rule, CASE
+        WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+        WHEN rule IS NOT NULL OR regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)') THEN 'block'
+        ELSE 'allow' END AS verdict
+    FROM ruled
+    """,
+)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("key"))
+    listed = hosts.where(F.col("key").rlike(LISTED_WORDS)).distinct()
+    return url_filter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op2_secrets")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(F.col("found"), k).alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(secrets.joined(F.col("found"), secrets.BASE), 256).alias("base_sha256"),
+        secrets.joined(F.col("found")).alias("spans"),
+    )
+
+
 @query("op8_quality_rules")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
