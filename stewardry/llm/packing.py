@@ -13,6 +13,7 @@ table gives no pieces. Only ``doc_id``, which may be null, and ``text`` are read
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,53 +29,58 @@ from stewardry.scale import cut
 
 DIMENSIONS, BITS, BUCKETS = 4, 10, 256
 END = 0  # the id that ends each document
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
 
 class Words:
     """Token ids of texts by a byte-level BPE tokenizer that splits at white space before it merges.
 
-    What stands between two single spaces is tokenized alike in any text, so each such word is tokenized once and
-    remembered. Words with other white space at an end, and texts with runs of spaces, go to the tokenizer whole.
+    A word with the single space before it is tokenized alike in any text, so each is tokenized once and remembered;
+    so is a single line break. Texts with runs of white space, or with other white space, go to the tokenizer whole.
     """
 
+    PART = re.compile(r" ?[^ \n]+|\n")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _parts(text: str) -> list[str] | None:
-        """The text in parts that may be tokenized apart, or None."""
-        parts = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                parts.append("\n")
-            words = line.split(" ")
-            if not all(words):  # a leading, trailing or double space, or an empty line
-                return None
-            parts.append(words[0])
-            parts += [" " + w for w in words[1:]]
-        return parts
+        self.line_break = self._ids("\n")
+        self.known: dict[str, bytes] = {"\n": self.line_break}
+
+    def _ids(self, text: str) -> bytes:
+        encoding = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.asarray(encoding.ids, dtype="<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        """Tokenize words in one call, each on a line of its own."""
+        plain = [p for p in new if len(p.split()) == 1 and p.strip() == p.lstrip(" ")]
+        if plain:
+            ids = self._ids("\n".join(plain))
+            ends = np.flatnonzero(np.frombuffer(ids, dtype="<u4") == np.frombuffer(self.line_break, dtype="<u4")[0]).tolist()
+            starts = [0, *(e + 1 for e in ends)]
+            self.known.update(zip(plain, (ids[4 * s : 4 * e] for s, e in zip(starts, [*ends, len(ids) // 4], strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
-        split = [self._parts(t) for t in texts]
-        new = list({p for parts in split if parts for p in parts if p not in known})
-        plain = [p for p in new if p == "\n" or not (p.strip(" ") != p.strip() or len(p.split()) != 1)]
-        known.update(zip(plain, self._ids(plain), strict=True))
-        if len(plain) < len(new):  # other white space in a word: its text is tokenized whole
-            odd = set(new).difference(plain)
-            split = [None if parts and not odd.isdisjoint(parts) else parts for parts in split]
-        whole = iter(self._ids([t for t, parts in zip(texts, split, strict=True) if parts is None]))
-        return [np.frombuffer(b"".join([known[p] for p in parts]) if parts is not None else next(whole), dtype="<u4") for parts in split]
+            known["\n"] = self.line_break
+        out, split, new = [], [], set()
+        for text in texts:
+            apart = "  " not in text and " \n" not in text and "\n\n" not in text and not text.endswith(" ")
+            split.append(self.PART.findall(text) if apart else None)
+            if apart:
+                new |= set(split[-1]).difference(known)
+        self._learn(new)
+        for text, parts in zip(texts, split, strict=True):
+            try:
+                ids = self._ids(text) if parts is None else b"".join(map(known.__getitem__, parts))
+            except KeyError:  # a word with other white space in it
+                ids = self._ids(text)
+            out.append(np.frombuffer(ids, dtype="<u4"))
+        return out
 
 
 _words: dict[str, Words] = {}
@@ -140,7 +146,7 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert(cells.astype(np.int64), BITS)
 
 
-def order(docs: DataFrame, path: str, unit: int = 0) -> DataFrame:
+def order(docs: DataFrame, path: str) -> DataFrame:
     """One row per distinct document row: keys, ``n`` tokens, ``copies``, and ``start`` in the stream of all tokens.
 
     A range sort by curve key gives the order; running sums within its partitions, and over one row per partition,
