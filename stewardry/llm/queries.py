@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import debruijn, decision_list, packing, secrets, url_filter
+from stewardry.llm import debruijn, decision_list, minmax, packing, secrets, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,6 +89,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return packing.with_checksum(packing.pack(table(spark, folder, "documents"), tokenizer_path()))
 
 
+@query("op7_near_duplicates")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = minmax.near_duplicates(table(spark, folder, "documents"), size=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op8_quality_rules")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
