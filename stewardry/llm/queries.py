@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import debruijn, decision_list, minmax, packing, secrets, url_filter
+from stewardry.llm import debruijn, decision_list, minmax, packing, secrets, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,6 +89,18 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return packing.with_checksum(packing.pack(table(spark, folder, "documents"), tokenizer_path()))
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, folder, "labels").where(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
 @query("op7_near_duplicates")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = minmax.near_duplicates(table(spark, folder, "documents"), size=2)
