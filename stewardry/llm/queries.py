@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import debruijn, decision_list, minmax, packing, secrets, toxicity, url_filter
+from stewardry.llm import debruijn, decision_list, decontam, lines, minmax, packing, secrets, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,6 +89,38 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return packing.with_checksum(packing.pack(table(spark, folder, "documents"), tokenizer_path()))
 
 
+@query(
+    "op4_line_dedup",
+    r"""
+    WITH split AS (
+        SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr
+        FROM documents
+    ), trimmed AS (
+        SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM split
+    ), sites AS (
+        SELECT source, count(DISTINCT text) AS pages FROM documents GROUP BY source
+    ), listed AS (
+        SELECT source, t FROM trimmed JOIN sites USING (source) WHERE t <> '' AND pages >= 20
+        GROUP BY source, t, pages HAVING count(DISTINCT text) > 0.1 * pages
+    ), judged AS (
+        SELECT s.doc_id, s.line, s.nr, s.t, l.t IS NOT NULL AS dropped
+        FROM trimmed s LEFT JOIN listed l ON l.source = s.source AND l.t = s.t
+    )
+    SELECT doc_id, count(*) FILTER (WHERE t <> '') AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id
+    """,
+)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = lines.clean(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op5_toxicity")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
