@@ -25,6 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stewardry.llm.common import row_keys, small_batches
 from stewardry.llm.components import components
@@ -212,7 +213,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, permutations: int = BAND_PERMUTATIONS
 ) -> DataFrame:
-    """``doc_id``, row keys, ``n_shingles``, ``component_id`` and ``kept`` of each row.
+    """``doc_id``, row keys, ``n_shingles``, ``component_id``, ``kept`` and ``group`` (null without words) of each row.
 
     Rows are linked if their sets of ``size``-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
     ``component_id`` is the least ``doc_id`` reachable, and a row is kept if that is its own.
@@ -256,7 +257,26 @@ def near_duplicates(
         "sid", "least_id", F.coalesce("component", "sid").alias("component")
     )
     ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_set = named.join(ids, "component").select(F.col("sid").alias("_sid"), "component_id")
+    by_set = named.join(ids, "component").select(F.col("sid").alias("_sid"), "component_id", F.col("component").alias("group"))
     out = rows.join(by_set, rows["sid"] == by_set["_sid"], "left")
     component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "_k1", "_k2", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select(
+        "doc_id", "_k1", "_k2", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "group"
+    )
+
+
+def clean(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of linked rows: the one of the least ``doc_id``, then of the least key.
+
+    Rows without words are linked with nothing and stay.
+    """
+    found = near_duplicates(docs, size, percent)
+    first = found.where("group IS NOT NULL").groupBy("group").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_k1", "_k2")).alias("_f")
+    )
+    chosen = first.select("_f._k1", "_f._k2", F.lit(True).alias("_one")).unionByName(
+        found.where("group IS NULL").select("_k1", "_k2", F.lit(False).alias("_one")).distinct()
+    )
+    nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0)))  # rows equal in id and text
+    keyed = docs.select(*docs.columns, *row_keys("doc_id", "text")).join(cut(chosen, "chosen"), ["_k1", "_k2"])
+    return keyed.withColumn("_nth", nth).where("_nth = 1 OR NOT _one").select(*docs.columns)

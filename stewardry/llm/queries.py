@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import debruijn, decision_list, decontam, lines, minmax, packing, secrets, toxicity, url_filter
+from stewardry.llm import debruijn, decision_list, decontam, kneser_ney, lines, minmax, packing, secrets, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -148,6 +148,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    judged = kneser_ney.judge(docs, table(spark, folder, "labels"))
+    return judged.select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     kept = debruijn.remove(table(spark, folder, "documents"))
