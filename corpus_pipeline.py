@@ -6,8 +6,10 @@ Every stage works on all that its predecessor kept, and all but the last return
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stewardry.llm import decision_list
+from stewardry.llm import decision_list, decontam, lines, minmax, packing
+from stewardry.llm.queries import tokenizer_path
 from stewardry.scale import cut
 
 
@@ -21,7 +23,37 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _columns(docs, decision_list.judge(docs, rules).where("kept"))
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the lines that are boilerplate of their source, recounted; none is dropped."""
+    cleaned = lines.clean(docs)
+    if "n_chars" in docs.columns:
+        counted = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+        cleaned = cleaned.withColumn("n_chars", counted)
+    return _columns(docs, cleaned)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    return minmax.clean(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 1024 tokens, along the curve, each with its checksum."""
+    return packing.with_checksum(packing.pack(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("packing", pack),
+]
 
 #: Learned rules, and links through common shingles, are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
