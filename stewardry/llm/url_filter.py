@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stewardry.scale import cut
 
-HASHES = 7
+MOST_HASHES = 16
 
 
 def host_of(url: Column) -> Column:
@@ -59,19 +59,20 @@ class Level:
     bits: int
     words: str  # the filter's 64-bit words, comma-joined
     seed: int
+    hashes: int
 
     def holds(self, key: Column) -> Column:
         # a constant of the plan: Spark folds it into one array before it runs
         words = F.split(F.lit(self.words), ",").cast("array<bigint>")
         test = F.lit(True)
-        for at in _places(key, self.bits, self.seed):
+        for at in _places(key, self.bits, self.seed, self.hashes):
             word = F.get(words, F.floor(at / 64).cast("int"))
             test = test & (F.getbit(word, F.pmod(at, F.lit(64)).cast("int")) == 1)
         return test
 
 
-def _places(key: Column, bits: int, seed: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(seed * HASHES + k)), F.lit(bits)) for k in range(HASHES)]
+def _places(key: Column, bits: int, seed: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(seed * MOST_HASHES + k)), F.lit(bits)) for k in range(hashes)]
 
 
 @dataclass(frozen=True)
@@ -106,6 +107,7 @@ def build(universe: DataFrame, listed: DataFrame, bits_per_key: int = 10, most_b
     )
     marked = cut(marked, "keys")
     levels: list[Level] = []
+    hashes = min(MOST_HASHES, max(1, round(bits_per_key * 0.69)))  # the fewest false positives at this size
     inside, outside = marked.where("listed = 1"), marked.where("listed = 0")
     n = inside.count()
     while n:
@@ -113,7 +115,7 @@ def build(universe: DataFrame, listed: DataFrame, bits_per_key: int = 10, most_b
         if bits > most_bits:
             raise TooManyKeys(f"{n} keys need {bits} bits; the bound is {most_bits}")
         seed = len(levels)
-        at = inside.select(F.explode(F.array(*_places(F.col("key"), bits, seed))).alias("at"))
+        at = inside.select(F.explode(F.array(*_places(F.col("key"), bits, seed, hashes))).alias("at"))
         rows = (
             at.groupBy((F.floor(F.col("at") / 64)).alias("word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 64) as int))")).alias("bits"))
@@ -122,7 +124,7 @@ def build(universe: DataFrame, listed: DataFrame, bits_per_key: int = 10, most_b
         words = [0] * (bits // 64)
         for row in rows:
             words[row["word"]] = row["bits"]
-        levels.append(Level(bits, ",".join(map(str, words)), seed))
+        levels.append(Level(bits, ",".join(map(str, words)), seed, hashes))
         inside, outside = outside.where(levels[-1].holds(F.col("key"))), inside
         n = inside.count()
     return Cascade(tuple(levels))
