@@ -339,18 +339,27 @@ def exception_parts(block: Column, own_code: str) -> tuple[Column, Column, Colum
     )
 
 
-def version_parts(version: Column) -> Column:
-    return F.transform(F.split(version, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+def version_key(version: Column) -> Column:
+    """A struct that sorts like the version: all its numbers, a release above its pre-releases, then the suffix number.
+
+    NULL for a text that does not start with a number (``v`` may stand before it).
+    """
+    numbers = F.regexp_replace(F.regexp_extract(version, r"^v?(\d+(?:\.\d+)*)", 1), r"(\.0+)+$", "")
+    rest = F.lower(F.regexp_extract(version, r"^v?\d+(?:\.\d+)*(.*)$", 1))
+    parts = F.transform(F.split(numbers, r"\."), lambda x: x.try_cast("decimal(38,0)"))
+    later = (rest == "") | rest.rlike(r"^[.+-]?post|^\+")
+    key = F.struct(
+        parts.alias("numbers"), later.cast("int").alias("released"), rest.rlike(r"post").cast("int").alias("post"),
+        F.regexp_extract(rest, r"^[^0-9]*", 0).alias("stage"), F.regexp_extract(rest, r"(\d+)", 1).try_cast("bigint").alias("number"),
+    )
+    return F.when(numbers != "", key)
 
 
 def fix_status(running: Column, fix: Column) -> Column:
-    """``upgrade``, ``unconfirmed`` or ``undetermined``, comparing versions part by part."""
-    pad = F.array(*[F.lit(0)] * 4)
-    key = lambda v: F.slice(F.concat(version_parts(v), pad), 1, 4)
+    """``upgrade``, ``unconfirmed`` or ``undetermined``; an unreadable version is undetermined."""
+    have, want = version_key(running), version_key(fix)
     return (
-        F.when(fix.isNull() | running.isNull(), "undetermined")
-        .when(key(fix) > key(running), "upgrade")
-        .otherwise("unconfirmed")
+        F.when(have.isNull() | want.isNull(), "undetermined").when(want > have, "upgrade").otherwise("unconfirmed")
     )
 
 

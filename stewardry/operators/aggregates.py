@@ -189,22 +189,22 @@ def capacity(
     return filled.where(F.col("used") > F.col(size) * F.lit(threshold))
 
 
-def score(results: DataFrame, subject: str, *, failures_shown: int = 10) -> DataFrame:
-    """Share of passed checks per subject with the first failed names in check order and a band.
+def score(results: DataFrame, subject: str, *, failures_shown: int | None = None) -> DataFrame:
+    """Share of passed checks per subject with the failed names in check order and a band.
 
     ``results`` has the subject, ``check_order``, ``check`` and ``passed``; NULL ``passed`` is a
-    failure. Names come from the first ``failures_shown`` failures by a limited window.
+    failure. All names are listed, at most one per check; ``failures_shown`` limits a report to the first.
     """
     ok = F.coalesce(F.col("passed"), F.lit(False))
     totals = results.groupBy(subject).agg(
         F.count("*").alias("total"), F.count_if(ok).alias("n_passed")
     )
-    order = Window.partitionBy(subject).orderBy("check_order", "check")
+    failed = results.where(~ok).withColumn("_r", F.col("check_order"))
+    if failures_shown is not None:
+        order = Window.partitionBy(subject).orderBy("check_order", "check")
+        failed = failed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= failures_shown)
     names = (
-        results.where(~ok)
-        .withColumn("_r", F.row_number().over(order))
-        .where(F.col("_r") <= failures_shown)
-        .groupBy(subject)
+        failed.groupBy(subject)
         .agg(F.sort_array(F.collect_list(F.struct("_r", "check"))).alias("_f"))
         .select(subject, F.array_join(F.transform("_f", lambda x: x["check"]), ",").alias("failed_checks"))
     )
@@ -340,12 +340,10 @@ def session_counters(
 
 
 def fixed_profile(profiles: DataFrame, kind: str, attribute: str, value: str, profile: str) -> DataFrame:
-    """Attributes of a kind that exactly one profile sets, always to the same value."""
+    """Attributes that the only profile of a kind sets, always to the same value."""
+    only = profiles.groupBy(kind).agg(F.min(profile).alias("profile"), F.max(profile).alias("_other"))
+    only = only.where(F.col("profile") == F.col("_other")).drop("_other")
     folded = profiles.where(F.col(value).isNotNull()).groupBy(kind, attribute).agg(
-        F.min(profile).alias("profile"),
-        F.max(profile).alias("_other"),
-        F.min(value).alias("value"),
-        F.max(value).alias("_rival"),
+        F.min(value).alias("value"), F.max(value).alias("_rival")
     )
-    one = (F.col("profile") == F.col("_other")) & (F.col("value") == F.col("_rival"))
-    return folded.where(one).drop("_other", "_rival")
+    return folded.where(F.col("value") == F.col("_rival")).drop("_rival").join(only, kind)

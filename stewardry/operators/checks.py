@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -238,7 +239,7 @@ class Constraint:
         if self.excluded_values is not None:
             hit = F.lit(False)
             for part in self.excluded_values.split(","):
-                low, _, high = part.strip().partition("-")
+                low, high = re.fullmatch(r"\s*(-?[^-\s]+)\s*(?:-\s*(-?[^-\s]+))?\s*", part).groups()
                 hit = hit | col.between(float(low), float(high or low))
             found.append(("excluded_values", hit))
         if self.enum is not None:
@@ -262,14 +263,15 @@ def unmapped_columns(headers: DataFrame, mapping: DataFrame, *, column: str = "c
     return headers.join(mapping.select(column).distinct(), column, "left_anti")
 
 
-def fail_closed(found: DataFrame, what: str, *, show: int = 20) -> None:
-    """Raise before any write when ``found`` has rows; names the total and the first of them.
+def fail_closed(found: DataFrame, what: str, *, show: int | None = None) -> None:
+    """Raise before any write when ``found`` has rows; names all of them, as for the columns of a header.
 
-    The total is counted by the executors; only ``show`` rows of the report reach the driver.
+    ``show`` limits what reaches the driver where ``found`` may grow with the data; the total is counted
+    by the executors.
     """
-    first = found.limit(show).collect()
+    first = (found if show is None else found.limit(show)).collect()
     if first:
-        total = found.count()
+        total = len(first) if show is None else found.count()
         listed = "; ".join(", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in first)
         raise GateClosed(f"{total} {what}: {listed}")
 

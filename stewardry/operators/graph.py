@@ -60,24 +60,62 @@ def blast_radius(
 def hierarchy_paths(
     edges: DataFrame, *, child: str = "child", parent: str = "parent", separator: str = "/"
 ) -> DataFrame:
-    """Level and root-to-node path of every node; a root has a NULL parent. Cycles are never reached."""
+    """Level, root-to-node path and ``status`` of every node; a root has a NULL parent.
+
+    ``ok`` nodes hang under a root. ``orphan`` nodes hang under a node that is no child itself: the
+    path starts below it, and the level counts from there. ``cycle`` nodes lie on or behind a cycle
+    and have no path or level. A node with several parents keeps the least one; ``second_parent``
+    tells so in place of ``ok``. Each round doubles the stretch a node has walked up, so that depth d
+    takes log2(d) joins; when a round brings no node to its top, only cycles are left.
+    """
     spark = edges.sparkSession
     path = new_path(spark, "paths")
-    tree = cut(edges.select(F.col(child).alias("node"), F.col(parent).alias("_up")), "tree")
-    tree.where(F.col("_up").isNull()).select("node", F.col("node").alias("path")).write.parquet(
-        f"{path}/level=0"
+    pairs = edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).where(F.col("node").isNotNull())
+    tree = cut(
+        pairs.groupBy("node").agg(F.min("up").alias("up"), (F.count_distinct("up") > 1).alias("many")), "tree"
     )
-    like = spark.read.parquet(f"{path}/level=0")
-    level = 0
+    known = tree.select(F.col("node").alias("up"), F.lit(True).alias("_known"))
+    walking = cut(
+        tree.join(known, "up", "left").select(
+            "node", "many", F.when(F.col("_known"), F.col("up")).alias("up"),
+            F.col("node").cast("string").alias("path"), F.lit(0).cast("bigint").alias("level"),
+            (F.col("up").isNotNull() & F.col("_known").isNull()).alias("orphan"),
+        ),
+        "walking",
+    )
+    done = ["node", "many", "path", "level", "orphan"]
+    rounds = 0
     while True:
-        above = spark.read.schema(like.schema).parquet(f"{path}/level={level}")
-        below = tree.join(
-            above.select(F.col("node").alias("_up"), F.col("path").alias("_path")), "_up"
-        ).select("node", F.concat_ws(separator, "_path", "node").alias("path"))
-        level += 1
-        below.write.parquet(f"{path}/level={level}")
-        if spark.read.schema(like.schema).parquet(f"{path}/level={level}").isEmpty():
-            return _levels(spark, path, like)
+        walking.where(F.col("up").isNull()).select(*done).write.parquet(f"{path}/round={rounds}")
+        finished = spark.read.parquet(f"{path}/round={rounds}")
+        rest = walking.where(F.col("up").isNotNull())
+        if finished.isEmpty():
+            break
+        above = walking.select(
+            F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"),
+            F.col("level").alias("_level"), F.col("orphan").alias("_orphan"),
+        )
+        # what ended in an earlier round is looked up there
+        ended = spark.read.schema(finished.schema).parquet(*[f"{path}/round={k}" for k in range(rounds)]) if rounds else None
+        if ended is not None:
+            above = above.unionByName(ended.select(
+                F.col("node").alias("up"), F.lit(None).cast(dict(walking.dtypes)["up"]).alias("_up"),
+                F.col("path").alias("_path"), F.col("level").alias("_level"), F.col("orphan").alias("_orphan"),
+            ))
+        walking = cut(
+            rest.join(above, "up").select(
+                "node", "many", F.col("_up").alias("up"), F.concat_ws(separator, "_path", "path").alias("path"),
+                (F.col("level") + F.col("_level") + 1).alias("level"), (F.col("orphan") | F.col("_orphan")).alias("orphan"),
+            ),
+            "walking",
+        )
+        rounds += 1
+    status = F.when(F.col("orphan"), "orphan").when(F.col("many"), "second_parent").otherwise("ok")
+    placed = spark.read.schema(finished.schema).parquet(*[f"{path}/round={k}" for k in range(rounds + 1)])
+    cyclic = rest.select(
+        "node", F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("level"), F.lit("cycle").alias("status")
+    )
+    return placed.select("node", F.col("path").cast("string"), "level", status.alias("status")).unionByName(cyclic)
 
 
 def dependency_levels(nodes: DataFrame, refs: DataFrame, *, node: str = "node") -> DataFrame:
@@ -128,7 +166,8 @@ def unnest_children(
     """Rows of nested ``children: {kind, data[]}`` JSON with their parent, and the broken blocks.
 
     The depth is declared; each level is one explode. A ``children`` block without ``kind`` is an
-    issue and its rows are not emitted.
+    issue (``reason`` no_kind) and its rows are not emitted; so are the parents of rows below the
+    declared depth (``too_deep``).
     """
     level = documents.select(
         F.try_parse_json(document).alias("_v"), F.lit(None).cast("string").alias("parent"),
@@ -145,10 +184,11 @@ def unnest_children(
         kind = F.try_variant_get("_v", "$.children.kind", "string")
         data = F.try_variant_get("_v", "$.children.data", "array<variant>")
         block = F.try_variant_get("_v", "$.children", "variant")
-        broken = named.where(block.isNotNull() & kind.isNull()).select("node", "level")
+        broken = named.where(block.isNotNull() & kind.isNull()).select("node", "level", F.lit("no_kind").alias("reason"))
         problems = broken if problems is None else problems.unionByName(broken)
         level = named.where(kind.isNotNull()).select(
             F.explode(data).alias("_v"), F.col("node").alias("parent"), kind.alias("kind"),
             (F.col("level") + 1).alias("level"),
         )
-    return rows, problems
+    below = level.select(F.col("parent").alias("node"), (F.col("level") - 1).alias("level"), F.lit("too_deep").alias("reason"))
+    return rows, problems.unionByName(below.distinct())

@@ -140,13 +140,13 @@ def interval_overlap(
 ) -> DataFrame:
     """Pairs of rows in one bucket whose half-open intervals ``[start, start + length)`` meet.
 
-    NULL bucket or start is skipped; a NULL or zero length counts as one. Positions are integers.
+    NULL bucket or start is skipped; a NULL, zero or negative length counts as one. Positions are integers.
     Each interval is listed in every bin it covers, but met only in the bin where the later of two
     intervals starts. So every pair appears once without a distinct, a bucket of any size is split
     over its bins, and the join stays an equi-join on ``(bucket, bin)``. ``condition`` may use the
     carried columns with the suffixes ``_a`` and ``_b``.
     """
-    size = F.when(F.coalesce(F.col(length), F.lit(0)) == 0, F.lit(1)).otherwise(F.col(length))
+    size = F.greatest(F.coalesce(F.col(length), F.lit(1)), F.lit(1))
     rows = df.where(F.col(bucket).isNotNull() & F.col(start).isNotNull()).select(
         F.col(bucket).alias("bucket"),
         F.col(row_id).alias("id"),
@@ -183,13 +183,12 @@ def cidr_containment(
     *,
     address: str,
     scope: str,
-    lengths: Sequence[int] = tuple(range(33)),
 ) -> DataFrame:
     """Addresses outside every approved prefix (``network``, ``prefix_len``) of their own scope.
 
-    Every address lists its network for each prefix length in use (33 at most), which turns
-    containment into an equi-join on ``(scope, length, network)``. NULL or unreadable addresses are
-    left to :func:`without_any`.
+    Every address lists its network for each prefix length in use in its scope (33 at most), which
+    turns containment into an equi-join on ``(scope, length, network)``. NULL addresses are left to
+    :func:`without_any`, those that are no IPv4 address to :func:`unreadable_addresses`.
     """
     approved = prefixes.select(
         scope, F.col("prefix_len").cast("int").alias("_len"), F.col("network").alias("_net")
@@ -197,13 +196,19 @@ def cidr_containment(
     numbered = addresses.withColumn("_ip", ip_to_long(F.col(address)))
     seen = numbered.where(F.col("_ip").isNotNull())
     distinct = seen.select(scope, "_ip").distinct()
-    candidates = distinct.select(
-        "*", F.explode(F.array(*[F.lit(n) for n in sorted(set(lengths))])).alias("_len")
-    ).withColumn("_net", network_of(F.col("_ip"), F.col("_len")))
+    lengths = approved.groupBy(scope).agg(F.collect_set("_len").alias("_lens"))
+    candidates = distinct.join(lengths, scope).select(scope, "_ip", F.explode("_lens").alias("_len")).withColumn(
+        "_net", network_of(F.col("_ip"), F.col("_len"))
+    )
     inside = candidates.join(approved, [scope, "_len", "_net"], "left_semi").select(scope, "_ip")
     return seen.join(inside.distinct(), [scope, "_ip"], "left_anti").drop("_ip")
 
 
+def unreadable_addresses(addresses: DataFrame, *, address: str) -> DataFrame:
+    """Addresses that are given but no IPv4 address, which containment cannot judge."""
+    return addresses.where(F.col(address).isNotNull() & ip_to_long(F.col(address)).isNull())
+
+
 def without_any(objects: DataFrame, details: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Objects that own no detail row at all."""
     return objects.join(details.select(*keys).distinct(), list(keys), "left_anti")

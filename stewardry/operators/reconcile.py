@@ -15,6 +15,10 @@ class EmptyDesiredState(RuntimeError):
     """The desired state is empty, which would delete everything tracked."""
 
 
+class ConflictingState(RuntimeError):
+    """Desired rows contradict each other."""
+
+
 def design_diff(
     expected: DataFrame, actual: DataFrame, key: str, attributes: Sequence[str] = ()
 ) -> DataFrame:
@@ -59,28 +63,38 @@ def merge_inputs(inputs: Sequence[DataFrame]) -> DataFrame:
 def reconcile(
     desired: DataFrame, actual: DataFrame, key: str, columns: Sequence[str], *, allow_empty: bool = False
 ) -> DataFrame:
-    """The action per key: ``create``, ``update``, ``keep`` or ``delete``.
+    """The action per key: ``create``, ``update``, ``keep``, ``delete`` or ``conflict``.
 
-    Anything tracked and no longer produced is deleted, so an empty desired state fails unless
-    ``allow_empty``; that test reads at most one row.
+    The columns are the state to write: the desired ones, NULL included, and the actual ones of a key
+    that is deleted. Desired rows that differ under one key, or have no key, are a ``conflict`` and
+    change nothing; equal ones count once. Anything tracked and no longer produced is deleted, so an
+    empty desired state fails unless ``allow_empty``; that test reads at most one row.
     """
     if not allow_empty and desired.isEmpty():
         raise EmptyDesiredState("desired state is empty; pass allow_empty=True to delete everything")
-    want = desired.select(key, F.struct(F.lit(1).alias("_"), *columns).alias("_d"))
-    have = actual.select(key, F.struct(F.lit(1).alias("_"), *columns).alias("_a"))
+    whole = F.struct(F.lit(1).alias("_"), *columns)
+    want = desired.groupBy(key).agg(F.min(whole).alias("_d"), F.max(whole).alias("_other"))
+    have = actual.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(whole).alias("_a"))
+    clash = F.col("_d").isNotNull() & (F.col(key).isNull() | ~F.col("_d").eqNullSafe(F.col("_other")))
     action = (
-        F.when(F.col("_a").isNull(), "create")
+        F.when(clash, "conflict")
+        .when(F.col("_a").isNull(), "create")
         .when(F.col("_d").isNull(), "delete")
         .when(F.col("_d").eqNullSafe(F.col("_a")), "keep")
         .otherwise("update")
     )
+    stays = F.col("_d").isNull() | (clash & F.col("_a").isNotNull())
     return want.join(have, key, "full_outer").select(
-        key, action.alias("action"), *[F.coalesce(f"_d.{c}", f"_a.{c}").alias(c) for c in columns]
+        key,
+        action.alias("action"),
+        *[F.when(stays, F.col(f"_a.{c}")).otherwise(F.col(f"_d.{c}")).alias(c) for c in columns],
     )
 
 
 def apply_plan(plan: DataFrame, key: str, columns: Sequence[str], path: str) -> None:
     """Write the state after a reconcile as a new version; the old files are never touched."""
+    if not plan.where(F.col("action") == "conflict").isEmpty():
+        raise ConflictingState("desired rows differ under one key, or have none; nothing is written")
     plan.where(F.col("action") != "delete").select(key, *columns).write.parquet(path)
 
 

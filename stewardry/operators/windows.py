@@ -209,8 +209,9 @@ def allocate_next(
     held = used.where(F.col(requester).isNotNull()).groupBy(pool, requester).agg(
         F.min("number").alias("number")
     )
-    kept = requests.select(pool, requester).join(held, [pool, requester])
-    waiting = requests.select(pool, requester).join(held, [pool, requester], "left_anti")
+    asked = requests.select(pool, requester).distinct()
+    kept = asked.join(held, [pool, requester])
+    waiting = asked.join(held, [pool, requester], "left_anti")
     blocks = pools.select(
         pool,
         "low",
@@ -239,12 +240,15 @@ def log_tail(lines: DataFrame, keys: Sequence[str], order: Sequence[str], n: int
     return lines.withColumn("from_end", F.row_number().over(latest)).where(F.col("from_end") <= n)
 
 
+CLASS_LINE = r"^[A-Za-z_][\w.]*(:|\s*$)"
+
+
 def stitch_tracebacks(lines: DataFrame, *, own_code: str, block: int = 100_000) -> DataFrame:
     """One row per traceback of ``file, line_no, text``: class, message and innermost own frame.
 
     Every line that is not indented opens a segment (a running count over blocks of lines). A
-    traceback is a segment headed by its opening line; the head of the next segment is its
-    exception line.
+    traceback is a segment headed by its opening line, which may stand behind a log prefix; the head of
+    the next segment is its exception line if it is a class alone or with a message.
     """
     flush = F.when(F.col("text").rlike(r"^\s|^\z"), 0).otherwise(1)
     parts = running_total(
@@ -256,9 +260,9 @@ def stitch_tracebacks(lines: DataFrame, *, own_code: str, block: int = 100_000)
         F.min_by("text", "line_no").alias("head"),
         F.max_by("text", F.when(frame, F.col("line_no"))).alias("frame"),
     )
-    opened = segments.where(F.col("head").startswith("Traceback (most recent call last)"))
+    opened = segments.where(F.col("head").contains("Traceback (most recent call last)"))
     closing = segments.select(
-        "file", (F.col("_seg") - 1).alias("_seg"), F.col("head").alias("exception")
+        "file", (F.col("_seg") - 1).alias("_seg"), F.when(F.col("head").rlike(CLASS_LINE), F.col("head")).alias("exception")
     )
     return opened.join(closing, ["file", "_seg"], "left").select(
         "file",
@@ -292,18 +296,24 @@ def sort_breaks(
     return seen.where(F.col("_before") > F.struct(*order)).drop("_before")
 
 
+LETTERS = 6  # 26**6 siblings, 300 million
+
+
 def load_order(levels: DataFrame, *, kind: str = "kind", level: str = "level") -> DataFrame:
-    """``NN`` from the dependency level and a sibling letter (``a``, ``b`` .. ``z``, ``aa`` ..).
+    """``NN`` from the dependency level and sibling letters (``a`` .. ``z``, ``aa`` .. ``zz``, ``aaa`` ..).
 
-    The input has one row per kind of a schema, so a level is a handful of rows.
+    The number is as wide as the highest level needs, two digits at least. The input has one row per
+    kind of a schema, so a level is a handful of rows.
     """
     w = Window.partitionBy(level).orderBy(kind)
-    n = F.row_number().over(w) - 1
-    first = F.when(n >= 26, F.chr(F.lit(96) + F.floor(n / 26))).otherwise(F.lit(""))
-    letter = F.concat(first, F.chr(F.lit(97) + F.pmod(n, F.lit(26))))
-    return levels.where(F.col(level).isNotNull()).select(
-        kind, level, F.concat(F.lpad((F.col(level) + 1).cast("string"), 2, "0"), letter).alias("prefix")
-    )
+    placed = levels.where(F.col(level).isNotNull()).withColumn("_n", F.row_number().over(w).cast("bigint"))
+    letters, left = F.lit(""), F.col("_n")
+    for _ in range(LETTERS):
+        letters = F.concat(F.when(left > 0, F.chr(F.lit(97) + F.pmod(left - 1, F.lit(26)))).otherwise(F.lit("")), letters)
+        left = F.floor((left - 1) / 26)
+    number = (F.col(level) + 1).cast("string")
+    width = F.greatest(F.lit(2), F.length(F.max(F.col(level) + 1).over(Window.partitionBy(F.lit(0))).cast("string")))
+    return placed.select(kind, level, F.concat(F.repeat(F.lit("0"), width - F.length(number)), number, letters).alias("prefix"))
 
 
 def order_findings(

@@ -147,9 +147,7 @@ def cidr_containment(t: Tables):
     prefixes = t.nation.selectExpr(
         "n_nationkey AS site", "'10.' || n_nationkey || '.0.0/' || (16 + n_nationkey % 5) AS prefix"
     ).select("site", cidr_first(F.col("prefix")).alias("network"), prefix_length(F.col("prefix")).alias("prefix_len"))
-    rogue = joins.cidr_containment(
-        addresses(t), prefixes, address="address", scope="site", lengths=range(16, 21)
-    )
+    rogue = joins.cidr_containment(addresses(t), prefixes, address="address", scope="site")
     return rogue.select("o_orderkey", "address")
 
 
@@ -563,8 +561,9 @@ def desired_customers(t: Tables):
 @query(
     "G3_reconcile",
     f"""SELECT coalesce(d.c_custkey, a.c_custkey) AS c_custkey, CASE WHEN a.c_custkey IS NULL THEN 'create' WHEN d.c_custkey IS NULL THEN 'delete'
-          WHEN d.c_name = a.c_name AND d.c_mktsegment = a.c_mktsegment THEN 'keep' ELSE 'update' END AS action,
-          coalesce(d.c_name, a.c_name) AS c_name, coalesce(d.c_mktsegment, a.c_mktsegment) AS c_mktsegment
+          WHEN d.c_name IS NOT DISTINCT FROM a.c_name AND d.c_mktsegment IS NOT DISTINCT FROM a.c_mktsegment THEN 'keep' ELSE 'update' END AS action,
+          CASE WHEN d.c_custkey IS NULL THEN a.c_name ELSE d.c_name END AS c_name,
+          CASE WHEN d.c_custkey IS NULL THEN a.c_mktsegment ELSE d.c_mktsegment END AS c_mktsegment
         FROM ({DESIRED}) d FULL JOIN customer a ON d.c_custkey = a.c_custkey""",
     headline=True,
 )
@@ -679,8 +678,26 @@ def missing_outputs(t: Tables):
     headline=True,
 )
 def hierarchy_paths(t: Tables):
-    out = graph.hierarchy_paths(tree_edges(t))
-    return out.withColumn("level", F.col("level").cast("bigint"))
+    return graph.hierarchy_paths(tree_edges(t)).select("node", "path", "level")
+
+
+@query(
+    "I1_hierarchy_status",
+    """SELECT k AS node, CASE k % 4 WHEN 1 THEN (k - 1) || '/' || k WHEN 3 THEN NULL ELSE CAST(k AS VARCHAR) END AS path,
+         CAST(CASE k % 4 WHEN 1 THEN 1 WHEN 3 THEN NULL ELSE 0 END AS BIGINT) AS level,
+         CASE k % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'second_parent' WHEN 2 THEN 'orphan' ELSE 'cycle' END AS status
+       FROM (SELECT o_orderkey AS k FROM orders UNION SELECT o_orderkey - 1 FROM orders WHERE o_orderkey % 4 = 1)""",
+)
+def hierarchy_status(t: Tables):
+    """Roots, children with two parents, children of nobody, and cycles, from all order keys."""
+    edges = t.orders.selectExpr(
+        """inline(CASE o_orderkey % 4 WHEN 0 THEN array(struct(o_orderkey AS child, CAST(NULL AS BIGINT) AS parent))
+           WHEN 1 THEN array(struct(o_orderkey - 1 AS child, CAST(NULL AS BIGINT) AS parent), struct(o_orderkey AS child, o_orderkey - 1 AS parent),
+                             struct(o_orderkey AS child, o_orderkey + 1000000000 AS parent))
+           WHEN 2 THEN array(struct(o_orderkey AS child, -o_orderkey AS parent))
+           ELSE array(struct(o_orderkey AS child, o_orderkey AS parent)) END)"""
+    )
+    return graph.hierarchy_paths(edges)
 
 
 @query(

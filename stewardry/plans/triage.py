@@ -168,13 +168,15 @@ def session_counters(t: Tables):
 @query(
     "D20_fixed_profile",
     """SELECT c_nationkey AS kind, 'segment' AS attribute, min(profile) AS profile, min(value) AS value FROM (
-         SELECT c_nationkey, 'p' || c_custkey % 3 AS profile, CASE WHEN c_custkey % 50 < 3 THEN c_mktsegment END AS value FROM customer)
-       WHERE value IS NOT NULL GROUP BY 1 HAVING count(DISTINCT profile) = 1 AND count(DISTINCT value) = 1""",
+         SELECT c_nationkey, 'p' || CASE WHEN c_nationkey % 3 = 0 THEN 0 ELSE c_custkey % 3 END AS profile,
+           CASE WHEN c_custkey % 50 < 3 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'BUILDING' ELSE c_mktsegment END END AS value FROM customer)
+       GROUP BY 1 HAVING count(DISTINCT profile) = 1 AND count(DISTINCT value) = 1""",
 )
 def fixed_profile(t: Tables):
     profiles = t.customer.selectExpr(
-        "c_nationkey AS kind", "'segment' AS attribute", "'p' || c_custkey % 3 AS profile",
-        "CASE WHEN c_custkey % 50 < 3 THEN c_mktsegment END AS value",
+        "c_nationkey AS kind", "'segment' AS attribute",
+        "'p' || CASE WHEN c_nationkey % 3 = 0 THEN 0 ELSE c_custkey % 3 END AS profile",
+        "CASE WHEN c_custkey % 50 < 3 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'BUILDING' ELSE c_mktsegment END END AS value",
     )
     return agg.fixed_profile(profiles, "kind", "attribute", "value", "profile")
 
