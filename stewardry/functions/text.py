@@ -218,12 +218,16 @@ SECRETS = {
     "connection_string": r"\b[a-z][a-z0-9+]*://[^\s:/@]+:[^\s:/@]+@",
 }
 
+_ALLOWED = "|".join([*map(re.escape, ALLOWED_IPS), *(re.escape(p) + r"\d+" for p in DOCUMENTATION_PREFIXES)])
+#: An address that a redacted text must not show: loopback, wildcard and documentation addresses stay.
+TELLING_IPV4 = rf"\b(?!(?:{_ALLOWED})\b){IPV4.removeprefix(chr(92) + 'b')}"
+
 REDACTIONS: tuple[tuple[str, str], ...] = (
     (INTERNAL_URL, "<internal-url>"),
     (EMAIL, "<email>"),
     (INTERNAL_HOST, "<internal-host>"),
     (USER_PATH + r"\S*", "<path>"),
-    (IPV4, "<internal-ip>"),
+    (TELLING_IPV4, "<internal-ip>"),
     (IPV6, "<internal-ipv6>"),
 )
 
@@ -256,12 +260,16 @@ def detect_leaks(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """
     pieces = F.split(text, IPV4)
     ips = F.regexp_extract_all(text, F.lit(IPV4), F.lit(0))
+    some = lambda parts, i: F.coalesce(F.get(parts, i), F.lit(""))
+    # 20 characters reach over one neighbouring address, never over two and a placeholder
+    before = lambda i: F.concat(some(pieces, i - 1), some(ips, i - 1), F.get(pieces, i))
+    after = lambda i: F.concat(F.get(pieces, i + 1), some(ips, i + 1), some(pieces, i + 2))
     around = F.transform(
         F.sequence(F.lit(0), F.size(ips) - 1),
         lambda i: F.struct(
             F.get(ips, i).alias("found"),
             F.concat(
-                F.right(F.get(pieces, i), F.lit(20)), F.lit("\n"), F.left(F.get(pieces, i + 1), F.lit(20))
+                F.right(before(i), F.lit(20)), F.lit("\n"), F.left(after(i), F.lit(20))
             ).alias("near"),
         ),
     )
@@ -276,7 +284,7 @@ def detect_leaks(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     hits = F.concat(
         tagged("ipv4", leaking),
         tagged("internal_host", F.regexp_extract_all(text, F.lit(INTERNAL_HOST), F.lit(0))),
-        tagged("user_path", F.regexp_extract_all(text, F.lit(USER_PATH), F.lit(0))),
+        tagged("user_path", F.regexp_extract_all(text, F.lit(HOME_PATH), F.lit(0))),
         tagged("ipv6", F.regexp_extract_all(text, F.lit(IPV6), F.lit(0))),
     )
     return df.select(*keep, F.explode(hits).alias("_h")).select(*keep, "_h.leak", "_h.found")
@@ -317,15 +325,19 @@ VOLATILE: tuple[tuple[str, str], ...] = (
     (r"https?://\S+", "<url>"),
     (IPV4, "<ip>"),
     (r"(?:/[\w.-]+){2,}", "<path>"),
-    (r"\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b", "<host>"),
     (r"\b[a-z0-9]+(?:-[a-z0-9]+)*-[0-9a-f]{8}\b", "<branch>"),
+    (r"\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b", "<host>"),
     (r"\d+", "<n>"),
 )
 
 
+#: An exception class behind its modules; the class stays, or different errors would become one host.
+QUALIFIED_CLASS = r"\b(?:[A-Za-z_][A-Za-z0-9_]*\.)+([A-Z][A-Za-z0-9_]*(?:Error|Exception|Warning|Timeout|Failure))\b"
+
+
 def error_template(message: Column) -> Column:
     """The message without ids, times, hosts, addresses and paths: its class and constant words."""
-    return collapse_spaces(redact(message, VOLATILE))
+    return collapse_spaces(redact(F.regexp_replace(message, QUALIFIED_CLASS, "$1"), VOLATILE))
 
 
 def exception_parts(block: Column, own_code: str) -> tuple[Column, Column, Column]:

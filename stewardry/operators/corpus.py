@@ -303,31 +303,35 @@ def _scan_by_grams(low: DataFrame, text_id: str, needles: DataFrame) -> DataFram
     return hits.join(low, text_id).where(F.contains("_low", "needle")).select(text_id, "needle")
 
 
-def distinct_tokens(df: DataFrame, row_id: str, text: str, min_length: int) -> DataFrame:
-    """Rows ``(row_id, token)`` of the distinct ASCII word tokens of a text."""
+def distinct_tokens(
+    df: DataFrame, row_id: str, text: str, min_length: int, stop: Sequence[str] = ()
+) -> DataFrame:
+    """Rows ``(row_id, token)`` of the distinct ASCII word tokens of a text, without stop words."""
     tokens = F.array_distinct(F.split(F.lower(F.col(text)), "[^a-z0-9]+"))
+    if stop:
+        tokens = F.array_except(tokens, F.array(*[F.lit(w) for w in sorted(set(stop))]))
     long = F.filter(tokens, lambda x: F.length(x) >= min_length)
     return df.select(row_id, F.explode(long).alias("token"))
 
 
 def known_issue_scores(
     subjects: DataFrame, issues: DataFrame, *, subject: str, subject_text: str, issue: str,
-    issue_text: str, min_length: int = 7, synonyms: DataFrame | None = None,
+    issue_text: str, min_length: int = 1, stop: Sequence[str] = (), synonyms: DataFrame | None = None,
 ) -> DataFrame:
     """Shared-token score of subjects and known issues, open and closed alike.
 
-    A token weighs 1000 // (issues that hold it), so constant words of one issue count most and a
-    token of more than a thousand issues counts nothing. Weightless tokens are left out, which bounds
-    what one token of a subject can meet. Scores are summed map-side; with ``synonyms`` (``token, synonym``) a second pass adds the
+    A token weighs 10**9 // (issues that hold it), 1 at least, so constant words of one issue count most
+    and no shared token is lost. ``stop`` and ``min_length`` leave out what the caller holds to say
+    nothing. Scores are summed map-side; with ``synonyms`` (``token, synonym``) a second pass adds the
     synonyms of the subject's tokens.
     """
-    words = distinct_tokens(subjects, subject, subject_text, min_length)
+    words = distinct_tokens(subjects, subject, subject_text, min_length, stop)
     if synonyms is not None:
         also = words.join(synonyms, "token").select(subject, F.col("synonym").alias("token"))
         words = words.unionByName(also).distinct()
-    index = distinct_tokens(issues, issue, issue_text, min_length)
-    weights = index.groupBy("token").agg(F.floor(F.lit(1000) / F.count("*")).alias("weight"))
-    weighted = index.join(weights.where(F.col("weight") > 0), "token")
+    index = distinct_tokens(issues, issue, issue_text, min_length, stop)
+    weights = index.groupBy("token").agg(F.expr("greatest(1, 1000000000 div count(*))").alias("weight"))
+    weighted = index.join(weights, "token")
     return (
         words.join(weighted, "token")
         .groupBy(subject, issue)

@@ -236,10 +236,61 @@ def test_reconcile_guard(spark):
     have = spark.createDataFrame([(1, "a")], "id int, v string")
     with pytest.raises(reconcile.EmptyDesiredState):
         reconcile.reconcile(have.where("false"), have, "id", ["v"])
+    want = spark.createDataFrame([(1, None), (2, "b"), (2, "b"), (3, "c"), (3, "d"), (None, "x")], "id int, v string")
+    plan = reconcile.reconcile(want, have, "id", ["v"])
+    assert sorted(map(str, map(tuple, plan.select("id", "action", "v").collect()))) == [
+        "(1, 'update', None)", "(2, 'create', 'b')", "(3, 'conflict', 'c')", "(None, 'conflict', 'x')",
+    ]
+    settled = plan.where("action IN ('update', 'create')").select("id", "v")
+    assert {r.action for r in reconcile.reconcile(want.where("id < 3"), settled, "id", ["v"]).collect()} == {"keep"}
     wiped = reconcile.reconcile(have.where("false"), have, "id", ["v"], allow_empty=True)
     assert values(wiped, "id", "action") == [(1, "delete")]
 
 
+def test_hierarchies_end(spark):
+    rows = [("a", None), ("b", "a"), ("b", "c"), ("c", "b"), ("x", "nobody"), ("y", "x"), ("p", "q"), ("q", "p"), ("r", "q")]
+    rows += [(f"n{k:03}", f"n{k - 1:03}" if k else None) for k in range(70)]
+    out = {r.node: r for r in graph.hierarchy_paths(spark.createDataFrame(rows, "child string, parent string")).collect()}
+    assert len(out) == 78
+    assert (out["n069"].path, out["n069"].level) == ("/".join(f"n{k:03}" for k in range(70)), 69)
+    assert {n: out[n].status for n in "abcxypqr"} == {
+        "a": "ok", "b": "second_parent", "c": "ok", "x": "orphan", "y": "orphan", "p": "cycle", "q": "cycle", "r": "cycle",
+    }
+    assert out["c"].path == "a/b/c" and out["y"].path == "x/y" and out["p"].path is None
+    assert graph.hierarchy_paths(spark.createDataFrame([("p", "p")], "child string, parent string")).first().status == "cycle"
+
+
+def test_limits_that_used_to_cut(spark):
+    results = spark.range(12).selectExpr("'s' AS subject", "id AS check_order", "'c' || id AS check", "false AS passed")
+    assert agg.score(results, "subject").first().failed_checks == ",".join(f"c{k}" for k in range(12))
+    kinds = spark.range(800).selectExpr("lpad(id, 4, '0') AS kind", "9L AS level").union(spark.sql("SELECT 'deep', 99L"))
+    prefixes = {r.kind: r.prefix for r in windows.load_order(kinds).collect()}
+    assert (prefixes["deep"], prefixes["0000"], prefixes["0026"], prefixes["0702"], prefixes["0701"]) == ("100a", "010a", "010aa", "010aaa", "010zz")
+    issues = spark.range(1001).selectExpr("id AS issue", "'shared word' AS text")
+    found = corpus.known_issue_scores(
+        spark.sql("SELECT 1 AS s, 'shared' AS t"), issues, subject="s", subject_text="t", issue="issue", issue_text="text"
+    )
+    assert found.count() == 1001 and found.where("score < 1").count() == 0
+    nested = spark.createDataFrame([('{"id":"a","children":{"kind":"k","data":[{"id":"b","children":{"kind":"k","data":[{"id":"c"}]}}]}}',)], "d string")
+    rows, problems = graph.unnest_children(nested, "d", [], key="id", depth=2)
+    assert values(rows, "node") == [("a",), ("b",)] and values(problems, "node", "level", "reason") == [("b", 1, "too_deep")]
+
+
+def test_repeated_requests_get_one_number(spark):
+    asks = spark.createDataFrame([("p", 1), ("p", 1), ("p", 2)], "pool string, r long")
+    pools = spark.createDataFrame([("p", 1, 5)], "pool string, low long, high long")
+    used = spark.createDataFrame([], "pool string, number long, r long")
+    assert values(windows.allocate_next(asks, pools, used, requester="r"), "r", "number") == [(1, 1), (2, 2)]
+
+
+def test_tracebacks_behind_a_prefix(spark):
+    lines = ["2024-01-01 ERROR Traceback (most recent call last):", '  File "/own/a.py", line 1', "ValueError: no", "INFO ok",
+             "Traceback (most recent call last):", '  File "/own/b.py", line 2', "2024-01-01 INFO next"]
+    df = spark.createDataFrame([("f", k, t) for k, t in enumerate(lines)], "file string, line_no long, text string")
+    out = windows.stitch_tracebacks(df, own_code="/own/").orderBy("line_no").collect()
+    assert [(r.exception_class, r.innermost_frame) for r in out] == [("ValueError", 'File "/own/a.py", line 1'), (None, 'File "/own/b.py", line 2')]
+
+
 def test_nested_blocks_keep_all_children(spark):
     df = spark.range(25).selectExpr("'p' AS parent", "id")
     out = reconcile.nest_components(df, "parent", kind="C", columns=["id"], order=["id"], chunk=scale.block_of(F.col("id"), 4), block_size=10)
@@ -296,19 +347,28 @@ def test_redaction_and_leaks(spark):
     cleaned = df.select(text.redact(F.col("t"))).first()[0]
     for word in ("acme", "10.50", "alice", "b.org"):
         assert word not in cleaned
+    assert "127.0.0.1" in cleaned
     assert "<internal-url>" in cleaned and "<path>" in cleaned and "<email>" in cleaned
     leaks = text.detect_leaks(df, F.col("t"), ["id"])
     assert values(leaks.where("leak = 'ipv4'"), "id", "found") == [(1, "10.50.12.7")]
-    assert text.redact is not None and text.container_rule(["db", "db-1"])[0] == r"\b(?:db\-1|db)\b"
+    close = spark.createDataFrame([(3, "<redacted> 1.2.3.4 5.6.7.8"), (4, "~/x or /users/ann or c:\\users\\bob")], "id int, t string")
+    found = values(text.detect_leaks(close, F.col("t"), ["id"]), "id", "leak", "found")
+    assert found == [(4, "user_path", "/users/ann"), (4, "user_path", "c:\\users\\bob"), (4, "user_path", "~/x")]
+    assert text.container_rule(["db", "db-1"])[0] == r"\b(?:db\-1|db)\b"
 
 
 def test_versions(spark):
-    df = spark.createDataFrame([("1.2.4", "1.2.2"), ("1.2.4", "1.3.0"), ("1.2.4", None), ("1.10", "1.9.5"), ("1.2", "1.2.1")], "r string, f string")
+    df = spark.createDataFrame([("1.2.4", "1.2.2"), ("1.2.4", "1.3.0"), ("1.2.4", None), ("1.10", "1.9.5"), ("1.2", "1.2.1"), ("1.2.3.4.5", "1.2.3.4.9"), ("1.2.3", "1.2.4rc1"), ("1.2.4rc1", "1.2.4"), ("1.2.4", "1.2.4rc2"), ("1.0", "1"), ("?", "1.0")], "r string, f string")
     assert [r[0] for r in df.select(text.fix_status(F.col("r"), F.col("f"))).collect()] == [
-        "unconfirmed", "upgrade", "undetermined", "unconfirmed", "upgrade",
+        "unconfirmed", "upgrade", "undetermined", "unconfirmed", "upgrade", "upgrade", "upgrade", "upgrade", "unconfirmed", "unconfirmed", "undetermined",
     ]
 
 
+def test_templates_keep_the_class(spark):
+    df = spark.createDataFrame([("app.core.SchemaNotFoundError: Unable to load x.y.com",), ("app.core.LockError: Unable to load x.y.com",)], "m string")
+    assert values(df.select(text.error_template(F.col("m")).alias("t")), "t") == [("LockError: Unable to load <host>",), ("SchemaNotFoundError: Unable to load <host>",)]
+
+
 # --- corpora ------------------------------------------------------------------------------------------
 
 
