@@ -326,15 +326,18 @@ def global_checks(t: Tables):
     "J2_stream_signals",
     f"""WITH l AS (SELECT event_type AS service, time_bucket(INTERVAL 1 DAY, ts) AS w, {MESSAGE} AS msg FROM events)
         SELECT CAST(w AS TIMESTAMP) AS window_start, service, count(*) FILTER (regexp_matches(msg, '(?i)\\b(error|critical|fatal|panic)\\b')) AS severity,
-          count(*) FILTER (regexp_matches(msg, '(?i)connection (refused|reset|closed)|timed? ?out|retry')) AS connection
-        FROM l WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""",
+          count(*) FILTER (regexp_matches(msg, '(?i)connection (refused|reset|closed)|timed? ?out|retry')) AS connection,
+          w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS is_final
+        FROM l GROUP BY ALL""",
 )
 def stream_signals(t: Tables):
-    feed = event_feed(t).selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type AS service", f"{MESSAGE} AS msg")
+    row = ["CAST(ts AS TIMESTAMP) AS ts", "event_type AS service", f"{MESSAGE} AS msg"]
     tests = {k: F.col("msg").rlike(agg.SIGNAL_CLASSES[k]) for k in ("severity", "connection")}
     out = changes.run_to_end(
-        changes.stream_signals(feed, "ts", "service", tests, width="1 day", delay="1 hour"), "signals"
-    )
+        changes.stream_signals(event_feed(t).selectExpr(*row), "ts", "service", tests, width="1 day", delay="1 hour"), "signals"
+    ).withColumn("is_final", F.lit(True))
+    held = changes.open_signals(t.events.selectExpr(*row), "ts", "service", tests, width="1 day", delay="1 hour")
+    out = out.unionByName(held.withColumn("is_final", F.lit(False)))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -342,17 +345,20 @@ def stream_signals(t: Tables):
     "J3_stream_incidents",
     """WITH e AS (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL
            OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS o FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))
-       SELECT user_id, count(*) AS n_signals, min(ts) AS first_seen, max(ts) AS last_seen FROM e GROUP BY user_id, i
-       HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type = 'error')""",
+       SELECT user_id, count(*) AS n_signals, min(ts) AS first_seen, max(ts) AS last_seen,
+         max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type = 'error') AS is_final
+       FROM e GROUP BY user_id, i""",
 )
 def stream_incidents(t: Tables):
-    feed = event_feed(t).where("event_type = 'error'").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "user_id")
+    errors = lambda rows: rows.where("event_type = 'error'").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "user_id")
     out = changes.run_to_end(
-        changes.stream_incidents(feed, ["user_id"], "ts", gap="6 hours", delay="1 hour"), "incidents"
-    )
+        changes.stream_incidents(errors(event_feed(t)), ["user_id"], "ts", gap="6 hours", delay="1 hour"), "incidents"
+    ).withColumn("is_final", F.lit(True))
+    held = changes.open_incidents(errors(t.events), ["user_id"], "ts", gap="6 hours", delay="1 hour")
+    out = out.unionByName(held.withColumn("is_final", F.lit(False)))
     return out.select(
         "user_id", "n_signals", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"),
-        F.col("last_seen").cast("timestamp_ntz").alias("last_seen"),
+        F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "is_final",
     )
 
 

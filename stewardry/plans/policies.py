@@ -71,12 +71,12 @@ def search_nodes(t: Tables):
 
 @query(
     "B3_page",
-    """SELECT o_orderkey, o_custkey, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total_count,
-         (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') > 150 AS has_more
-       FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50 OFFSET 100""",
+    """SELECT o_orderkey, o_custkey, (SELECT count(*) FROM orders) AS total_count,
+         (SELECT count(*) FROM orders) > 150 AS has_more
+       FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100""",
 )
 def page(t: Tables):
-    orders = t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    orders = t.orders.select("o_orderkey", "o_custkey")
     return checks.page(orders, order=["o_orderkey"], limit=50, offset=100)
 
 

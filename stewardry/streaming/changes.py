@@ -84,6 +84,33 @@ def stream_signals(
     )
 
 
+def _mark(rows: DataFrame, ts: str, delay: str) -> Column:
+    """Where the watermark stands after all rows: nothing that ends later has come out of the stream."""
+    return rows.agg((F.max(ts) - F.expr(f"INTERVAL {delay}")).alias("mark")).scalar()
+
+
+def open_signals(
+    lines: DataFrame, ts: str, service: str, classes: dict[str, Column], *, width: str, delay: str
+) -> DataFrame:
+    """The windows that :func:`stream_signals` still holds when its input ends, from the rows it has read."""
+    return (
+        lines.groupBy(F.window(ts, width), service)
+        .agg(*[F.count_if(test).alias(name) for name, test in classes.items()])
+        .where(F.col("window.end") > _mark(lines, ts, delay))
+        .select(F.col("window.start").alias("window_start"), service, *classes)
+    )
+
+
+def open_incidents(signals: DataFrame, keys: list[str], ts: str, *, gap: str, delay: str) -> DataFrame:
+    """The sessions that :func:`stream_incidents` still holds when its input ends."""
+    return (
+        signals.groupBy(*keys, F.session_window(ts, gap))
+        .agg(F.count("*").alias("n_signals"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
+        .where(F.col("session_window.end") > _mark(signals, ts, delay))
+        .drop("session_window")
+    )
+
+
 def stream_incidents(signals: DataFrame, keys: list[str], ts: str, *, gap: str, delay: str) -> DataFrame:
     """Incidents as session windows; rows later than the watermark are dropped (and counted by Spark)."""
     return (

@@ -17,4 +17,7 @@ def test_same_rows_as_sql(spark, con, data, name):
         QUERIES[name](spark, data).collect()
         return
     same, note = compare(spark, con, name, data)
-    assert same or note.endswith("EMPTY"), note
+    if note.endswith("EMPTY"):  # too few rows to tell: the next size must have some
+        larger = data.replace("sf0.001", "sf0.01")
+        same, note = compare(spark, connect(larger), name, larger)
+    assert same, note
