@@ -184,7 +184,8 @@ def marks(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         .where("n > 1")
         .select("anchor", (F.col("least") != F.col("most")).alias("branches"))
     )
-    repeated = cut(read.join(anchors, "anchor"), "repeated-pieces")
+    # written, so that the join deals both sides anew and a hot anchor's pieces can be split over tasks
+    repeated = cut(read.join(cut(anchors, "anchors"), "anchor"), "repeated-pieces")
     branches = (
         repeated.where("branches").groupBy("anchor", "piece", "windows")
         .agg(F.count("*").alias("copies"), F.first("_k1").alias("_k1"), F.first("_k2").alias("_k2"), F.first("start").alias("start"))
@@ -194,6 +195,7 @@ def marks(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     settled = opened.join(counted, ["w1", "w2"]).groupBy("anchor", "piece").agg(
         F.bit_or(F.expr("shiftleft(1L, offset)")).alias("which")
     )
+    settled = cut(settled, "settled")
     straight = repeated.where("NOT branches").select("_k1", "_k2", "start", F.expr("shiftleft(1L, windows) - 1").alias("which"))
     branching = repeated.where("branches").join(settled, ["anchor", "piece"]).select("_k1", "_k2", "start", "which")
     return straight.unionByName(branching)
