@@ -127,6 +127,27 @@ def reverse_state(edges: DataFrame, local: str, remote: str, active: Column) ->
     return joined.select(local, remote, state.alias("state")).where(F.col("state").isNotNull())
 
 
+def _power_blocks(first: Column, end: Column) -> Column:
+    """The bins from ``first`` to before ``end`` as blocks ``(size, block)`` of 2**size bins each."""
+    block = "array<struct<size:int,block:bigint>>"
+
+    def step(state: Column, k: Column) -> Column:
+        low, high = state["low"], state["high"]
+        left = (low < high) & (low % 2 != 0)
+        after = low + left.cast("bigint")
+        right = (after < high) & (high % 2 != 0)
+        before = high - right.cast("bigint")
+        made = F.filter(
+            F.array(F.when(left, F.struct(k.alias("size"), low.alias("block"))), F.when(right, F.struct(k.alias("size"), before.alias("block")))),
+            lambda x: x.isNotNull(),
+        )
+        half = lambda x: F.floor(x / 2).cast("bigint")
+        return F.struct(half(after).alias("low"), half(before).alias("high"), F.concat(state["found"], made.cast(block)).alias("found"))
+
+    start = F.struct(first.alias("low"), end.alias("high"), F.array().cast(block).alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, step)["found"]
+
+
 def interval_overlap(
     df: DataFrame,
     *,
@@ -141,10 +162,12 @@ def interval_overlap(
     """Pairs of rows in one bucket whose half-open intervals ``[start, start + length)`` meet.
 
     NULL bucket or start is skipped; a NULL, zero or negative length counts as one. Positions are integers.
-    Each interval is listed in every bin it covers, but met only in the bin where the later of two
-    intervals starts. So every pair appears once without a distinct, a bucket of any size is split
-    over its bins, and the join stays an equi-join on ``(bucket, bin)``. ``condition`` may use the
-    carried columns with the suffixes ``_a`` and ``_b``.
+    Two intervals meet where the later one starts inside the earlier one. An interval is cut into blocks
+    of a power of two of bins, so that even a very long one is a few dozen rows at most, and a start is
+    listed once per size of block in use in its bucket. Blocks of an interval do not overlap: every pair
+    appears once without a distinct, a bucket of any size is split over its blocks, and the join stays an
+    equi-join on ``(bucket, size, block)``. ``condition`` may use the carried columns with the suffixes
+    ``_a`` and ``_b``.
     """
     size = F.greatest(F.coalesce(F.col(length), F.lit(1)), F.lit(1))
     rows = df.where(F.col(bucket).isNotNull() & F.col(start).isNotNull()).select(
@@ -154,20 +177,23 @@ def interval_overlap(
         (F.col(start) + size).cast("bigint").alias("e"),
         *carry,
     )
-    first = block_of(F.col("s"), bin_width)
+    first = F.floor(F.col("s") / F.lit(bin_width)).cast("bigint")
+    rows = rows.withColumn("_blocks", _power_blocks(first, F.floor((F.col("e") - 1) / F.lit(bin_width)).cast("bigint") + 1))
     early = rows.select(
-        "bucket",
-        F.explode(F.sequence(first, F.col("e") - 1, F.lit(bin_width).cast("bigint"))).alias("bin"),
-        *[F.col(c).alias(f"{c}_a") for c in ("id", "s", "e", *carry)],
-    )
-    late = rows.select(
-        "bucket", first.alias("bin"), *[F.col(c).alias(f"{c}_b") for c in ("id", "s", "e", *carry)]
+        "bucket", F.inline("_blocks"), *[F.col(c).alias(f"{c}_a") for c in ("id", "s", "e", *carry)]
     )
+    sizes = rows.groupBy("bucket").agg(F.max(F.array_max(F.transform("_blocks", lambda x: x["size"]))).alias("_most"))
+    late = rows.join(sizes, "bucket").select(
+        "bucket",
+        F.explode(F.sequence(F.lit(0), F.col("_most"))).alias("size"),
+        first.alias("_first"),
+        *[F.col(c).alias(f"{c}_b") for c in ("id", "s", "e", *carry)],
+    ).withColumn("block", F.expr("shiftright(_first, size)")).drop("_first")
     meets = (F.col("s_b") < F.col("e_a")) & (
         (F.col("s_a") < F.col("s_b"))
         | ((F.col("s_a") == F.col("s_b")) & (F.col("id_a") < F.col("id_b")))
     )
-    pairs = early.join(late, ["bucket", "bin"]).where(meets)
+    pairs = early.join(late, ["bucket", "size", "block"]).where(meets)
     if condition is not None:
         pairs = pairs.where(condition)
     return pairs.select(

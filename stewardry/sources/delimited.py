@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,12 +56,17 @@ def list_inputs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
+#: A cell that opens with a quote which its line does not close.
+OPEN_QUOTE = r'(?:^|[,;\t|])\s*"(?:[^"]|"")*$'
+
+
 def sniff_dialect(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One row per file: encoding, delimiter, quote, line ending, decimal sign and header.
+    """One row per file: encoding, delimiter, quote, line ending, decimal sign, header and ``problem``.
 
     Decided once per file by one aggregate over its raw lines, so a file of any size is looked at in
-    splits. Delimiters are counted in the header; a tie goes to the extension, else ``delimiter`` is
-    NULL: ambiguous, to be refused by the reader.
+    splits. Delimiters are counted in the header, outside quotes; a tie goes to the extension, else
+    ``delimiter`` is NULL. ``problem`` says why the reader refuses a file: an ambiguous delimiter, a
+    cell whose quotes go on in the next line, or bytes that windows-1252 does not define.
     """
     value = F.col("value")
     files = (
@@ -78,13 +84,16 @@ def sniff_dialect(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.bool_or(F.endswith(value, F.lit("\r"))).alias("crlf"),
         F.bool_or(F.contains(value, F.lit("\r"))).alias("cr"),
         F.bool_or(F.make_valid_utf8(value).rlike(r"(^|[;\"'])\d+,\d+")).alias("comma_numbers"),
+        F.bool_or(F.make_valid_utf8(value).rlike(OPEN_QUOTE)).alias("open_quote"),
+        F.bool_or(F.decode(value.cast("binary"), "ISO-8859-1").rlike(r"[\x81\x8D\x8F\x90\x9D]")).alias("undefined"),
         F.min_by(value.cast("binary"), F.struct("_start", "_id")).alias("first"),
     )
     first = F.when(F.col("utf8"), F.col("first").cast("string")).otherwise(F.decode("first", "ISO-8859-1"))
     header = F.regexp_replace(F.split_part(first, F.lit("\r"), F.lit(1)), f"^{BOM}", "")
 
     def times(mark: str) -> Column:
-        return F.length("header") - F.length(F.replace(F.col("header"), F.lit(mark), F.lit("")))
+        bare = F.regexp_replace("header", r'"[^"]*"', "")
+        return F.length(bare) - F.length(F.replace(bare, F.lit(mark), F.lit("")))
 
     counts = [times(d) for d in DELIMITERS]
     most = F.greatest(*counts)
@@ -104,6 +113,10 @@ def sniff_dialect(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             F.when(F.col("crlf"), "crlf").when(F.col("cr"), "cr").otherwise("lf").alias("eol"),
             F.when((F.col("delimiter") == ";") & F.col("comma_numbers"), ",").otherwise(".").alias("decimal"),
             "header",
+            F.when(F.col("delimiter").isNull(), "no clear delimiter")
+            .when(F.col("open_quote"), "a line break inside quotes")
+            .when(~F.col("utf8") & F.col("undefined"), "bytes undefined in windows-1252")
+            .alias("problem"),
         )
     )
 
@@ -146,24 +159,25 @@ def read_delimited(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """All rows as text columns named by their header, with ``_file``, ``_line`` and ``_input_rank``.
 
     Files that share encoding, delimiter, quote and header are read together; the driver only sees
-    that list of files, never their rows. Files without a clear delimiter stop the import.
+    that list of files, never their rows. Files with a problem stop the import before a row is read, as
+    one row per physical line would break them; all of them are named.
     """
     inputs = list_inputs(spark, paths)
     plans = (
         sniff_dialect(spark, paths)
         .join(inputs, "file")
-        .select("path", "input_rank", "encoding", "delimiter", "quote", "header")
+        .select("path", "input_rank", "encoding", "delimiter", "quote", "header", "problem")
         .collect()
     )
-    unclear = sorted(p.path for p in plans if p.delimiter is None)
-    if unclear:
-        raise GateClosed(f"no clear delimiter in {', '.join(unclear)}")
+    refused = sorted(f"{p.problem} in {p.path}" for p in plans if p.problem is not None)
+    if refused:
+        raise GateClosed("; ".join(refused))
     groups: dict[tuple, list] = {}
     for p in plans:
         groups.setdefault((p.encoding, p.delimiter, p.quote, p.header), []).append(p)
     out = None
     for (encoding, delimiter, quote, header), files in sorted(groups.items()):
-        cells = [c.strip().strip(quote).strip() for c in header.split(delimiter)]
+        cells = [c.strip() for c in next(csv.reader([header], delimiter=delimiter, quotechar=quote, skipinitialspace=True))]
         ddl = ", ".join(f"`{c}` string" for c in cells)
         text = decoded(F.col("value"), encoding)
         rows = _lines(spark, [f.path for f in files]).where((F.col("_line") > 1) & (F.trim("value") != ""))

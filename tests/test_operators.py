@@ -99,6 +99,14 @@ def test_rack_units(spark):
     assert values(pairs, "id_low", "id_high") == [(5, 6), (9, 10)]
 
 
+def test_interval_overlap_of_long_and_odd_lengths(spark):
+    rows = [("k", 1, 0, 10**9), ("k", 2, 10**9 - 1, 5), ("k", 3, 10**9, 1), ("k", 4, -50, 51), ("k", 5, 7, -3), ("k", 6, 7, None), ("k", 7, -50, 0)]
+    df = spark.createDataFrame(rows, "k string, id int, s long, h long")
+    got = values(joins.interval_overlap(df, bucket="k", start="s", length="h", row_id="id", bin_width=30), "id_low", "id_high")
+    spans = [(i, s, s + max(h or 1, 1)) for _, i, s, h in rows]
+    assert got == [(i, j) for i, a, b in spans for j, c, d in spans if i < j and a < d and c < b]
+
+
 def test_interval_overlap_against_all_pairs(spark):
     rng = random.Random(7)
     rows = [(i, "hot" if i % 3 else "b", rng.randrange(300), rng.randrange(0, 25)) for i in range(300)]
@@ -439,6 +447,13 @@ def test_delimited_files(spark, tmp_path):
     ]
     with pytest.raises(checks.GateClosed, match="note.json"):
         delimited.read_delimited(spark, [*paths, str(tmp_path / "note.json")])
+    (tmp_path / "q.csv").write_text('"Name, full",role\n"x,y",5" rack\n"",""\n')
+    quoted = delimited.read_delimited(spark, [str(tmp_path / "q.csv")]).orderBy("_line").collect()
+    assert [(r["Name, full"], r.role) for r in quoted][0] == ("x,y", '5" rack')
+    (tmp_path / "broken.csv").write_text('name,note\na,"two\nlines"\n')
+    (tmp_path / "bytes.csv").write_bytes(b"name,note\na,\x81\n")
+    with pytest.raises(checks.GateClosed, match="(?s)inside quotes.*broken.csv.*undefined.*bytes.csv"):
+        delimited.read_delimited(spark, [str(tmp_path / "broken.csv"), str(tmp_path / "bytes.csv")])
 
 
 def test_log_bundle(spark, tmp_path):
