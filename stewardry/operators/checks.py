@@ -103,12 +103,22 @@ def search_nodes(
     return hits if limit is None else hits.orderBy(*order).limit(limit)
 
 
-def page(df: DataFrame, *, order: Sequence[str | Column], limit: int, offset: int) -> DataFrame:
+def page(
+    df: DataFrame, *, order: Sequence[str | Column], limit: int, offset: int = 0, after: Sequence | None = None
+) -> DataFrame:
     """One page of rows with the total over the unpaged set and whether more rows follow.
 
-    The total is a scalar subquery (a partial count per task), not an unpartitioned window.
+    ``after`` holds the last key of the page before (columns in ascending order), in place of an offset: such a page costs the same
+    wherever it lies, while an offset gathers all rows before it in one task. The total is a scalar subquery (a partial count per task), not an unpartitioned window.
     """
     total = df.agg(F.count("*").alias("n")).scalar()
+    if after is not None:
+        keys = df.select(*order)
+        last = F.struct(*[F.lit(v).cast(kind).alias(c) for v, (c, kind) in zip(after, keys.dtypes, strict=True)])
+        rest = df.where(F.struct(*keys.columns) > last)
+        left = rest.agg(F.count("*").alias("n")).scalar()
+        rows = rest.orderBy(*order).limit(limit).withColumn("total_count", total)
+        return rows.withColumn("_left", left).withColumn("has_more", F.col("_left") > limit).drop("_left")
     rows = df.orderBy(*order).offset(offset).limit(limit)
     counted = rows.withColumn("total_count", total)
     return counted.withColumn("has_more", F.col("total_count") > F.lit(offset + limit))

@@ -69,13 +69,25 @@ def search_nodes(t: Tables):
     )
 
 
+@query(
+    "B3_page_after",
+    """WITH o AS (SELECT o_orderkey, o_custkey FROM orders), k AS (SELECT max(o_orderkey) // 2 AS mid FROM o)
+       SELECT o_orderkey, o_custkey, (SELECT count(*) FROM o) AS total_count, (SELECT count(*) FROM o, k WHERE o_orderkey > mid) > 50 AS has_more
+       FROM o WHERE o_orderkey > (SELECT mid FROM k) ORDER BY o_orderkey LIMIT 50""",
+)
+def page_after(t: Tables):
+    orders = t.orders.select("o_orderkey", "o_custkey")
+    half = orders.agg((F.max("o_orderkey") / 2).cast("bigint")).first()[0]
+    return checks.page(orders, order=["o_orderkey"], limit=50, after=[half])
+
+
 @query(
     "B3_page",
     """SELECT o_orderkey, o_custkey, (SELECT count(*) FROM orders) AS total_count,
          (SELECT count(*) FROM orders) > 150 AS has_more
        FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100""",
 )
-def page(t: Tables):
+def page_by_offset(t: Tables):
     orders = t.orders.select("o_orderkey", "o_custkey")
     return checks.page(orders, order=["o_orderkey"], limit=50, offset=100)
 

@@ -426,6 +426,15 @@ def test_bounded_tokens(spark):
     assert [r[0] for r in df.select(corpus.has_version(F.col("t"), "1.2.4")).collect()] == [False, False, True, False, False]
 
 
+def test_scratch_is_removed(spark):
+    with scale.scratch(spark):
+        kept = scale.cut(spark.range(5))
+        assert kept.count() == 5
+        place = kept.inputFiles()[0]
+    with pytest.raises(Exception, match="(?i)not exist|not found|No such file"):
+        spark.read.parquet(place).count()
+
+
 # --- sources ------------------------------------------------------------------------------------------
 
 
