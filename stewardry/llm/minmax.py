@@ -229,7 +229,8 @@ def near_duplicates(
         .where("n > 1")
         .select("key", "n", F.when(F.col("band") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("pivot"))
     )
-    met = cut(entries.join(buckets, "key").select("key", "n", "pivot", "sid", "_k1", "_k2"), "buckets")
+    # written, so that the join deals both sides anew and a hot bucket can be split over tasks
+    met = cut(entries.join(cut(buckets, "bucket-sizes"), "key").select("key", "n", "pivot", "sid", "_k1", "_k2"), "buckets")
     full = cut(_sets_of(docs, met.select("_k1", "_k2", "sid").distinct(), size), "shingle-sets")
     pairs = met.where("sid <> pivot").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b"), "pivot").groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
     stars = pairs.select(F.col("pivot").alias("a"), F.when(F.col("a") == F.col("pivot"), F.col("b")).otherwise(F.col("a")).alias("b"))
