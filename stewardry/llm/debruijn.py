@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,25 +31,35 @@ from stewardry.llm.common import row_keys, small_batches
 from stewardry.scale import cut
 
 K = 8
-CACHED_WORDS = 500_000
 PLACE_BITS = 28  # positions within one Arrow batch
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so that they have inverses modulo 2**64
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTES = np.random.default_rng(64).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+def hash_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, one text after the other, and how many words each has.
+
+    A word's hash is a polynomial of random values of its bytes, mixed with its length.
+    """
+    data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+    full = ~_SPACE[data]
+    edge = np.diff(full.view(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    lengths = ends - starts
+    borders = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(starts, borders), prepend=0)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), counts
+    up = _powers_of(BASES[1], int(lengths.max()))[0]
+    firsts = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
+    values = np.add.reduceat(_BYTES[data[full]] * up[place], firsts)
+    return mixed(values + lengths.astype(np.uint64) * np.uint64(BASES[0])), counts
 
 
 def mixed(z: np.ndarray) -> np.ndarray:
@@ -59,23 +68,32 @@ def mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, ``n`` or more."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        size = max(n, 1 << 18)
+        _powers[base] = tuple(
+            np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(size - 1, b, dtype=np.uint64))])
+            for b in (base, pow(base, -1, 1 << 64))
+        )
+    return _powers[base]
+
+
 class Rolling:
     """Hashes of any stretch of a sequence of word hashes, from running sums of powers modulo 2**64."""
 
     def __init__(self, values: np.ndarray, base: int):
-        n = len(values) + 1
-        if base not in _powers or len(_powers[base][0]) < n:
-            size = max(n, 1 << 18)
-            _powers[base] = tuple(
-                np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, dtype=np.uint64))])
-                for b in (base, pow(base, -1, 1 << 64))
-            )
-        up, self.down = _powers[base]
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(values * up[: n - 1])])
+        up, self.down = _powers_of(base, len(values) + 1)
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * up[: len(values)])])
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return mixed((self.sums[start + length] - self.sums[start]) * self.down[start] + np.uint64(1))
 
+    def all(self, length: int) -> np.ndarray:
+        """Of every stretch of that length."""
+        n = len(self.sums) - length
+        return mixed((self.sums[length:] - self.sums[:n]) * self.down[:n] + np.uint64(1))
+
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours."""
@@ -85,17 +103,16 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(values) - width + 1], out[width - reach : len(values) - reach + 1])
 
 
-def pieces(texts: list[list[bytes]], width: int) -> tuple[np.ndarray, ...]:
+def pieces(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     """Path pieces of some texts: text number, first window, windows, anchor hash, piece hash."""
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    total = int(lengths.sum())
+    values, lengths = hash_texts(texts)
+    total = len(values)
     none = np.zeros(0, dtype=np.int64)
     if total < width:
         return none, none, none, none, none
-    values = word_hashes([w for t in texts for w in t])
     text_of = np.repeat(np.arange(len(texts)), lengths)
     rolling = Rolling(values, BASES[0])
-    grams = rolling.of(np.arange(total - K + 1), K)
+    grams = rolling.all(K)
     place = np.arange(len(grams), dtype=np.uint64)
     low = np.uint64((1 << PLACE_BITS) - 1)
     anchors = (_least((grams & ~low) | place, width - K + 1) & low).astype(np.int64)
@@ -113,18 +130,13 @@ def pieces(texts: list[list[bytes]], width: int) -> tuple[np.ndarray, ...]:
     return text, starts - begin[text], windows, grams[anchors[starts]].view(np.int64), whole.view(np.int64)
 
 
-def _split(texts: list[str | None]) -> list[list[bytes]]:
-    # bytes.split() splits at the six white-space characters of ASCII, and at no others
-    return [(t or "").encode().split() for t in texts]
-
-
 def path_pieces(docs: DataFrame, width: int) -> DataFrame:
     """A row per path piece of every text with its source coordinates."""
     small_batches(docs.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, start, windows, anchor, whole = pieces(_split(batch["text"].to_pylist()), width)
+            text, start, windows, anchor, whole = pieces([(t or "").encode() for t in batch["text"].to_pylist()], width)
             yield pa.RecordBatch.from_arrays(
                 [batch["_k1"].take(pa.array(text)), batch["_k2"].take(pa.array(text)), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(anchor), pa.array(whole)],
                 ["_k1", "_k2", "start", "windows", "anchor", "piece"],
@@ -159,7 +171,7 @@ def _opened(texts: DataFrame, branches: DataFrame, width: int) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for packed, lists in zip(batch["packed"], batch["wanted"], strict=True):
-                values = word_hashes(unpack(packed.as_py()).split())
+                values, _ = hash_texts([unpack(packed.as_py())])
                 found = lists.values
                 start, windows = (found.field(k).to_numpy() for k in ("start", "windows"))
                 which = np.repeat(np.arange(len(start)), windows)

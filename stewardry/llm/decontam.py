@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stewardry.llm.common import small_batches
-from stewardry.llm.debruijn import mixed, word_hashes
+from stewardry.llm.debruijn import hash_texts, mixed
 
 SIZE = 5
 PERCENT = 80
@@ -76,8 +76,8 @@ class Index:
     def of(cls, items: list[tuple[int, str | None]]) -> Index:
         out = cls()
         for item_id, text in items:
-            words = (text or "").lower().encode().split()
-            found = shingles(word_hashes(words))
+            words, _ = hash_texts([(text or "").lower().encode()])
+            found = shingles(words)
             if not len(found):
                 continue
             k = len(out.ids)
@@ -135,9 +135,11 @@ class Index:
 
 
 def _matches(index: Index, texts: list[str | None]) -> Iterator[dict[int, tuple[float, int, int]]]:
-    for text in texts:
-        words = (text or "").lower().encode().split()
-        values = shingles(word_hashes(words))
+    if not texts:
+        return
+    hashes, counts = hash_texts([(t or "").lower().encode() for t in texts])
+    for words in np.split(hashes, np.cumsum(counts)[:-1]):
+        values = shingles(words)
         at = index.shared(values) if len(values) else values
         yield index.search(values, len(words), at) if len(at) else {}
 

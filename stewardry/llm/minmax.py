@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from stewardry.llm.common import row_keys, small_batches
 from stewardry.llm.components import components
-from stewardry.llm.debruijn import mixed, packed_texts, word_hashes
+from stewardry.llm.debruijn import hash_texts, mixed, packed_texts
 from stewardry.scale import cut
 
 BANDS, BAND_PERMUTATIONS = 24, 2
@@ -39,9 +39,11 @@ CHUNK, SMALL, BLOCK = 64, 64, 96
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the word shingles of each text; A-Z are lower-cased."""
+    if not texts:
+        return []
     out = []
-    for text in texts:
-        h = word_hashes(text.lower().split())
+    hashes, counts = hash_texts([t.lower() for t in texts])
+    for h in np.split(hashes, np.cumsum(counts)[:-1]):
         if not len(h):
             out.append(h)
             continue
