@@ -7,7 +7,9 @@ anchors at equal places, so all copies of a window lie in pieces of one anchor.
 * an anchor seen once has no repeated window;
 * an anchor whose pieces are all equal is a nonbranching path, and every window of its copies is repeated;
 * an anchor with different pieces branches. One copy of each of these pieces is opened into its windows, the windows
-  are counted over all branches, and the counts go back to every copy of the piece.
+  are counted over all branches, and the counts go back to every copy of the piece;
+* of the pieces settled whole, one whose only successor has no other predecessor is joined with it, so that a text's
+  walk along nonbranching links becomes one long repeated span, wherever its coordinates show that it walks on.
 
 Source coordinates (document, first word, windows) travel with each piece and mark the words in the end. Identities
 are hashes of 128 bits: the anchor's and the piece's, or two of a window.
@@ -26,6 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stewardry.llm.common import row_keys, small_batches
 from stewardry.scale import cut
@@ -188,7 +191,7 @@ def _opened(texts: DataFrame, branches: DataFrame, width: int) -> DataFrame:
 
 
 def marks(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Source coordinates of all pieces with a repeated window, and which of their windows are (bit k: the k-th)."""
+    """Source coordinates of all repeated stretches: first window, windows, and which of these (bit k: the k-th)."""
     read = path_pieces(docs, width)
     anchors = (
         read.groupBy("anchor")
@@ -208,9 +211,30 @@ def marks(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         F.bit_or(F.expr("shiftleft(1L, offset)")).alias("which")
     )
     settled = cut(settled, "settled")
-    straight = repeated.where("NOT branches").select("_k1", "_k2", "start", F.expr("shiftleft(1L, windows) - 1").alias("which"))
-    branching = repeated.where("branches").join(settled, ["anchor", "piece"]).select("_k1", "_k2", "start", "which")
-    return straight.unionByName(branching)
+    branching = repeated.where("branches").join(settled, ["anchor", "piece"]).select("_k1", "_k2", "start", "windows", "which")
+    return _compacted(repeated.where("NOT branches")).unionByName(branching)
+
+
+def _compacted(pieces: DataFrame) -> DataFrame:
+    """Long spans in place of the pieces of nonbranching paths; ``which`` is null, as all their windows are repeated."""
+    walk = Window.partitionBy("_k1", "_k2").orderBy("start")
+    after = F.lag("piece").over(walk), F.lag(F.col("start") + F.col("windows")).over(walk)
+    walked = pieces.select(
+        "_k1", "_k2", "start", "windows", "piece", F.when(after[1] == F.col("start"), after[0]).alias("before")
+    )
+    walked = cut(walked, "walked")
+    steps = walked.where("before IS NOT NULL")
+    onward = steps.groupBy("before").agg(F.min("piece").alias("piece"), F.max("piece").alias("_other")).where("piece = _other")
+    backward = steps.groupBy("piece").agg(F.min("before").alias("before"), F.max("before").alias("_other")).where("before = _other")
+    links = cut(onward.select("before", "piece").join(backward.select("before", "piece"), ["before", "piece"]), "links")
+    joined = walked.join(links.select("piece", F.col("before").alias("_link")), "piece", "left")
+    fresh = F.when(F.col("before") == F.col("_link"), 0).otherwise(1)
+    return (
+        joined.select("_k1", "_k2", "start", "windows", F.sum(fresh).over(walk).alias("span"))
+        .groupBy("_k1", "_k2", "span")
+        .agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("windows")) - F.min("start")).alias("windows"))
+        .select("_k1", "_k2", "start", "windows", F.lit(None).cast("bigint").alias("which"))
+    )
 
 
 def remove(docs: DataFrame, width: int = 35) -> DataFrame:
@@ -220,7 +244,7 @@ def remove(docs: DataFrame, width: int = 35) -> DataFrame:
     removed stretches as first word and end.
     """
     texts = packed_texts(docs)
-    found = marks(docs, texts, width).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("start", "which")).alias("marks"))
+    found = marks(docs, texts, width).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("start", "windows", "which")).alias("marks"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -230,12 +254,15 @@ def remove(docs: DataFrame, width: int = 35) -> DataFrame:
                 words = unpack(packed.as_py()).split()
                 edges: list[tuple[int, int]] = []
                 if lists.is_valid:
-                    start, which = (lists.values.field(k).to_numpy() for k in ("start", "which"))
-                    at, bit = np.nonzero((which[:, None] >> np.arange(width)) & 1)
+                    start, windows = (lists.values.field(k).to_numpy() for k in ("start", "windows"))
+                    which = lists.values.field("which")
+                    whole = which.is_null().to_numpy(zero_copy_only=False)
+                    at, bit = np.nonzero((which.fill_null(0).to_numpy()[:, None] >> np.arange(width)) & 1)
+                    begins = np.concatenate([start[at] + bit, start[whole]])
+                    ends = np.concatenate([start[at] + bit + width, start[whole] + windows[whole] + width - 1])
                     change = np.zeros(len(words) + 1, dtype=np.int64)
-                    begins = np.unique(start[at] + bit)
-                    change[begins] += 1
-                    change[begins + width] -= 1
+                    np.add.at(change, begins, 1)
+                    np.add.at(change, ends, -1)
                     covered = np.concatenate([[0], (np.cumsum(change)[:-1] > 0).astype(np.int8), [0]])
                     turns = np.flatnonzero(np.diff(covered))
                     edges = list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
