@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 #: Records of one Arrow batch: texts may be long, so that a batch of the default 10,000 could not be held.
 BATCH_ROWS = 256
+#: Characters that a task turns into arrays at once; a longer text is a stretch of its own.
+STRETCH = 1 << 22
 
 
 def words_of(text: Column) -> Column:
@@ -38,6 +40,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def stretches(texts: Sequence[str | bytes]) -> Iterator[slice]:
+    """Runs of a batch's texts that together are about ``STRETCH`` long, so that arrays over them stay small."""
+    first = size = 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) > STRETCH:
+            yield slice(first, k)
+            first, size = k, 0
+        size += len(text)
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """``docs`` that have a label, with it as column ``_label``; of at most ``most`` labelled documents.
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stewardry.llm.common import row_keys, small_batches
+from stewardry.llm.common import STRETCH, row_keys, small_batches, stretches
 from stewardry.scale import cut
 
 K = 8
@@ -49,20 +49,32 @@ def hash_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     A word's hash is a polynomial of random values of its bytes, mixed with its length.
     """
-    data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+    data = b" ".join(texts)
+    hashes, starts, at = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], 0
+    while at < len(data):
+        end = data.find(b" ", at + STRETCH)  # no word runs over a space
+        end = len(data) if end < 0 else end
+        found, places = _hash_words(np.frombuffer(data, np.uint8, end - at, at))
+        hashes.append(found)
+        starts.append(places + at)
+        at = end
+    borders = np.cumsum([len(t) + 1 for t in texts])
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), borders), prepend=0)
+
+
+def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of one stretch of bytes."""
     full = ~_SPACE[data]
     edge = np.diff(full.view(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    lengths = ends - starts
-    borders = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(starts, borders), prepend=0)
+    starts = np.flatnonzero(edge == 1)
+    lengths = np.flatnonzero(edge == -1) - starts
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), counts
+        return np.zeros(0, dtype=np.uint64), starts
     up = _powers_of(BASES[1], int(lengths.max()))[0]
     firsts = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
     values = np.add.reduceat(_BYTES[data[full]] * up[place], firsts)
-    return mixed(values + lengths.astype(np.uint64) * np.uint64(BASES[0])), counts
+    return mixed(values + lengths.astype(np.uint64) * np.uint64(BASES[0])), starts
 
 
 def mixed(z: np.ndarray) -> np.ndarray:
@@ -139,11 +151,14 @@ def path_pieces(docs: DataFrame, width: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, start, windows, anchor, whole = pieces([(t or "").encode() for t in batch["text"].to_pylist()], width)
-            yield pa.RecordBatch.from_arrays(
-                [batch["_k1"].take(pa.array(text)), batch["_k2"].take(pa.array(text)), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(anchor), pa.array(whole)],
-                ["_k1", "_k2", "start", "windows", "anchor", "piece"],
-            )
+            texts = [(t or "").encode() for t in batch["text"].to_pylist()]
+            for some in stretches(texts):
+                text, start, windows, anchor, whole = pieces(texts[some], width)
+                rows = pa.array(text + some.start)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["_k1"].take(rows), batch["_k2"].take(rows), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(anchor), pa.array(whole)],
+                    ["_k1", "_k2", "start", "windows", "anchor", "piece"],
+                )
 
     return docs.select("text", *row_keys("doc_id", "text")).mapInArrow(
         read, "_k1 long, _k2 long, start int, windows int, anchor long, piece long"

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stewardry.llm.common import row_keys, small_batches
+from stewardry.llm.common import row_keys, small_batches, stretches
 from stewardry.scale import cut
 
 ORDER = 4
@@ -213,11 +213,12 @@ def _perplexity_here(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]])
                 if len(units) and (lang or "") in languages:
                     by[lang or ""].append((k, keys_of(units)))
             for lang, found in by.items():
-                sizes = np.array([len(keys) for _, keys in found])
-                logs = languages[lang].log_probabilities(np.concatenate([keys for _, keys in found]))
-                sums = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
-                for (k, _), value in zip(found, np.exp(-sums / sizes), strict=True):
-                    out[k] = float(value)
+                for some in stretches([keys.data for _, keys in found]):
+                    sizes = np.array([len(keys) for _, keys in found[some]])
+                    logs = languages[lang].log_probabilities(np.concatenate([keys for _, keys in found[some]]))
+                    sums = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+                    for (k, _), value in zip(found[some], np.exp(-sums / sizes), strict=True):
+                        out[k] = float(value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "perplexity"])
 
     return docs.mapInArrow(judge, T.StructType([*docs.schema, T.StructField("perplexity", T.DoubleType())]))

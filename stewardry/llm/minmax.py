@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stewardry.llm.common import row_keys, small_batches
+from stewardry.llm.common import row_keys, small_batches, stretches
 from stewardry.llm.components import components
 from stewardry.llm.debruijn import hash_texts, mixed, packed_texts
 from stewardry.scale import cut
@@ -83,10 +83,11 @@ def sketches(docs: DataFrame, size: int, bands: int, permutations: int) -> DataF
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets([(t or "").encode() for t in batch["text"].to_pylist()], size)
-            full = [k for k, s in enumerate(sets) if len(s)]
+            all_full = [k for k, s in enumerate(sets) if len(s)]
             sid: list[int | None] = [None] * len(sets)
             rows: list[np.ndarray | None] = [None] * len(sets)
-            if full:
+            for some in stretches([sets[k].data for k in all_full]):
+                full = all_full[some]
                 keys = band_keys([sets[k] for k in full], bands, permutations).view(np.int64)
                 for row, k in zip(keys, full, strict=True):
                     sid[k] = int(mixed(np.array([mixed(sets[k] + np.uint64(11)).sum(dtype=np.uint64) + np.uint64(len(sets[k]))])).view(np.int64)[0])

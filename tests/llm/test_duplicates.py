@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from stewardry.llm import debruijn, minmax
+from stewardry.llm import common, debruijn, minmax
 from stewardry.llm.components import components
 from tests.llm.conftest import invented, rows
 
@@ -105,3 +105,17 @@ def test_repeated_windows_of_mixed_passages(spark):
     assert got_removed(df, 35) == plain_removed(data, 35)
     spans = debruijn.remove(df, 35).where("n_removed > 0").first()
     assert sum(s.end - s.start for s in spans.spans) == spans.n_removed
+
+
+def test_stretches_change_no_hash(monkeypatch):
+    texts = [(t or "").encode() for _, t, *_ in rows()] + [b"", b"x" * 5000, b"a\tb\nc"]
+    whole, counts = debruijn.hash_texts(texts)
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    words = {w for t in texts for w in t.split()}
+    assert len(set(whole.tolist())) == len(words)
+    monkeypatch.setattr(debruijn, "STRETCH", 40)
+    again, same = debruijn.hash_texts(texts)
+    assert again.tolist() == whole.tolist() and same.tolist() == counts.tolist()
+    monkeypatch.setattr(common, "STRETCH", 40)
+    assert [k for s in common.stretches(texts) for k in range(len(texts))[s]] == list(range(len(texts)))
+    assert debruijn.hash_texts([])[1].tolist() == [] and minmax.shingle_sets([], 2) == []
