@@ -162,7 +162,8 @@ def learn(
     held-back rows meet it and at least ``precision`` of them are marked 0; learning ends at the first that fails.
     Each step is one aggregation into counts per feature and quantile bin; the driver sees those counts only.
     """
-    rows = with_statistics(labelled(docs.select("doc_id", "text"), labels, label, most_labelled)).where(~base_failed())
+    sample = cut(labelled(docs.select("doc_id", "text"), labels, label, most_labelled), "labelled-texts")
+    rows = with_statistics(sample).where(~base_failed())
     rows = cut(  # statistics of at most most_labelled rows, read by each step
         rows.withColumn("_grow", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) < 2).drop("text"), "labelled"
     )
