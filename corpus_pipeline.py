@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 1024 tokens, along the curve, each with its checksum."""
-    return packing.with_checksum(packing.pack(docs, tokenizer_path()))
+    return packing.with_checksum(packing.pack(docs, tokenizer_path(), added=True))
 
 
 STAGES = [

@@ -33,22 +33,25 @@ END = 0  # the id that ends each document
 
 
 class Tokenizer:
-    """Token ids by the byte-level BPE of a tokenizers file; the strings of special tokens are ordinary text.
+    """Token ids by the byte-level BPE of a tokenizers file.
 
-    Where the file's merges are in the order of its ids, tiktoken gives the same ids from the same vocabulary in a
-    quarter of the time; any other file is left to its own library.
+    With ``added`` the strings of the file's added tokens get their own ids, as its library does by itself; without,
+    they are ordinary text. Where the file's merges are in the order of its ids, tiktoken gives the same ids from the
+    same vocabulary in a quarter of the time; any other file, and a text with such a string, is left to the library.
     """
 
     #: Fixed value: how byte-level BPE splits a text before it merges.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tokenizers
 
         self.own = tokenizers.Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
+        self.own.encode_special_tokens = not added
         with open(path, encoding="utf-8") as file:
-            self.fast = self._ranks(json.load(file))
+            described = json.load(file)
+        self.added = [t["content"] for t in described.get("added_tokens", ()) if added or not t["special"]]
+        self.fast = self._ranks(described)
 
     def _ranks(self, described: dict):
         model, split = described["model"], described["pre_tokenizer"] or {}
@@ -69,20 +72,20 @@ class Tokenizer:
         return tiktoken.Encoding("byte_bpe", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is not None:
+        if self.fast is not None and not any(x in text for x in self.added):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
-_tokenizers: dict[str, Tokenizer] = {}
+_tokenizers: dict[tuple[str, bool], Tokenizer] = {}
 
 
-def tokens(path: str, texts: list[str | None]) -> list[np.ndarray]:
-    """Token ids of each text with the end token; a process keeps one tokenizer per file."""
-    if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer(path)
+def tokens(path: str, texts: list[str | None], added: bool = False) -> list[np.ndarray]:
+    """Token ids of each text with the end token; a process keeps one tokenizer per file and way."""
+    if (path, added) not in _tokenizers:
+        _tokenizers[path, added] = Tokenizer(path, added)
     end = np.array([END], dtype="<u4")
-    return [np.concatenate([_tokenizers[path].encode(t or ""), end]) for t in texts]
+    return [np.concatenate([_tokenizers[path, added].encode(t or ""), end]) for t in texts]
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -137,14 +140,14 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert(cells.astype(np.int64), BITS)
 
 
-def tokenized(docs: DataFrame, path: str) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, added: bool = False) -> DataFrame:
     """Per row: ``doc_id``, keys, Hilbert key ``curve``, ``n`` tokens and the compressed ids. Written once, then read."""
     small_batches(docs.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            ids = tokens(path, batch["text"].to_pylist())
+            ids = tokens(path, batch["text"].to_pylist(), added)
             kind = "<u2" if max((int(x.max()) for x in ids), default=0) < 1 << 16 else "<u4"
             packed = [bytes([int(kind[-1])]) + squeeze(x.astype(kind).tobytes()) for x in ids]
             yield pa.RecordBatch.from_arrays(
@@ -205,12 +208,13 @@ def _edges(length: int, total: int) -> tuple[int, np.ndarray]:
     return full, np.array(borders, dtype=np.int64)
 
 
-def pack(docs: DataFrame, path: str, length: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = 1024, added: bool = False) -> DataFrame:
     """One row per piece: the document, its place there, the sequence and the place there, and the token ids.
 
-    Pieces of one document run over consecutive sequences; each sequence is filled without a gap.
+    Pieces of one document run over consecutive sequences; each sequence is filled without a gap. ``added``: the
+    strings of the file's added tokens get their own ids.
     """
-    measured = tokenized(docs, path)
+    measured = tokenized(docs, path, added)
     nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0))) - 1
     placed = measured.select("doc_id", "_k1", "_k2", "packed").join(order(measured), ["_k1", "_k2"]).select(
         "doc_id", "packed", (F.col("start") + nth * F.col("doc_tokens")).alias("start"), "total"

@@ -86,7 +86,7 @@ def tokenizer_path() -> str:
 
 @query("op3_packing")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.with_checksum(packing.pack(table(spark, folder, "documents"), tokenizer_path()))
+    return packing.with_checksum(packing.pack(table(spark, folder, "documents"), tokenizer_path(), added=True))
 
 
 @query(

@@ -62,6 +62,26 @@ def test_fast_tokenizer_gives_the_ids_of_the_file():
         assert tokenizer.encode(text).tolist() == encoding.ids
 
 
+def test_added_tokens_keep_their_ids(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    own = Tokenizer.from_file(queries.tokenizer_path())  # as the file says
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, mark * 3, f"x{mark}", f"{mark}\n\n y", "<|endoftext", "plain text", "", None]
+    assert own.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want = {k: own.encode(t or "", add_special_tokens=False).ids + [0] for k, t in enumerate(texts)}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(packing, "with_checksum", lambda pieces: pieces)
+    for got in (queries.op3(spark, str(tmp_path)), corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))):
+        found = collections.defaultdict(list)
+        for r in sorted(got.collect(), key=lambda r: (r.doc_id, r.start)):
+            assert r.doc_tokens == len(want[r.doc_id])
+            found[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+        assert found == want
+
+
 def test_hilbert_curve_visits_each_cell_and_moves_one_step():
     points = np.array(list(itertools.product(range(4), repeat=3)))
     keys = packing.hilbert(points, 2)
