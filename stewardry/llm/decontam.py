@@ -35,6 +35,8 @@ RADIUS = 48
 #: Items of one block: what a pass sends to each executor. All blocks are searched.
 BLOCK_ITEMS = 20_000
 PREFILTER_BITS = 22
+#: Window starts whose signs are added up at once, or as many as a window is wide; 512 bytes each, a few times over.
+RUN = 4096
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -51,6 +53,19 @@ def signs(values: np.ndarray) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), axis=1).astype(np.int32) * 2 - 1
 
 
+def fingerprints(values: np.ndarray, first: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Sorted window starts with their bits. Signs are added up over runs of close windows, and over long ones in stretches."""
+    reach = max(RUN, width)
+    breaks = np.flatnonzero(np.diff(first) > width) + 1
+    for run in np.split(first, breaks):
+        while len(run):
+            some, run = np.split(run, [int(np.searchsorted(run, run[0] + reach))])
+            low = int(some[0])
+            sums = np.zeros((int(some[-1]) - low + width + 1, 128), dtype=np.int32)
+            np.cumsum(signs(values[low : low + len(sums) - 1]), axis=0, out=sums[1:])
+            yield from zip(some.tolist(), sums[some - low + width] - sums[some - low] > 0, strict=True)
+
+
 def blocks_of(bits: np.ndarray) -> list[bytes]:
     return [b.tobytes() for b in np.array_split(bits, RADIUS + 1)]
 
@@ -115,11 +130,7 @@ class Index:
         for size, windows in starts.items():
             first = np.array(sorted(windows))
             width = min(size, n_words) - SIZE + 1
-            # running sums of the signs over the stretch the windows cover
-            low, high = int(first[0]), int(first[-1]) + width
-            run = np.concatenate([np.zeros((1, 128), dtype=np.int32), np.cumsum(signs(values[low:high]), axis=0, dtype=np.int32)])
-            prints = (run[first - low + width] - run[first - low]) > 0
-            for start, bits in zip(first.tolist(), prints, strict=True):
+            for start, bits in fingerprints(values, first, width):
                 met = {k for b, block in enumerate(blocks_of(bits)) for k in self.by_block.get((size, b, block), ())}
                 near = [k for k in met if np.count_nonzero(bits != self.bits[k]) <= RADIUS]
                 if not near:

@@ -189,6 +189,28 @@ def test_matches_of_planted_items(spark, odd, no_docs, block, monkeypatch):
     assert decontam.clean(no_docs, items).count() == 0 and decontam.matches(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run", [4096, 3])
+def test_fingerprints_are_those_of_each_window_and_their_arrays_stay_small(run, monkeypatch):
+    monkeypatch.setattr(decontam, "RUN", run)
+    sizes, signs = [], decontam.signs
+    monkeypatch.setattr(decontam, "signs", lambda v: (sizes.append(len(v)), signs(v))[1])
+    values = np.random.default_rng(1).integers(0, 1 << 63, 60_000).astype(np.uint64)
+    first = np.array([*range(0, 90), 97, *range(400, 420), *range(30_000, 39_000), 59_950])
+    got = list(decontam.fingerprints(values, first, 50))
+    assert max(sizes) <= max(run, 50) + 50 and [p for p, _ in got] == first.tolist()
+    for p, bits in got:
+        assert (bits == (signs(values[p : p + 50]).sum(axis=0) > 0)).all()
+
+
+def test_a_long_text_with_an_item_near_each_end_is_searched_in_stretches(monkeypatch):
+    sizes, signs = [], decontam.signs
+    index = decontam.Index.of([(1, ITEMS[0][1])])
+    monkeypatch.setattr(decontam, "signs", lambda v: (sizes.append(len(v)), signs(v))[1])
+    filling = invented(80, 30_000)
+    [found] = decontam._matches(index, [f"{ITEMS[0][1]} {filling} {ITEMS[0][1]}"])
+    assert found == {0: (1.0, 0, 30)} and sum(sizes) < 1000
+
+
 # n-gram model -------------------------------------------------------------------------------------------------------
 
 
