@@ -5,13 +5,19 @@ boilerplate. A line counts once per page, without the white space around it; bla
 are. The lines of a site above the ratio are few by arithmetic (their ratios add up to less than the lines of a mean
 page), so a site's list is an array beside its pages, and no line is shuffled a second time.
 
-A null text has no lines and stays null; an empty one stays empty. A null site is a site of its own. Repeated rows are
-cleaned alike. On sites of fewer than ``least_pages`` pages nothing is dropped. An empty table gives an empty result.
-Other columns are kept; ``clean`` overwrites input columns named ``n_lines`` and ``n_dropped``.
+The pages of a site may be counted apart by further columns: where a site mixes languages, a line of one of them can
+only be on the pages of that language.
+
+A null text has no lines and stays null; an empty one stays empty. A null site is a site of its own, and so is a null
+part of one. Repeated rows are cleaned alike. On sites of fewer than ``least_pages`` pages nothing is dropped, and no
+line on fewer than ``least_copies`` pages. An empty table gives an empty result. Other columns are kept; ``clean``
+overwrites input columns named ``n_lines`` and ``n_dropped``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,27 +31,36 @@ def _trimmed(line: Column) -> Column:
     return F.regexp_replace(line, EDGES, "")
 
 
-def boilerplate(docs: DataFrame, site: str, text: str, ratio: float, least_pages: int) -> DataFrame:
+def _site_of(site: str, parts: Sequence[str]) -> Column:
+    return F.struct(site, *parts) if parts else F.col(site)
+
+
+def boilerplate(
+    docs: DataFrame, site: str, text: str, ratio: float, least_pages: int, parts: Sequence[str] = (), least_copies: int = 1
+) -> DataFrame:
     """Per site with any: ``_site`` and ``_lines``, the hashes of the lines on more than ``ratio`` of its pages."""
     lines = F.array_distinct(F.transform(
         F.filter(F.transform(F.split(F.col(text), "\n"), _trimmed), lambda x: x != ""), lambda x: F.xxhash64(x)
     ))
     pages = docs.where(F.col(text).isNotNull()).select(
-        F.col(site).alias("_site"), F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2"), lines.alias("_all")
+        _site_of(site, parts).alias("_site"), F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2"), lines.alias("_all")
     )
     pages = cut(pages.groupBy("_site", "_t1", "_t2").agg(F.first("_all").alias("_all")), "pages")
     sites = pages.groupBy("_site").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= least_pages)
     counts = pages.select("_site", F.explode("_all").alias("_line")).groupBy("_site", "_line").agg(F.count("*").alias("_n"))
     found = counts.join(sites.select(F.col("_site").alias("_s"), "_pages"), F.col("_site").eqNullSafe(F.col("_s"))).where(
-        F.col("_n") > ratio * F.col("_pages")
+        (F.col("_n") > ratio * F.col("_pages")) & (F.col("_n") >= least_copies)
     )
     return cut(found.groupBy("_site").agg(F.collect_list("_line").alias("_lines")), "boilerplate")
 
 
-def clean(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.1, least_pages: int = 20) -> DataFrame:
+def clean(
+    docs: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.1, least_pages: int = 20,
+    parts: Sequence[str] = (), least_copies: int = 1,
+) -> DataFrame:
     """``docs`` with their boilerplate lines dropped, ``n_lines`` (not blank) and ``n_dropped``."""
-    found = boilerplate(docs, site, text, ratio, least_pages).withColumnRenamed("_site", "_bp_site")
-    joined = docs.join(found, docs[site].eqNullSafe(found["_bp_site"]), "left")
+    found = boilerplate(docs, site, text, ratio, least_pages, parts, least_copies).withColumnRenamed("_site", "_bp_site")
+    joined = docs.join(found, _site_of(site, parts).eqNullSafe(found["_bp_site"]), "left")
     listed = F.coalesce("_lines", F.array().cast("array<bigint>"))
     split = F.transform(
         F.split(F.col(text), "\n"),

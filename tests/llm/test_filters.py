@@ -131,6 +131,19 @@ def test_lines_against_brute_force(spark):
     assert lines.clean(docs.limit(0)).count() == 0 and lines.clean(docs).count() == len(data)
 
 
+def test_site_wide_lines_go_from_every_source_and_language(spark):
+    import corpus_pipeline
+
+    pages = {"en": 60, "de": 12, "es": 5, None: 8}  # in all sources, the last one has few pages
+    data = [
+        (1000 * s + 100 * j + k, f"own {s} {lang} {k}\n" + (f"site wide {lang}\n" if k % 5 < 3 else "") + ("twice" if k < 2 else f"end {s} {lang} {k}"), lang, f"s{s}" if s else None)
+        for s in range(4) for j, (lang, n) in enumerate(pages.items()) for k in range(n if s < 3 else min(n, 5))
+    ]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {i: "\n".join(x for x in t.split("\n") if not x.startswith("site wide")) for i, t, *_ in data}
+
+
 # decision lists -----------------------------------------------------------------------------------------------------
 
 
