@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import debruijn, decision_list, decontam, kneser_ney, lines, minmax, packing, secrets, toxicity, url_filter
+from stewardry.llm import (
+    debruijn, decision_list, decontam, kneser_ney, language, lines, merkle, minmax, packing, secrets, toxicity, trie, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -159,3 +161,131 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     kept = debruijn.remove(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: The unsigned CRC-32 of a text of ASCII characters, in DuckDB; by its definition, as there is no such function.
+CRC32_SQL = """
+    xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, b: list_reduce(
+            list_prepend(xor(crc, b), [1::BIGINT, 1, 1, 1, 1, 1, 1, 1]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)
+        )
+    ))
+"""
+
+
+def _framed(value: str) -> str:
+    return f"coalesce(strlen({value})::VARCHAR || ':' || {value}, '-')"
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+    WITH RECURSIVE digests AS (
+        SELECT doc_id, coalesce('=' || lang, '') AS tree,
+            sha256({" || ".join(map(_framed, ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "text")))}) AS leaf,
+            sha256({" || ".join(map(_framed, ("doc_id::VARCHAR", "source", "lang", "(n_chars::HUGEINT + 1)::VARCHAR", "text")))}) AS other,
+            coalesce({CRC32_SQL.format("doc_id::VARCHAR")} % 7 = 0, false) AS tampered
+        FROM documents
+    ), leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+        FROM digests
+    ), nodes AS (
+        SELECT tree, 0 AS level, pos AS idx, leaf AS d, n FROM leaves
+        UNION ALL
+        SELECT tree, level + 1, idx // 2, sha256(string_agg(d, '' ORDER BY idx)), (any_value(n) + 1) // 2
+        FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 2
+    ), tops AS (
+        SELECT tree, d AS subroot, level AS height, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+    ), upper AS (
+        SELECT 0 AS level, pos AS idx, subroot AS d, n FROM tops
+        UNION ALL
+        SELECT level + 1, idx // 2, sha256(string_agg(d, '' ORDER BY idx)), (any_value(n) + 1) // 2
+        FROM upper WHERE n > 1 GROUP BY level, idx // 2
+    ), above AS (
+        SELECT d AS root, level AS height FROM upper WHERE n = 1
+    ), walk AS (
+        SELECT l.tree, l.pos AS leaf_pos, 0 AS step, l.pos AS idx, CASE WHEN tampered THEN other ELSE leaf END AS d, '' AS proof
+        FROM leaves l
+        UNION ALL
+        SELECT w.tree, leaf_pos, step + 1, CASE WHEN step + 1 = t.height THEN t.pos ELSE w.idx // 2 END,
+            sha256(CASE WHEN s.d IS NULL THEN w.d WHEN w.idx % 2 = 0 THEN w.d || s.d ELSE s.d || w.d END), proof || coalesce(s.d, '')
+        FROM (
+            SELECT w.*, CASE WHEN step < height THEN w.tree END AS key, CASE WHEN step < height THEN step ELSE step - height END AS level
+            FROM walk w JOIN tops USING (tree)
+        ) w
+        JOIN tops t ON t.tree = w.tree, above a,
+        LATERAL (
+            SELECT max(d) AS d FROM (
+                SELECT d FROM nodes n WHERE n.tree = w.key AND n.level = w.level AND n.idx = xor(w.idx, 1)
+                UNION ALL
+                SELECT d FROM upper u WHERE w.key IS NULL AND u.level = w.level AND u.idx = xor(w.idx, 1)
+            )
+        ) s
+        WHERE step < t.height + a.height
+    )
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, d AS folded_root, d = root AS verified
+    FROM leaves JOIN tops USING (tree) CROSS JOIN above JOIN walk ON walk.tree = leaves.tree AND leaf_pos = leaves.pos
+    WHERE step = tops.height + above.height
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = merkle.manifest(table(spark, folder, "documents"), language.held_out(F.col("doc_id"), 7, 0))
+    return rows.select(
+        "doc_id", merkle.hex_of("leaf").alias("leaf"), merkle.hex_of("subroot").alias("subroot"), merkle.hex_of("root").alias("root"),
+        merkle.proof_digest().alias("proof_sha256"), merkle.hex_of("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+@query("op12_language_id")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = language.held_out(F.col("doc_id"), 3, 1)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs.where(~held_out))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query(
+    "op13_prefix_trie",
+    f"""
+    WITH own AS (
+        SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), convs AS (
+        SELECT c, c - c % 5 AS base, {CRC32_SQL.format("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM own)
+    ), rebuilt AS (
+        SELECT v.c, o.pos, 0 AS part, o.role, o.text FROM convs v JOIN own o ON o.c = v.base AND o.pos < v.h
+        UNION ALL
+        SELECT v.c, o.pos, 1, o.role, o.text FROM convs v JOIN own o ON o.c = v.c AND o.pos >= v.h
+    ), placed AS (
+        SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS depth, strlen(text) AS bytes,
+            sha256(length(role)::VARCHAR || ':' || role || text) AS turn
+        FROM rebuilt
+    ), prefixes AS (
+        SELECT c, depth, bytes, string_agg(turn, '') OVER (PARTITION BY c ORDER BY depth) AS prefix FROM placed
+        UNION ALL
+        SELECT c, 0, 0, '' FROM convs
+    ), paths AS (
+        SELECT c, depth, bytes, sha256(prefix) AS node, lag(sha256(prefix)) OVER w AS parent, depth = max(depth) OVER (PARTITION BY c) AS ends
+        FROM prefixes WINDOW w AS (PARTITION BY c ORDER BY depth)
+    ), nodes AS (
+        SELECT node, any_value(parent) AS parent, min(c) AS conv_id, any_value(depth) AS depth, any_value(bytes) AS bytes, count(*) AS n_convs,
+            count(*) FILTER (WHERE ends) AS n_ends, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+        FROM paths GROUP BY node
+    ), below AS (
+        SELECT p.node, sum((n.n_convs - 1) * n.bytes) AS saved_tokens, count(*) FILTER (WHERE n.n_convs = n.n_ends) AS n_leaves,
+            count(*) FILTER (WHERE n.depth = p.depth + 1) AS n_children
+        FROM nodes n JOIN paths p ON p.c = n.conv_id AND p.depth <= n.depth GROUP BY p.node
+    )
+    SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, b.n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN nodes u ON u.node = n.parent
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    conv = F.col("conv_id")
+    given = F.crc32(conv.cast("string")) % 9
+    members = trie.grafted(trie.turns(table(spark, folder, "conversations")), conv - conv % 5, given, 8)
+    return trie.trie(members)

@@ -18,7 +18,7 @@ def test_same_rows_as_sql(spark, data, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op1_url_filter", "op2_secrets", "op8_quality_rules"])
