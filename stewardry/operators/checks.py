@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from stewardry.contracts import violations
 from stewardry.functions.coerce import ISO_DATETIME
+from stewardry.scale import cut
 
 
 class UnknownFilter(ValueError):
@@ -273,17 +274,23 @@ def unmapped_columns(headers: DataFrame, mapping: DataFrame, *, column: str = "c
     return headers.join(mapping.select(column).distinct(), column, "left_anti")
 
 
-def fail_closed(found: DataFrame, what: str, *, show: int | None = None) -> None:
-    """Raise before any write when ``found`` has rows; names all of them, as for the columns of a header.
+def fail_closed(found: DataFrame, what: str, *, show: int = 20, report: str | None = None) -> None:
+    """Raise before any write when ``found`` has rows; names the first ``show`` of them and counts all.
 
-    ``show`` limits what reaches the driver where ``found`` may grow with the data; the total is counted
-    by the executors.
+    Whatever their number, no more than these reach the driver. With ``report`` all of them are written there
+    first, and nothing if there are none.
     """
-    first = (found if show is None else found.limit(show)).collect()
+    if report is not None:
+        held = cut(found, "findings")
+        if not held.isEmpty():
+            held.write.json(report)
+        found = held
+    first = found.limit(show + 1).collect()
     if first:
-        total = len(first) if show is None else found.count()
-        listed = "; ".join(", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in first)
-        raise GateClosed(f"{total} {what}: {listed}")
+        total = len(first) if len(first) <= show else found.count()
+        listed = "; ".join(", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in first[:show])
+        more = f"; and {total - show} more" if total > show else ""
+        raise GateClosed(f"{total} {what}: {listed}{more}")
 
 
 def as_subtype(df: DataFrame, fields: Sequence[str]) -> DataFrame:

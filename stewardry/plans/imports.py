@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from stewardry.contracts import violations
 from stewardry.extensions import Extensions
 from stewardry.operators import aggregates as agg
+from stewardry.operators.checks import GateClosed
 from stewardry.plans.triage import MESSAGE
 from stewardry.registry import Tables, query
 from stewardry.scale import new_path
-from stewardry.sources import delimited, documents, sinks
+from stewardry.sources import delimited, documents, importing, sinks
 from stewardry.streaming import changes
 
 
@@ -35,6 +36,21 @@ def read_delimited(t: Tables):
     return rows.select("c_custkey", "c_name", "c_mktsegment", "s_suppkey", "s_name", "rate", placed.alias("placed"))
 
 
+@query(
+    "A1_multiline_records",
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, text, true AS placed FROM documents""",
+)
+def multiline_records(t: Tables):
+    """Whole texts as quoted cells, with their line breaks and quotes."""
+    path = new_path(t.spark, "texts")
+    t.documents.select("doc_id", "lang", "text").write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    rows = delimited.read_delimited(t.spark, [path])
+    # lines are physical ones: a record begins behind all line breaks of the records before it
+    return rows.select("doc_id", "lang", "text", (F.col("_line") >= 2).alias("placed"))
+
+
 @query(
     "A2_sniff_dialect",
     """SELECT 'c_custkey,c_name,c_mktsegment' AS header, 'utf-8' AS encoding, ',' AS delimiter, '"' AS quote, 'lf' AS eol, '.' AS "decimal", count(*) > 0 AS found FROM customer
@@ -68,9 +84,7 @@ def dialect_clean(t: Tables):
 def write_load_set(t: Tables):
     path = new_path(t.spark, "load-set")
     frames = {"region": t.region, "nation": t.nation, "customer": t.customer, "supplier": t.supplier}
-    sinks.write_load_set(
-        frames, {"region": "01", "nation": "02", "customer": "03a", "supplier": "03b"}, path
-    )
+    sinks.write_load_set(frames, [("nation", "region"), ("customer", "nation"), ("supplier", "nation")], path)
     back = t.spark.read.schema("value string, load_order string, kind string").text(path)
     problems = sinks.envelope_problems(back, "value", ["load_order", "kind"]).groupBy("load_order", "kind").agg(
         F.count("*").alias("p")
@@ -81,6 +95,86 @@ def write_load_set(t: Tables):
     )
 
 
+KINDS = [
+    importing.Kind("nation", "n_nationkey", (
+        importing.Attribute("n_nationkey", "Key", "Integer"), importing.Attribute("n_name", "Nation Name", optional=False),
+    )),
+    importing.Kind("customer", "c_custkey", (
+        importing.Attribute("c_custkey", "Customer", "Integer"), importing.Attribute("c_name", "Full  Name", optional=False),
+        importing.Attribute("c_acctbal", "Balance", "Number"), importing.Attribute("c_active", "", "Boolean"),
+        importing.Attribute("c_nationkey", "Nation", "Integer", refers="nation"),
+    )),
+    importing.Kind("supplier", "s_suppkey", (
+        importing.Attribute("s_suppkey", "Supplier", "Integer"), importing.Attribute("s_name", "Name", optional=False),
+        importing.Attribute("s_acctbal", "Balance", "Number"), importing.Attribute("s_nationkey", "Nation", "Integer", refers="nation"),
+    )),
+]
+
+
+def nation_files(t: Tables) -> str:
+    path = new_path(t.spark, "nations")
+    t.nation.selectExpr("n_nationkey AS Key", "n_name AS `Nation Name`").write.options(header=True, sep="\t").csv(path)
+    return path
+
+
+def object_rows(t: Tables, path: str, *fields: str):
+    """Kind, load order and some fields of all rows of a load set."""
+    back = t.spark.read.schema("value string, load_order string, kind string").text(path)
+    return back.select("kind", "load_order", *[F.get_json_object("value", f"$.spec.data[0].{f}").alias(f) for f in fields])
+
+
+@query(
+    "A4_import_files",
+    """SELECT 'nation' AS kind, '01' AS load_order, CAST(n_nationkey AS VARCHAR) AS nation, n_name AS name, NULL AS customer, NULL AS active, NULL AS balance FROM nation
+       UNION ALL SELECT 'customer', '02', CAST(c_nationkey AS VARCHAR), c_name || chr(10) || '"' || c_mktsegment || '"', CAST(c_custkey AS VARCHAR),
+         CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END, CAST(c_acctbal AS DOUBLE) FROM customer""",
+)
+def import_files(t: Tables):
+    # two files of another dialect each: cells over several lines, a decimal comma, words for booleans
+    path = new_path(t.spark, "customers")
+    t.customer.selectExpr(
+        "c_custkey AS Customer", "c_name || chr(10) || '\"' || c_mktsegment || '\"' AS `full name`", "replace(string(c_acctbal), '.', ',') AS `Balance (USD)`",
+        "if(c_custkey % 2 = 0, 'Yes', 'no') AS c_active", "c_nationkey AS `Nation`",
+    ).write.options(header=True, sep=";", escape='"').csv(path)
+    ready = importing.draft(t.spark, {"nation": [nation_files(t)], "customer": [path]}, KINDS)
+    emitted = new_path(t.spark, "import")
+    importing.emit(ready, emitted)
+    rows = object_rows(t, emitted, "n_nationkey", "c_nationkey", "n_name", "c_name", "c_custkey", "c_active", "c_acctbal")
+    return rows.select(
+        "kind", "load_order", F.coalesce("n_nationkey", "c_nationkey").alias("nation"), F.coalesce("n_name", "c_name").alias("name"),
+        F.col("c_custkey").alias("customer"), F.col("c_active").alias("active"), F.col("c_acctbal").cast("double").alias("balance"),
+    )
+
+
+@query(
+    "B9_import_issues",
+    """SELECT 'supplier' AS kind, 'Gpu Count' AS "column", 'unmapped' AS code, NULL AS cell, CAST(1 AS BIGINT) AS n, false AS written
+       UNION ALL SELECT 'supplier', 's_name', 'required_blank', NULL, count(*), false FROM supplier WHERE s_suppkey % 7 = 0 HAVING count(*) > 0
+       UNION ALL SELECT 'supplier', 's_acctbal', 'not_a_number', 'many ' || s_nationkey, count(*), false FROM supplier WHERE s_suppkey % 5 = 0 GROUP BY ALL
+       UNION ALL SELECT DISTINCT 'supplier', 's_nationkey', 'orphan', CAST(s_nationkey + 100 AS VARCHAR), CAST(1 AS BIGINT), false FROM supplier WHERE s_suppkey % 11 = 0
+       UNION ALL SELECT 'supplier', 's_suppkey', 'conflict', CAST(s_suppkey AS VARCHAR), CAST(1 AS BIGINT), false FROM supplier WHERE s_suppkey % 13 = 0""",
+)
+def import_issues(t: Tables):
+    path = new_path(t.spark, "suppliers")
+    rows = t.supplier.selectExpr(
+        "s_suppkey AS Supplier", "if(s_suppkey % 7 = 0, ' - ', s_name) AS name", "if(s_suppkey % 5 = 0, 'many ' || s_nationkey, string(s_acctbal)) AS `Balance (USD)`",
+        "s_nationkey + if(s_suppkey % 11 = 0, 100, 0) AS Nation", "1 AS `Gpu Count`",
+    )
+    # some suppliers come again, most of them the same, others under another name
+    again = rows.where("Supplier % 6 = 0 AND name <> ' - ' AND `Balance (USD)` NOT LIKE 'many%'")
+    other = t.supplier.where("s_suppkey % 13 = 0").selectExpr("s_suppkey", "s_name || ' again'", "'1.5'", "s_nationkey", "1")
+    rows.unionByName(again).union(other).write.options(header=True).csv(path)
+    ready = importing.draft(t.spark, {"nation": [nation_files(t)], "supplier": [path]}, KINDS)
+    emitted = new_path(t.spark, "import")
+    try:
+        importing.emit(ready, emitted)
+        written = True
+    except GateClosed:  # the findings are rows beside the load set that was not written
+        written = False
+    found = t.spark.read.schema(importing.ISSUES).json(f"{emitted}-issues")
+    return found.groupBy("kind", "column", "code", "cell").agg(F.count("*").alias("n")).withColumn("written", F.lit(written))
+
+
 @query(
     "A5_provenance",
     " UNION ALL ".join(

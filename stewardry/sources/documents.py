@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stewardry.functions.coerce import to_json_value
-from stewardry.sources.delimited import _lines
+from stewardry.sources.delimited import numbered_lines
 
 
 def explode_documents(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
@@ -104,7 +104,7 @@ def read_log_bundle(spark: SparkSession, path: str) -> DataFrame:
 def read_log_lines(spark: SparkSession, files: str, layout: str) -> DataFrame:
     """Log lines of all files, never a sample; ``layout`` takes service, replica and the mark of a
     previous log out of the path. A line without a time keeps NULL there."""
-    lines = _lines(spark, [files])
+    lines = numbered_lines(spark, [files]).withColumn("value", F.regexp_replace("value", r"\r\z", ""))
     level = F.regexp_extract("value", LOG_LINE, 2)
     return lines.select(
         F.regexp_extract("_path", layout, 1).alias("service"),

@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.operators.checks import GateClosed
+from stewardry.operators.checks import GateClosed, fail_closed
+from stewardry.operators.graph import dependency_levels
+from stewardry.operators.windows import load_order
 
 # The envelope of an object document and the allowed artifact types.
 ENVELOPE = ("apiVersion", "kind", "spec.kind", "spec.data")
@@ -39,15 +41,33 @@ def envelope(rows: DataFrame, kind: str, *, api_version: str = "v1") -> DataFram
     return rows.select(document.alias("value"))
 
 
-def write_load_set(frames: Mapping[str, DataFrame], prefixes: Mapping[str, str], path: str) -> None:
-    """Write the kinds below ``path/load_order=NN/kind=K``, referents first.
+def load_prefixes(spark: SparkSession, kinds: Sequence[str], references: Sequence[tuple[str, str]]) -> dict[str, str]:
+    """``NN`` by dependency level for each kind, with a letter where a level has several; a cycle is refused.
 
-    All kinds go out in one partitioned write; rebalancing gives each kind files of even size and
-    splits a kind that holds most rows.
+    ``references`` pairs a kind with one it refers to. A schema has few kinds, so the driver holds them.
     """
-    missing = sorted(set(frames) - set(prefixes))
-    if missing:
-        raise GateClosed(f"no load order for {missing}")
+    nodes = spark.createDataFrame([(k,) for k in sorted(set(kinds))], "node string")
+    refs = spark.createDataFrame([(a, b) for a, b in references if a != b], "src string, dst string")
+    levels = dependency_levels(nodes, refs).withColumnRenamed("node", "kind")
+    fail_closed(levels.where("level IS NULL").select("kind"), "kinds that refer to each other")
+    rows = load_order(levels).collect()
+    alone = {r["level"] for r in rows if sum(x["level"] == r["level"] for x in rows) == 1}
+    return {r["kind"]: r["prefix"].rstrip("abcdefghijklmnopqrstuvwxyz") if r["level"] in alone else r["prefix"] for r in rows}
+
+
+def write_load_set(
+    frames: Mapping[str, DataFrame], references: Sequence[tuple[str, str]], path: str, *, issues: DataFrame | None = None
+) -> dict[str, str]:
+    """Write the kinds below ``path/load_order=NN/kind=K``, referents first; gives each kind its prefix.
+
+    Any row of ``issues`` closes the gate before the first file. All kinds go out in one partitioned write;
+    rebalancing gives each kind files of even size and splits a kind that holds most rows.
+    """
+    if not frames:
+        raise GateClosed("no kind to load")
+    if issues is not None:
+        fail_closed(issues, "open issues")
+    prefixes = load_prefixes(next(iter(frames.values())).sparkSession, list(frames), references)
     out = None
     for kind, rows in frames.items():
         part = envelope(rows, kind).select(
@@ -55,6 +75,7 @@ def write_load_set(frames: Mapping[str, DataFrame], prefixes: Mapping[str, str],
         )
         out = part if out is None else out.unionByName(part)
     out.hint("rebalance", "load_order", "kind").write.partitionBy("load_order", "kind").text(path)
+    return prefixes
 
 
 def envelope_problems(documents: DataFrame, document: str, keep: Sequence[str]) -> DataFrame:

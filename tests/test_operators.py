@@ -1,5 +1,6 @@
 """Bad and clean cases of the operators, round trips, and brute-force comparisons on small data."""
 
+import csv
 import json
 import random
 
@@ -11,7 +12,7 @@ from stewardry import scale
 from stewardry.functions import coerce, network, text
 from stewardry.operators import aggregates as agg
 from stewardry.operators import checks, corpus, graph, joins, reconcile, windows
-from stewardry.sources import delimited, documents, sinks
+from stewardry.sources import delimited, documents, importing, sinks
 
 
 def values(df, *columns):
@@ -459,10 +460,68 @@ def test_delimited_files(spark, tmp_path):
     (tmp_path / "q.csv").write_text('"Name, full",role\n"x,y",5" rack\n"",""\n')
     quoted = delimited.read_delimited(spark, [str(tmp_path / "q.csv")]).orderBy("_line").collect()
     assert [(r["Name, full"], r.role) for r in quoted][0] == ("x,y", '5" rack')
-    (tmp_path / "broken.csv").write_text('name,note\na,"two\nlines"\n')
     (tmp_path / "bytes.csv").write_bytes(b"name,note\na,\x81\n")
-    with pytest.raises(checks.GateClosed, match="(?s)inside quotes.*broken.csv.*undefined.*bytes.csv"):
-        delimited.read_delimited(spark, [str(tmp_path / "broken.csv"), str(tmp_path / "bytes.csv")])
+    assert delimited.read_delimited(spark, [str(tmp_path / "bytes.csv")]).first().note == "\x81"
+    (tmp_path / "wide.csv").write_bytes("name,note\na,b\n".encode("utf-16"))
+    (tmp_path / "tie.csv").write_text('name;note\tx\na;b\tc\n')
+    with pytest.raises(checks.GateClosed, match=r"(?s)NUL bytes.*wide.csv.*; no clear delimiter.*tie.csv.*, 0 | ; 1 | tab 1"):
+        delimited.read_delimited(spark, [str(tmp_path / "wide.csv"), str(tmp_path / "tie.csv")])
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, "300")
+    yield
+    for n, value in zip(names, before, strict=True):
+        spark.conf.set(n, value)
+
+
+@pytest.mark.parametrize(("delimiter", "ending", "quote"), [(",", "\n", '"'), (";", "\r\n", '"'), ("\t", "\n", "'")])
+def test_records_over_lines(spark, tmp_path, small_splits, delimiter, ending, quote):
+    rng = random.Random(4)
+    pool = ["x", "yy", delimiter, ending, quote, "é", " ", ending + ending, quote + quote]
+    rows = [["id", "one", "two"]]
+    for k in range(300):
+        rows.append([str(k), *("a" + "".join(rng.choices(pool, k=rng.randint(0, 9))) for _ in range(2))])
+    path = tmp_path / ("m.tsv" if delimiter == "\t" else "m.csv")
+    with path.open("w", newline="", encoding="utf-8") as file:
+        csv.writer(file, delimiter=delimiter, quotechar=quote, lineterminator=ending).writerows(rows)
+    with path.open(newline="", encoding="utf-8") as file:
+        reader, lines = csv.reader(file, delimiter=delimiter, quotechar=quote), []
+        want = []
+        for cells in reader:
+            want.append((*cells, (lines[-1] if lines else 0) + 1))
+            lines.append(reader.line_num)
+    got = delimited.read_delimited(spark, [str(path)])
+    assert got.rdd.getNumPartitions() > 1
+    assert sorted((r.id, r.one, r.two, r._line) for r in got.collect()) == sorted(want[1:])
+
+
+def test_quotes_that_are_no_cells_and_megabyte_cells(spark, tmp_path):
+    long = "line of a cell, longer than it should be\n" * 50_000
+    text = 'name,note\na,5" rack\nb,"two ""x"" ' + long + '"\nc,it"s\nd,""\ne,"""q"""\nf,"a"\n'
+    (tmp_path / "cells.csv").write_text(text)
+    got = {r.name: (r.note, r._line) for r in delimited.read_delimited(spark, [str(tmp_path / "cells.csv")]).collect()}
+    assert got == {
+        "a": ('5" rack', 2), "b": ('two "x" ' + long, 3), "c": ('it"s', 50_004), "d": (None, 50_005), "e": ('"q"', 50_006), "f": ("a", 50_007),
+    }
+    with pytest.raises(checks.GateClosed, match="a record of more than 5 lines in .*cells.csv, line 3, byte 20"):
+        delimited.read_delimited(spark, [str(tmp_path / "cells.csv")], most_lines=5)
+
+
+def test_quotes_that_never_close(spark, tmp_path, small_splits):
+    lines = "".join(f"{k},n{k}\n" for k in range(200))
+    (tmp_path / "open.csv").write_text("name,note\n" + lines + 'x,"never\n' + lines)
+    (tmp_path / "ok.csv").write_text("name,note\n" + lines)
+    offset = len("name,note\n" + lines)
+    with pytest.raises(checks.GateClosed, match=f"quotes that never close in .*open.csv, line 202, byte {offset}$"):
+        delimited.read_delimited(spark, [str(tmp_path / "open.csv"), str(tmp_path / "ok.csv")])
+    (tmp_path / "head.csv").write_text('name,"no\nte"\na,b\n')
+    with pytest.raises(checks.GateClosed, match="a header that goes on"):
+        delimited.read_delimited(spark, [str(tmp_path / "head.csv")])
 
 
 def test_log_bundle(spark, tmp_path):
@@ -493,3 +552,45 @@ def test_scorecard(spark):
     failed = spark.createDataFrame([(p, f) for p, _, f in rows], "policy string, failed long")
     out = {r.policy: (r.passed, r.checked, r.pct, r.status) for r in agg.scorecard(checked, failed).collect()}
     assert out["OVERALL"] == (408, 428, 95.3, "WARN") and out["c"] == (47, 47, 100.0, "PASS")
+
+
+def test_import_gate_and_decisions(spark, tmp_path):
+    kinds = [
+        importing.Kind("site", "name", (importing.Attribute("name"), importing.Attribute("height", "", "Number"))),
+        importing.Kind("rack", "id", (importing.Attribute("id", "", "Integer"), importing.Attribute("site", "", refers="site"), importing.Attribute("live", "", "Boolean"))),
+    ]
+    (tmp_path / "site.csv").write_text('Name;Height (m);colour\n"A";1,5;red\n"B\nb";2,5;\n')
+    (tmp_path / "rack.csv").write_text("id,site,live\n1,A,yes\n2,C,maybe\n,A,no\n1,A,yes\n")
+    sources = {"site": [str(tmp_path / "site.csv")], "rack": [str(tmp_path / "rack.csv")]}
+    ready = importing.draft(spark, sources, kinds)
+    found = sorted((r.kind, r.column, r.code, r.cell, r.line) for r in ready.issues.collect())
+    assert found == [
+        ("rack", "id", "required_blank", None, 4), ("rack", "live", "not_a_boolean", "maybe", 3), ("rack", "site", "orphan", "C", None),
+        ("site", "colour", "unmapped", None, None),
+    ]
+    target = tmp_path / "out"
+    with pytest.raises(checks.GateClosed, match="4 open issues: .*colour"):
+        importing.emit(ready, str(target))
+    assert not target.exists() and sum(len(p.read_text().splitlines()) for p in (tmp_path / "out-issues").glob("*.json")) == 4
+    decided = spark.createDataFrame([(k, c, code) for k, c, code, *_ in found], "kind string, column string, code string")
+    prefixes = importing.emit(importing.draft(spark, sources, kinds, decided), str(tmp_path / "again"))
+    assert prefixes == {"site": "01", "rack": "02"}
+    rows = sorted(line for p in (tmp_path / "again").rglob("*.txt") for line in p.read_text().splitlines())
+    assert [json.loads(r)["spec"]["data"][0] for r in rows] == [
+        {"id": 1, "site": "A", "live": True}, {"id": 2, "site": "C"}, {"name": "A", "height": 1.5}, {"name": "B\nb", "height": 2.5},
+    ]
+
+
+def test_load_prefixes(spark):
+    pairs = [("b", "a"), ("c", "a"), ("d", "c"), ("d", "d")]
+    assert sinks.load_prefixes(spark, "abcd", pairs) == {"a": "01", "b": "02a", "c": "02b", "d": "03"}
+    with pytest.raises(checks.GateClosed, match="kinds that refer to each other"):
+        sinks.load_prefixes(spark, "ab", [("a", "b"), ("b", "a")])
+    frames = {"a": spark.range(2)}
+    with pytest.raises(checks.GateClosed, match="open issues"):
+        sinks.write_load_set(frames, [], "/nowhere", issues=spark.range(3))
+
+
+def test_fail_closed_reports_a_bounded_list(spark):
+    with pytest.raises(checks.GateClosed, match="^500 findings: id=[0-9]+; id=[0-9]+; and 498 more$"):
+        checks.fail_closed(spark.range(500), "findings", show=2)
