@@ -9,9 +9,9 @@ The pages of a site may be counted apart by further columns: where a site mixes
 only be on the pages of that language.
 
 A null text has no lines and stays null; an empty one stays empty. A null site is a site of its own, and so is a null
-part of one. Repeated rows are cleaned alike. On sites of fewer than ``least_pages`` pages nothing is dropped, and no
-line on fewer than ``least_copies`` pages. An empty table gives an empty result. Other columns are kept; ``clean``
-overwrites input columns named ``n_lines`` and ``n_dropped``.
+part of one. Repeated rows are cleaned alike. A line on fewer than ``least_copies`` pages stays, whatever its share: that
+is all a small site needs. An empty table gives an empty result. Other columns are kept; ``clean`` overwrites input
+columns named ``n_lines`` and ``n_dropped``.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from stewardry.llm.common import let
 from stewardry.scale import cut
 
+RATIO = 0.1
+LEAST_COPIES = 3  # what more than a tenth of 20 pages comes to
 EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
@@ -36,7 +38,7 @@ def _site_of(site: str, parts: Sequence[str]) -> Column:
 
 
 def boilerplate(
-    docs: DataFrame, site: str, text: str, ratio: float, least_pages: int, parts: Sequence[str] = (), least_copies: int = 1
+    docs: DataFrame, site: str, text: str, ratio: float, least_pages: int, parts: Sequence[str], least_copies: int
 ) -> DataFrame:
     """Per site with any: ``_site`` and ``_lines``, the hashes of the lines on more than ``ratio`` of its pages."""
     lines = F.array_distinct(F.transform(
@@ -55,8 +57,8 @@ def boilerplate(
 
 
 def clean(
-    docs: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.1, least_pages: int = 20,
-    parts: Sequence[str] = (), least_copies: int = 1,
+    docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = 1,
+    parts: Sequence[str] = (), least_copies: int = LEAST_COPIES,
 ) -> DataFrame:
     """``docs`` with their boilerplate lines dropped, ``n_lines`` (not blank) and ``n_dropped``."""
     found = boilerplate(docs, site, text, ratio, least_pages, parts, least_copies).withColumnRenamed("_site", "_bp_site")

@@ -14,6 +14,7 @@ table gives no pieces. Only ``doc_id``, which may be null, and ``text`` are read
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ from stewardry.scale import cut
 
 DIMENSIONS, BITS, BUCKETS = 4, 10, 256
 END = 0  # the id that ends each document
+BLANK_RUN = 1 << 16
+BLANKS = re.compile(r"\s+")
 
 
 class Tokenizer:
@@ -37,7 +40,8 @@ class Tokenizer:
 
     With ``added`` the strings of the file's added tokens get their own ids, as its library does by itself; without,
     they are ordinary text. Where the file's merges are in the order of its ids, tiktoken gives the same ids from the
-    same vocabulary in a quarter of the time; any other file, and a text with such a string, is left to the library.
+    same vocabulary in a quarter of the time; any other file, and a text with such a string, is left to the library. So
+    is a text with a run of more than ``BLANK_RUN`` blanks, on which tiktoken's expressions run out of stack.
     """
 
     #: Fixed value: how byte-level BPE splits a text before it merges.
@@ -71,8 +75,13 @@ class Tokenizer:
         ranks = {bytes(byte_of[c] for c in token): rank for token, rank in model["vocab"].items()}
         return tiktoken.Encoding("byte_bpe", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def _plain(self, text: str) -> bool:
+        if any(x in text for x in self.added):
+            return False
+        return len(text) <= BLANK_RUN or all(m.end() - m.start() <= BLANK_RUN for m in BLANKS.finditer(text))
+
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is not None and not any(x in text for x in self.added):
+        if self.fast is not None and self._plain(text):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype="<u4")
 

@@ -95,18 +95,18 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     "op4_line_dedup",
     r"""
     WITH split AS (
-        SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr
+        SELECT doc_id, source, lang, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr
         FROM documents
     ), trimmed AS (
         SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM split
     ), sites AS (
-        SELECT source, count(DISTINCT text) AS pages FROM documents GROUP BY source
+        SELECT source, lang, count(DISTINCT text) AS pages FROM documents GROUP BY source, lang
     ), listed AS (
-        SELECT source, t FROM trimmed JOIN sites USING (source) WHERE t <> '' AND pages >= 20
-        GROUP BY source, t, pages HAVING count(DISTINCT text) > 0.1 * pages
+        SELECT s.source, s.lang, t FROM trimmed s JOIN sites p ON p.source IS NOT DISTINCT FROM s.source AND p.lang IS NOT DISTINCT FROM s.lang
+        WHERE t <> '' GROUP BY s.source, s.lang, t, pages HAVING count(DISTINCT text) > 0.1 * pages AND count(DISTINCT text) >= 3
     ), judged AS (
         SELECT s.doc_id, s.line, s.nr, s.t, l.t IS NOT NULL AS dropped
-        FROM trimmed s LEFT JOIN listed l ON l.source = s.source AND l.t = s.t
+        FROM trimmed s LEFT JOIN listed l ON l.source IS NOT DISTINCT FROM s.source AND l.lang IS NOT DISTINCT FROM s.lang AND l.t = s.t
     )
     SELECT doc_id, count(*) FILTER (WHERE t <> '') AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
         sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE NOT dropped), '')) AS kept_sha256
@@ -114,7 +114,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = lines.clean(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    cleaned = lines.clean(table(spark, folder, "documents").select("doc_id", "text", "source", "lang"), parts=["lang"])
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

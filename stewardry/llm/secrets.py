@@ -46,6 +46,7 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 #: Sets of strings larger than this are given up for a weaker query.
+SLICE = 256  # matches of a text that are walked at once
 MOST_STRINGS = 64
 
 #: A query in disjunctive form: one of the sets of trigrams must be contained whole. None: any text may match.
@@ -143,7 +144,7 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """All leftmost non-overlapping matches that pass, as structs of start, order, end and kind.
 
     Spark has no function for the positions of all matches: they are the running lengths of the texts between matches
-    and of the matches.
+    and of the matches. These are added up over slices, then inside each, so that the work grows with the matches.
     """
     pattern = F.lit(rule.pattern)
     matched = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -165,9 +166,23 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
             F.when(keep, F.concat(state["spans"], made)).otherwise(state["spans"]).alias("spans"),
         )
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
-    walked = F.aggregate(parts, start, step)["spans"]
-    return F.when(text.rlike(_least_pattern(rule)), walked).otherwise(F.array().cast(f"array<{span}>"))
+    def inside(slice_: Column, begin: Column) -> Column:
+        return F.aggregate(slice_, F.struct(begin.alias("at"), F.array().cast(f"array<{span}>").alias("spans")), step)["spans"]
+
+    def begins(slices: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+        first = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("all"))
+        size = lambda s: F.aggregate(s, zero, lambda n, part: n + part["gap"] + F.coalesce(part["width"], F.lit(0)))
+        return F.aggregate(slices, first, lambda state, s: F.struct(
+            (state["at"] + size(s)).alias("at"), F.concat(state["all"], F.array(state["at"])).alias("all")
+        ))["all"]
+
+    def walked(all_parts: Column) -> Column:
+        last = F.floor((F.size(all_parts) - 1) / SLICE).cast("int")
+        slices = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_parts, k * SLICE + 1, F.lit(SLICE)))
+        return let(slices, lambda s: let(begins(s), lambda at: F.flatten(F.transform(s, lambda part, k: inside(part, F.get(at, k))))))
+
+    return F.when(text.rlike(_least_pattern(rule)), let(parts, walked)).otherwise(F.array().cast(f"array<{span}>"))
 
 
 def _least_pattern(rule: Rule) -> str:

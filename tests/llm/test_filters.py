@@ -110,11 +110,25 @@ def test_trigram_query_shapes():
 # lines --------------------------------------------------------------------------------------------------------------
 
 
+def test_very_many_secrets_in_one_text(spark):
+    import time
+
+    one = "AKIA" + "B" * 16 + " token=abcdef " + "0123456789abcdef01234567" + "\n"
+    n = 100_000
+    docs = spark.createDataFrame([(1, one * n), (2, one), (3, " " * 2_000_000)], "doc_id long, text string")
+    started = time.time()
+    found = {r.doc_id: r for r in secrets.scan(docs).select("doc_id", F.size("found").alias("n"), F.try_element_at("found", F.lit(-1)).alias("last")).collect()}
+    assert time.time() - started < 60
+    single = found[2]
+    assert found[1].n == n * single.n and found[3].n == 0
+    assert found[1].last.start == single.last.start + (n - 1) * len(one) and found[1].last.kind == single.last.kind
+
+
 def test_lines_against_brute_force(spark):
     data = [(k, "\n".join(([" menu "] if k % 3 else []) + [invented(k // 2, 8), "", f"own {k}"] + (["rare"] if k < 2 else [])), "ab"[k % 2], "x", "y") for k in range(80)]
     data += [(90, None, "a", "x", "y"), (91, "", None, "x", "y"), (92, "menu", None, "x", "y"), (92, "menu", None, "x", "y"), (93, "menu\nmenu", "tiny", "x", "y")]
     docs = spark.createDataFrame(data, "doc_id long, text string, source string, n_lines string, kept string")
-    got = {(r.doc_id, r.source): r for r in lines.clean(docs, ratio=0.3, least_pages=20).collect()}
+    got = {(r.doc_id, r.source): r for r in lines.clean(docs, ratio=0.3).collect()}
     site_pages, carrying = collections.defaultdict(set), collections.defaultdict(set)
     for _, t, s, *_ in data:
         if t is not None:
@@ -124,8 +138,7 @@ def test_lines_against_brute_force(spark):
     for i, t, s, *_ in data:
         r = got[i, s]
         full = [x for x in (t or "").split("\n") if x.strip()]
-        big = len(site_pages[s]) >= 20
-        drop = [x for x in full if big and len(carrying[s, x.strip()]) > 0.3 * len(site_pages[s])]
+        drop = [x for x in full if len(carrying[s, x.strip()]) > max(2, 0.3 * len(site_pages[s]))]
         want = None if t is None else "\n".join(x for x in t.split("\n") if x not in drop)
         assert (r.text, r.n_lines, r.n_dropped) == (want, len(full), len(drop))
     assert lines.clean(docs.limit(0)).count() == 0 and lines.clean(docs).count() == len(data)
@@ -144,6 +157,16 @@ def test_site_wide_lines_go_from_every_source_and_language(spark):
     assert got == {i: "\n".join(x for x in t.split("\n") if not x.startswith("site wide")) for i, t, *_ in data}
 
 
+def test_the_query_drops_what_the_pipeline_drops(spark, data):
+    import corpus_pipeline
+    from stewardry.llm import queries
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    staged = corpus_pipeline.line_dedup(spark, docs, data).select("doc_id", F.sha2("text", 256).alias("kept_sha256"))
+    asked = queries.op4(spark, data).select("doc_id", "kept_sha256")
+    assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, asked.collect()))
+
+
 # decision lists -----------------------------------------------------------------------------------------------------
 
 

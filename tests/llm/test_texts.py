@@ -62,6 +62,18 @@ def test_fast_tokenizer_gives_the_ids_of_the_file():
         assert tokenizer.encode(text).tolist() == encoding.ids
 
 
+@pytest.mark.parametrize("blanks", [" ", "\n", " \t\u3000\n"])
+def test_very_long_runs_of_blanks(spark, blanks):
+    from tokenizers import Tokenizer
+
+    text = "word" + blanks * (2_000_000 // len(blanks)) + "word"
+    docs = spark.createDataFrame([(1, text), (2, "word")], "doc_id long, text string")
+    pieces = packing.pack(docs, queries.tokenizer_path()).where("doc_id = 1").orderBy("start").collect()
+    own = Tokenizer.from_file(queries.tokenizer_path())
+    want = own.encode(text, add_special_tokens=False).ids + [0]
+    assert np.frombuffer(b"".join(bytes(r.ids) for r in pieces), "<u4").tolist() == want
+
+
 def test_added_tokens_keep_their_ids(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
