@@ -25,8 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the lines that are boilerplate of their source and language, recounted; none is dropped."""
-    # 3 copies: what more than a tenth of 20 pages comes to, so that small sources need no less
-    cleaned = lines.clean(docs, parts=["lang"], least_pages=1, least_copies=3)
+    cleaned = lines.clean(docs, parts=["lang"])
     if "n_chars" in docs.columns:
         counted = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
         cleaned = cleaned.withColumn("n_chars", counted)
