@@ -339,6 +339,80 @@ def known_issue_scores(
     )
 
 
+def top_known_issues(
+    subjects: DataFrame, issues: DataFrame, k: int, *, subject: str, subject_text: str, issue: str, issue_text: str,
+    min_score: int = 1, stop: Sequence[str] = (), rare: int = 16, widen: int = 8,
+) -> DataFrame:
+    """The ``k`` best known issues of each subject, as :func:`known_issue_scores` scores them, without all pairs.
+
+    Ties go to the smaller issue; issues below ``min_score`` do not count. Subjects with the same known words are scored
+    once. A round lets subjects meet issues on words of at most ``rare`` issues only. All other words of a subject
+    together bound what an issue it did not meet could score, and what one it met could still gain: where that is
+    below the k-th score so far, the subject is settled, and only issues that can still pass are scored in full. The
+    rest go on with ``widen`` times the bound, so that a frequent word is joined for those subjects alone whose
+    answer may hang on it.
+    """
+    words = distinct_tokens(subjects, subject, subject_text, 1, stop)
+    index = cut(distinct_tokens(issues, issue, issue_text, 1, stop), "issue-words")
+    weights = cut(
+        index.groupBy("token").agg(F.count("*").alias("df")).withColumn("weight", F.expr("greatest(1, 1000000000 div df)")), "weights"
+    )
+    known = cut(words.join(weights, "token").withColumn("token", F.xxhash64("token")), "subject-words")
+    posted = cut(index.join(weights, "token").withColumn("token", F.xxhash64("token")), "postings")
+    # equal sets of words are one subject
+    marks = [F.bit_xor(F.xxhash64("token", F.lit(m))).alias(f"_m{m}") for m in (1, 2)]
+    sets = cut(known.groupBy(subject).agg(*marks, F.count("*").alias("_n")), "word-sets")
+    same = ["_m1", "_m2", "_n"]
+    firsts = sets.groupBy(*same).agg(F.min(subject).alias("_rep"))
+    todo = cut(firsts.select(F.col("_rep").alias(subject)), "subjects")
+    most = weights.agg(F.max("df")).first()[0] or 0
+    found = None
+    pair = F.struct("token", "weight")
+    while True:
+        own = known.join(todo, subject, "left_semi")
+        near = (
+            own.where(F.col("df") <= rare).select(subject, "token", "weight")
+            .join(posted.where(F.col("df") <= rare).select(issue, "token"), "token")
+            .groupBy(subject, issue).agg(F.sum("weight").alias("_s"), F.count("*").alias("_c"))
+        )
+        near = cut(near, "met")
+        hot = own.where(F.col("df") > rare).groupBy(subject).agg(F.sum("weight").alias("_more"), F.collect_list(pair).alias("_hot"))
+        best = Window.partitionBy(subject).orderBy(F.col("_s").desc())
+        kth = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).groupBy(subject).agg(
+            F.max("_r").alias("_r"), F.min("_s").alias("_kth")
+        )
+        bar = F.greatest(F.when(F.col("_r") == k, F.col("_kth")).otherwise(0), F.lit(min_score))
+        bounds = cut(
+            todo.join(hot, subject, "left").join(kth, subject, "left")
+            .select(subject, F.coalesce("_more", F.lit(0)).alias("_more"), "_hot", F.coalesce(bar, F.lit(min_score)).alias("_bar")),
+            "bounds",
+        )
+        settled = bounds.where(F.col("_more") < F.col("_bar"))
+        issue_hot = posted.where(F.col("df") > rare).groupBy(issue).agg(F.collect_list(pair).alias("_theirs"))
+        none = F.array().cast("array<struct<token:bigint,weight:bigint>>")
+        scored = (
+            near.join(settled, subject).where(F.col("_s") + F.col("_more") >= F.col("_bar")).join(issue_hot, issue, "left")
+            .withColumn("_both", F.array_intersect(F.coalesce("_hot", none), F.coalesce("_theirs", none)))
+            .select(
+                subject, issue, (F.col("_c") + F.size("_both")).cast("bigint").alias("n_shared"),
+                (F.col("_s") + F.aggregate("_both", F.lit(0).cast("bigint"), lambda n, x: n + x["weight"])).cast("bigint").alias("score"),
+            )
+        )
+        place = Window.partitionBy(subject).orderBy(F.col("score").desc(), issue)
+        top = cut(
+            scored.where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k), "top"
+        )
+        found = top if found is None else found.unionByName(top)
+        if rare >= most:
+            break
+        todo = cut(bounds.where(F.col("_more") >= F.col("_bar")).select(subject), "subjects")
+        if todo.isEmpty():
+            break
+        rare *= widen
+    reps = sets.join(firsts, same).select(subject, "_rep")
+    return reps.join(found.withColumnRenamed(subject, "_rep"), "_rep").select(subject, issue, "n_shared", "score", "rank")
+
+
 SMALL_SHAPE = 16
 
 

@@ -128,24 +128,27 @@ def reverse_state(edges: DataFrame, local: str, remote: str, active: Column) ->
 
 
 def _power_blocks(first: Column, end: Column) -> Column:
-    """The bins from ``first`` to before ``end`` as blocks ``(size, block)`` of 2**size bins each."""
-    block = "array<struct<size:int,block:bigint>>"
-
-    def step(state: Column, k: Column) -> Column:
-        low, high = state["low"], state["high"]
-        left = (low < high) & (low % 2 != 0)
-        after = low + left.cast("bigint")
-        right = (after < high) & (high % 2 != 0)
-        before = high - right.cast("bigint")
-        made = F.filter(
-            F.array(F.when(left, F.struct(k.alias("size"), low.alias("block"))), F.when(right, F.struct(k.alias("size"), before.alias("block")))),
-            lambda x: x.isNotNull(),
-        )
-        half = lambda x: F.floor(x / 2).cast("bigint")
-        return F.struct(half(after).alias("low"), half(before).alias("high"), F.concat(state["found"], made.cast(block)).alias("found"))
+    """The bins from ``first`` to before ``end`` as blocks ``(size, block)`` of 2**size bins each.
 
-    start = F.struct(first.alias("low"), end.alias("high"), F.array().cast(block).alias("found"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, step)["found"]
+    The whole blocks of a size in the run are those from its low end rounded up to its high end rounded down; of these
+    the outermost are the run's own where they are no half of a larger one. A single bin is its own block.
+    """
+    many = F.element_at(F.transform(F.array(F.struct(first.alias("_low"), end.alias("_high"))), lambda x: _blocks_of(x["_low"], x["_high"])), 1)
+    one = F.array(F.struct(F.lit(0).alias("size"), first.alias("block")))
+    return F.when(end - first == 1, one).otherwise(many)
+
+
+def _blocks_of(low: Column, high: Column) -> Column:
+    def at(k: Column) -> Column:
+        # shifts round down; from the negative side they round up
+        lowest, highest = -F.call_function("shiftright", -low, k), F.call_function("shiftright", high, k)
+        odd = (lowest % 2 != 0).cast("bigint")
+        left = F.when((lowest < highest) & (lowest % 2 != 0), F.struct(k.alias("size"), lowest.alias("block")))
+        right = F.when((lowest + odd < highest) & (highest % 2 != 0), F.struct(k.alias("size"), (highest - 1).alias("block")))
+        return F.array(left, right)
+
+    sizes = F.sequence(F.lit(0), F.length(F.bin(high - low)) - 1)
+    return F.filter(F.flatten(F.transform(sizes, at)), lambda x: x.isNotNull())
 
 
 def interval_overlap(

@@ -202,9 +202,11 @@ def allocate_next(
 ) -> DataFrame:
     """Give each requester the next free number of its pool.
 
-    ``pools`` has ``pool, low, high``; ``used`` has ``pool, number`` and the requester that holds
-    it (NULL = held by something else); requesters are numbers. Who already holds a number keeps
-    it; a pool that runs out yields ``exhausted`` rows. Both ranks are prefix sums over blocks.
+    ``pools`` has ``pool, low, high``, more than once for a pool of several ranges that do not overlap; ``used`` has
+    ``pool, number`` and the requester that holds it (NULL = held by something else); requesters are numbers. Who
+    already holds a number keeps it; a pool that runs out yields ``exhausted`` rows. Free numbers are never listed:
+    the gaps between used ones are intervals, their lengths add up to ranks, and a request takes the number of its own
+    rank. Gaps behind the last request are left out. Ranks and sums run over blocks of numbers.
     """
     held = used.where(F.col(requester).isNotNull()).groupBy(pool, requester).agg(
         F.min("number").alias("number")
@@ -212,24 +214,34 @@ def allocate_next(
     asked = requests.select(pool, requester).distinct()
     kept = asked.join(held, [pool, requester])
     waiting = asked.join(held, [pool, requester], "left_anti")
-    blocks = pools.select(
-        pool,
-        "low",
-        "high",
-        F.explode(F.sequence(block_of(F.col("low"), block), F.col("high"), F.lit(block))).alias("_b"),
+    ranges = pools.select(pool, F.col("low").cast("bigint").alias("_low"), F.col("high").cast("bigint").alias("_high"))
+    taken = (
+        used.select(pool, F.col("number").cast("bigint").alias("number")).distinct().join(ranges, pool)
+        .where(F.col("number").between(F.col("_low"), F.col("_high")))
     )
-    numbers = blocks.select(
-        pool,
-        F.explode(
-            F.sequence(
-                F.greatest(F.col("low"), F.col("_b")), F.least(F.col("high"), F.col("_b") + (block - 1))
-            )
-        ).alias("number"),
-    )
-    free = numbers.join(used.select(pool, "number").distinct(), [pool, "number"], "left_anti")
-    free_rank = ranked(free, [pool], ["number"], block_of(F.col("number"), block), "_rank")
+    seen = with_previous(taken, [pool, "_low"], ["number"], block_of(F.col("number"), block), ["number"], "_before")
+    after = F.coalesce(F.col("_before.number") + 1, F.col("_low"))
+    inner = seen.select(pool, after.alias("_first"), (F.col("number") - after).alias("_n"))
+    last = ranges.join(taken.groupBy(pool, "_low").agg(F.max("number").alias("_top")), [pool, "_low"], "left")
+    after = F.coalesce(F.col("_top") + 1, F.col("_low"))
+    outer = last.select(pool, after.alias("_first"), (F.col("_high") - after + 1).alias("_n"))
+    gaps = inner.unionByName(outer).where(F.col("_n") > 0)
+    gaps = running_total(gaps, [pool], ["_first"], block_of(F.col("_first"), block), F.col("_n"), "_to")
     wait_rank = ranked(waiting, [pool], [requester], block_of(F.col(requester), block), "_rank")
-    granted = wait_rank.join(free_rank, [pool, "_rank"], "left").select(pool, requester, "number")
+    wanted = waiting.groupBy(pool).agg(F.count("*").alias("_wanted"))
+    # a gap meets the requests of its ranks in stretches of 1024
+    begin = F.col("_to") - F.col("_n") + 1
+    useful = gaps.join(wanted, pool).where(begin <= F.col("_wanted")).select(
+        pool, "_first", begin.alias("_begin"), F.least("_to", "_wanted").alias("_end"),
+    )
+    listed = useful.withColumn("_part", F.explode(F.sequence(F.shiftright("_begin", 10), F.shiftright("_end", 10))))
+    granted = (
+        wait_rank.withColumn("_part", F.shiftright("_rank", 10)).alias("w")
+        .join(listed.alias("g"), [pool, "_part"])
+        .where(F.col("_rank").between(F.col("_begin"), F.col("_end")))
+        .select(pool, requester, (F.col("_first") + F.col("_rank") - F.col("_begin")).alias("number"))
+    )
+    granted = waiting.join(granted, [pool, requester], "left")
     status = F.when(F.col("number").isNull(), "exhausted").otherwise("allocated")
     return kept.withColumn("status", F.lit("kept")).unionByName(granted.withColumn("status", status))
 

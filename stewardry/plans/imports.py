@@ -416,46 +416,97 @@ def global_checks(t: Tables):
     return t.spark.read.parquet(out).select("object_id").distinct()
 
 
+#: Every tenth event comes in a second delivery, when the first has moved the watermark on.
+DELIVERED = "event_id % 10 = 3"
+MARKS = f"""m AS (SELECT max(ts) FILTER (NOT ({DELIVERED})) - INTERVAL 1 HOUR AS first_mark, max(ts) - INTERVAL 1 HOUR AS last_mark FROM events)"""
+SIGNALS = f"""l AS (SELECT event_id, event_type AS service, ts, time_bucket(INTERVAL 1 DAY, ts) AS w, {MESSAGE} AS msg, {DELIVERED} AS again FROM events),
+     j AS (SELECT l.*, again AND w + INTERVAL 1 DAY <= first_mark AS late, w + INTERVAL 1 DAY <= last_mark AS is_final FROM l, m)"""
+
+
+def in_two_deliveries(t: Tables, run):
+    """A stream that is run over a first delivery, and goes on from its checkpoint when a second has come."""
+    folder, root = new_path(t.spark, "deliveries"), new_path(t.spark, "stream")
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = None
+    for part in (f"NOT ({DELIVERED})", DELIVERED):
+        rows.where(part).write.mode("append").parquet(folder)
+        out = run(changes.change_feed(t.spark, folder, rows.schema), root)
+    return out
+
+
+def signal_outcome(t: Tables):
+    tests = {k: F.col("msg").rlike(agg.SIGNAL_CLASSES[k]) for k in ("severity", "connection")}
+
+    def run(feed, root):
+        lines = feed.selectExpr("event_id", "ts", "event_type AS service", f"{MESSAGE} AS msg")
+        return changes.stream_signals(lines, "ts", "service", tests, width="1 day", delay="1 hour", root=root)
+
+    return in_two_deliveries(t, run)
+
+
+def incident_outcome(t: Tables):
+    def run(feed, root):
+        errors = feed.where("event_type = 'error'").select("ts", "user_id", "event_id")
+        return changes.stream_incidents(errors, ["user_id"], "ts", gap_seconds=6 * 3600, delay="1 hour", root=root)
+
+    return in_two_deliveries(t, run)
+
+
 @query(
     "J2_stream_signals",
-    f"""WITH l AS (SELECT event_type AS service, time_bucket(INTERVAL 1 DAY, ts) AS w, {MESSAGE} AS msg FROM events)
+    f"""WITH {MARKS}, {SIGNALS}
         SELECT CAST(w AS TIMESTAMP) AS window_start, service, count(*) FILTER (regexp_matches(msg, '(?i)\\b(error|critical|fatal|panic)\\b')) AS severity,
-          count(*) FILTER (regexp_matches(msg, '(?i)connection (refused|reset|closed)|timed? ?out|retry')) AS connection,
-          w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS is_final
-        FROM l GROUP BY ALL""",
+          count(*) FILTER (regexp_matches(msg, '(?i)connection (refused|reset|closed)|timed? ?out|retry')) AS connection, is_final
+        FROM j WHERE NOT late GROUP BY ALL""",
 )
 def stream_signals(t: Tables):
-    row = ["CAST(ts AS TIMESTAMP) AS ts", "event_type AS service", f"{MESSAGE} AS msg"]
-    tests = {k: F.col("msg").rlike(agg.SIGNAL_CLASSES[k]) for k in ("severity", "connection")}
-    out = changes.run_to_end(
-        changes.stream_signals(event_feed(t).selectExpr(*row), "ts", "service", tests, width="1 day", delay="1 hour"), "signals"
-    ).withColumn("is_final", F.lit(True))
-    held = changes.open_signals(t.events.selectExpr(*row), "ts", "service", tests, width="1 day", delay="1 hour")
-    out = out.unionByName(held.withColumn("is_final", F.lit(False)))
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    out = signal_outcome(t)
+    rows = out.final.withColumn("is_final", F.lit(True)).unionByName(out.held.withColumn("is_final", F.lit(False)))
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "service", "severity", "connection", "is_final")
+
+
+@query(
+    "J2_late_rows",
+    f"""WITH {MARKS}, {SIGNALS}
+        SELECT event_id, service FROM j WHERE late""",
+)
+def late_rows(t: Tables):
+    return signal_outcome(t).late.select("event_id", "service")
+
+
+ERRORS = f"""m AS (SELECT max(ts) FILTER (NOT ({DELIVERED})) - INTERVAL 1 HOUR AS first_mark, max(ts) - INTERVAL 1 HOUR AS last_mark FROM events WHERE event_type = 'error'),
+     x AS (SELECT user_id, ts, event_id, {DELIVERED} AND ts + INTERVAL 6 HOUR <= first_mark AS late FROM events, m WHERE event_type = 'error')"""
 
 
 @query(
     "J3_stream_incidents",
-    """WITH e AS (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL
-           OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS o FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))
-       SELECT user_id, count(*) AS n_signals, min(ts) AS first_seen, max(ts) AS last_seen,
-         max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type = 'error') AS is_final
-       FROM e GROUP BY user_id, i""",
+    f"""WITH {ERRORS}, a AS (SELECT *, {DELIVERED} AS again FROM x WHERE NOT late),
+         -- what the first delivery closed stays closed; all else is clustered together
+         f AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL
+           OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS o FROM a WHERE NOT again WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))),
+         c AS (SELECT user_id, i, count(*) AS n_signals, min(ts) AS first_seen, max(ts) AS last_seen FROM f GROUP BY ALL),
+         closed AS (SELECT c.* FROM c, m WHERE last_seen + INTERVAL 6 HOUR <= first_mark),
+         r AS (SELECT user_id, ts, event_id FROM a WHERE again UNION ALL SELECT f.user_id, ts, event_id FROM f WHERE NOT EXISTS (SELECT 1 FROM closed k WHERE k.user_id = f.user_id AND k.i = f.i)),
+         g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL
+           OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS o FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))),
+         d AS (SELECT user_id, i, count(*) AS n_signals, min(ts) AS first_seen, max(ts) AS last_seen FROM g GROUP BY ALL)
+       SELECT user_id, n_signals, first_seen, last_seen, true AS is_final FROM closed
+       UNION ALL SELECT user_id, n_signals, first_seen, last_seen, last_seen + INTERVAL 6 HOUR <= last_mark FROM d, m""",
 )
 def stream_incidents(t: Tables):
-    errors = lambda rows: rows.where("event_type = 'error'").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "user_id")
-    out = changes.run_to_end(
-        changes.stream_incidents(errors(event_feed(t)), ["user_id"], "ts", gap="6 hours", delay="1 hour"), "incidents"
-    ).withColumn("is_final", F.lit(True))
-    held = changes.open_incidents(errors(t.events), ["user_id"], "ts", gap="6 hours", delay="1 hour")
-    out = out.unionByName(held.withColumn("is_final", F.lit(False)))
-    return out.select(
+    out = incident_outcome(t)
+    rows = out.final.withColumn("is_final", F.lit(True)).unionByName(out.held.withColumn("is_final", F.lit(False)))
+    return rows.select(
         "user_id", "n_signals", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"),
         F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "is_final",
     )
 
 
+@query("J3_late_signals", f"WITH {ERRORS} SELECT event_id, user_id FROM x WHERE late")
+def late_signals(t: Tables):
+    return incident_outcome(t).late.select("event_id", "user_id")
+
+
 @query(
     "J4_stream_dedupe",
     "SELECT DISTINCT user_id, event_type FROM events",

@@ -447,27 +447,27 @@ def load_order(t: Tables):
     return windows.load_order(kinds)
 
 
-TOKENS = """SELECT DISTINCT {key} AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 7)) AS token FROM {table}"""
-SCORES = f"""WITH d AS ({TOKENS.format(key='doc_id', table='documents')}), i AS ({TOKENS.format(key='item_id', table='benchmark')}),
+TOKENS = """SELECT DISTINCT {key} AS id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS token FROM {table}"""
+SCORES = f"""WITH d AS (SELECT * FROM ({TOKENS.format(key='doc_id', table='documents')}) WHERE token <> ''), i AS (SELECT * FROM ({TOKENS.format(key='item_id', table='benchmark')}) WHERE token <> ''),
   w AS (SELECT token, greatest(1, 1000000000 // count(*)) AS weight FROM i GROUP BY 1)
   SELECT i.id AS item_id, d.id AS doc_id, count(*) AS n_shared, CAST(sum(weight) AS BIGINT) AS score FROM d JOIN i ON d.token = i.token JOIN w ON w.token = i.token GROUP BY ALL"""
 
 
-def benchmark_scores(t: Tables):
-    return corpus.known_issue_scores(
-        t.spread("documents", "doc_id", "text"),
-        t.benchmark,
-        subject="doc_id",
-        subject_text="text",
-        issue="item_id",
-        issue_text="text",
-        min_length=7,  # invented prose: shorter words are its filling
+def best_items(t: Tables, k: int, min_score: int = 1):
+    return corpus.top_known_issues(
+        t.documents.select("doc_id", "text"), t.benchmark.select("item_id", "text"), k,
+        subject="doc_id", subject_text="text", issue="item_id", issue_text="text", min_score=min_score,
     )
 
 
-@query("M8_known_issue_match", SCORES, headline=True)
+@query(
+    "M8_known_issue_match",
+    f"""SELECT doc_id, item_id, n_shared, score, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rank FROM ({SCORES})) WHERE rank <= 10""",
+    headline=True,
+)
 def known_issue_match(t: Tables):
-    return benchmark_scores(t)
+    return best_items(t, 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(
@@ -476,5 +476,5 @@ def known_issue_match(t: Tables):
         SELECT d.doc_id, item_id, score, coalesce(rank, 0) AS rank FROM documents d LEFT JOIN (SELECT * FROM r WHERE rank <= 3) r ON d.doc_id = r.doc_id""",
 )
 def top_matches(t: Tables):
-    strong = benchmark_scores(t).where("score >= 3000000000")
+    strong = best_items(t, 3, min_score=3_000_000_000).drop("rank", "n_shared")
     return windows.top_matches(t.documents, strong, "doc_id", "item_id", "score", 3)
