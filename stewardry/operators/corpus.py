@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stewardry.functions.text import normalised
+from stewardry.operators.checks import fail_closed
 from stewardry.scale import cut
 
 
@@ -48,6 +49,45 @@ def text_rules(df: DataFrame, text: str, rules: Sequence[TextRule], keep: Sequen
     return tested.select(*keep, F.explode(verdicts).alias("_v")).select(*keep, "_v.rule", "_v.passed")
 
 
+def text_rule_rows(texts: DataFrame, text_id: str, text: str, rules: DataFrame, *, broken_only: bool = False) -> DataFrame:
+    """Rows ``(text_id, rule, passed)`` for rules that are rows themselves, as many as there are, in one plan.
+
+    ``rules`` has ``rule, mode, kind, term``: a rule's rows share its mode (``require_all``, ``require_any`` or
+    ``forbid``); kind is ``phrase`` or ``pattern``, of which patterns are tested on each text. All phrases of all rules
+    are looked up together (:func:`seed_scan`); a text then meets the rules with its own few hits beside it, so that no
+    row per text and rule is shuffled. Texts are lower-cased and space-collapsed, NULL has none of the terms; ids are
+    distinct. ``broken_only`` leaves out what passed. A rule with another mode or kind, or with several modes, is refused.
+    """
+    known = F.col("mode").isin("require_all", "require_any", "forbid") & F.col("kind").isin("phrase", "pattern")
+    odd = rules.where(~F.coalesce(known, F.lit(False)) | F.col("term").isNull() | (F.col("term") == "")).select("rule").union(
+        rules.groupBy("rule").agg(F.count_distinct("mode").alias("n")).where("n > 1").select("rule")
+    )
+    fail_closed(odd.distinct(), "rules that cannot be read")
+    spelled = F.when(F.col("kind") == "phrase", normalised(F.col("term"))).otherwise(F.col("term"))
+    terms = cut(rules.select("rule", "mode", "kind", spelled.alias("term")).distinct(), "rule-terms")
+    phrases = terms.where("kind = 'phrase'")
+    hits = seed_scan(texts, text_id, text, phrases.select(F.col("term").alias("needle")).distinct())
+    by_rule = hits.withColumnRenamed("needle", "term").join(phrases.select("rule", "term"), "term").groupBy(text_id, "rule").agg(F.count("*").alias("n"))
+    own = by_rule.groupBy(text_id).agg(F.map_from_entries(F.collect_list(F.struct("rule", "n"))).alias("_hits"))
+    listed = terms.groupBy("rule", "mode").agg(
+        F.count("*").alias("n"), F.collect_list(F.when(F.col("kind") == "pattern", F.col("term"))).alias("patterns")
+    )
+    # the rules are one value that every text meets: rows of a rule table, not rows of data
+    all_rules = listed.agg(F.collect_list(F.struct("rule", "mode", "n", "patterns"))).scalar()
+    low = F.coalesce(normalised(F.col(text)), F.lit(""))
+    judged = texts.select(text_id, low.alias("_low")).join(own, text_id, "left").withColumn("_rules", all_rules)
+
+    def verdict(r: Column) -> Column:
+        found = F.coalesce(F.element_at("_hits", r["rule"]), F.lit(0)) + F.size(F.filter(r["patterns"], lambda p: F.regexp_like(F.col("_low"), p)))
+        passed = F.when(r["mode"] == "require_all", found == r["n"]).when(r["mode"] == "require_any", found > 0).otherwise(found == 0)
+        return F.struct(r["rule"].alias("rule"), passed.alias("passed"))
+
+    verdicts = F.transform("_rules", verdict)
+    if broken_only:
+        verdicts = F.filter(verdicts, lambda v: ~v["passed"])
+    return judged.select(text_id, F.explode(verdicts).alias("_v")).select(text_id, "_v.rule", "_v.passed")
+
+
 def policy_rows(
     subjects: DataFrame, policies: DataFrame, scope: Sequence[str], *, subject: str, value: str
 ) -> DataFrame:
@@ -254,39 +294,42 @@ def seed_needles(seeds: DataFrame, seed: str, *, stop: Sequence[str] = GENERIC_T
     )
 
 
+#: What a text is cut into to look needles up: words, and each other character by itself.
+WORD_BREAK = r"[^\p{L}\p{N}]+"
+
+
 def seed_scan(texts: DataFrame, text_id: str, text: str, needles: DataFrame) -> DataFrame:
     """Every ``(text_id, needle)`` where the normalised text contains the needle.
 
-    A run of letters and digits inside a needle lies inside one word of the text. So each needle is
-    looked up by its longest run: first among the distinct words of the whole corpus, by the
-    five-letter grams of those words, then through the ``(text, word)`` pairs. A needle that is one
-    run is thereby found; any other is compared with its few candidate texts in full. Needles whose
-    longest run is shorter than a gram go through the grams of the texts themselves.
+    A run of letters and digits inside a needle lies inside one word of the text. So each needle is looked up by its
+    longest run, or its first character if it has none: first among the distinct words and other characters of the
+    corpus, by the first characters of the run, then through the texts' own lists of them. A needle that is one run is
+    thereby found; the others' candidates are gathered by text and compared with it in full, once per text.
     """
     low = texts.select(text_id, normalised(F.col(text)).alias("_low"))
-    runs = F.filter(F.split("needle", "[^a-z0-9]+"), lambda x: F.length(x) >= MIN_TOKEN)
+    words = F.filter(F.split("_low", WORD_BREAK), lambda x: x != "")
+    marks = F.regexp_extract_all("_low", F.lit(r"([^\p{L}\p{N}])"), F.lit(1))
+    units = cut(low.select(text_id, F.array_distinct(F.concat(words, marks)).alias("_units")), "units")
+    runs = F.filter(F.split("needle", WORD_BREAK), lambda x: x != "")
     longest = F.array_max(F.transform(runs, lambda x: F.struct(F.length(x).alias("n"), x.alias("run"))))
-    anchored = needles.select("needle", longest["run"].alias("run"))
-    known = anchored.where(F.col("run").isNotNull())
-
-    listed = low.select(text_id, F.explode(F.array_distinct(F.split("_low", "[^a-z0-9]+"))).alias("word")).where(
-        F.length("word") >= MIN_TOKEN
-    )
-    vocabulary = listed.select("word").distinct()
-    opening = known.select("run", F.left("run", F.lit(MIN_TOKEN)).alias("gram")).distinct()
-    words = (
-        vocabulary.select("word", F.explode(_grams("word", MIN_TOKEN)).alias("gram"))
+    anchored = needles.where(F.col("needle") != "").select("needle", F.coalesce(longest["run"], F.left("needle", F.lit(1))).alias("run")).distinct()
+    opening = anchored.select("run", F.left("run", F.lit(MIN_TOKEN)).alias("gram")).distinct()
+    grams = F.flatten(F.array(*[_grams("unit", n) for n in range(1, MIN_TOKEN + 1)]))
+    inside = (
+        units.select(F.explode("_units").alias("unit")).distinct()
+        .select("unit", F.explode(grams).alias("gram"))
         .join(opening, "gram")
-        .where(F.contains("word", "run"))
-        .select("word", "run")
+        .where(F.contains("unit", "run"))
+        .select("unit", "run")
     )
-    hits = listed.join(words, "word").select(text_id, "run").distinct().join(known, "run")
+    met = units.select(text_id, F.explode("_units").alias("unit")).join(inside, "unit").select(text_id, "run").distinct()
+    hits = met.join(anchored, "run")
     alone = F.col("needle") == F.col("run")
-    found = hits.where(alone).select(text_id, "needle").unionByName(
-        hits.where(~alone).join(low, text_id).where(F.contains("_low", "needle")).select(text_id, "needle")
+    gathered = hits.where(~alone).groupBy(text_id).agg(F.collect_set("needle").alias("_needles"))
+    whole = gathered.join(low, text_id).select(
+        text_id, F.explode(F.filter("_needles", lambda x: F.contains(F.col("_low"), x))).alias("needle")
     )
-    rest = anchored.where(F.col("run").isNull()).select("needle")
-    return found if rest.isEmpty() else found.unionByName(_scan_by_grams(low, text_id, rest))
+    return hits.where(alone).select(text_id, "needle").unionByName(whole)
 
 
 def _grams(column: str, size: int) -> Column:
@@ -294,15 +337,6 @@ def _grams(column: str, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def _scan_by_grams(low: DataFrame, text_id: str, needles: DataFrame) -> DataFrame:
-    """Needles without a long run: found by their first characters, then compared in full."""
-    sizes = range(1, MIN_TOKEN + 1)
-    opening = needles.select("needle", F.left("needle", F.lit(MIN_TOKEN)).alias("gram"))
-    grams = low.select(text_id, F.explode(F.flatten(F.array(*[_grams("_low", n) for n in sizes]))).alias("gram"))
-    hits = grams.join(opening, "gram").select(text_id, "needle").distinct()
-    return hits.join(low, text_id).where(F.contains("_low", "needle")).select(text_id, "needle")
-
-
 def distinct_tokens(
     df: DataFrame, row_id: str, text: str, min_length: int, stop: Sequence[str] = ()
 ) -> DataFrame:

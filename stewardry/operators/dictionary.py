@@ -246,20 +246,21 @@ def missing_inverses(entities: DataFrame, relationships: DataFrame) -> DataFrame
     ).select("kind", "name", "identifier", "peer").distinct()
     bases = F.array_append(F.coalesce("inherit_from", F.array().cast("array<string>")), F.col("kind"))
     lineage = entities.select("kind", F.explode(bases).alias("base")).distinct()
-    # each forward relation lists the few places its inverse may connect, then looks them up
+    # each forward relation lists the few places its inverse may connect, by a hash of all three, and looks them up
     source = lineage.select("kind", F.col("base").alias("to_kind"))
     holder = lineage.select(F.col("kind").alias("peer"), F.col("base").alias("on_kind"))
-    places = forward.join(source, "kind", "left").join(holder, "peer", "left").select(
-        "kind", "name", "identifier", "peer",
-        F.coalesce("to_kind", "kind").alias("to_kind"),
-        F.coalesce("on_kind", "peer").alias("on_kind"),
+    place = [F.xxhash64("identifier", "on_kind", "to_kind").alias("_p1"), F.xxhash64("to_kind", "on_kind", "identifier").alias("_p2")]
+    places = (
+        forward.join(source, "kind", "left").join(holder, "peer", "left")
+        .withColumns({"to_kind": F.coalesce("to_kind", "kind"), "on_kind": F.coalesce("on_kind", "peer")})
+        .select("kind", "name", "identifier", "peer", *place)
     )
-    declared = relationships.where(~F.col("rel_kind").isin("Parent", "Component")).select(
-        "identifier", F.col("kind").alias("on_kind"), F.col("peer").alias("to_kind")
-    ).distinct()
-    paired = places.join(declared, ["identifier", "on_kind", "to_kind"], "left_semi")
-    keys = ["kind", "name", "identifier", "peer"]
-    return forward.join(paired.select(*keys).distinct(), keys, "left_anti")
+    declared = (
+        relationships.where(~F.col("rel_kind").isin("Parent", "Component"))
+        .withColumnsRenamed({"kind": "on_kind", "peer": "to_kind"}).select(*place).distinct().withColumn("_found", F.lit(True))
+    )
+    found = places.join(declared, ["_p1", "_p2"], "left").groupBy("kind", "name", "identifier", "peer").agg(F.bool_or("_found").alias("_found"))
+    return found.where(F.col("_found").isNull()).drop("_found")
 
 
 def unused_flags(flags: DataFrame, uses: DataFrame) -> DataFrame:

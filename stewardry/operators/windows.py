@@ -35,21 +35,24 @@ def collapse_ranges(
     """Fold ``eth0 .. eth47`` into ``eth[0-47]`` per parent where all sibling columns are equal.
 
     Runs shorter than ``min_rows`` stay single names. Zero-padded numbers form ranges of their own
-    width. Equal rows are folded first; see :func:`duplicate_names` for reporting them.
+    width. Of a number of more than 18 digits the last 18 are folded, behind the digits before them
+    (``sn123[000000000000000007-000000000000000019]``), which expands to the same names.
+    Equal rows are folded first; see :func:`duplicate_names` for reporting them.
 
     Islands are found inside blocks of the number line, so a parent of any size is spread over
     tasks; only the pieces that touch a block border are then stitched.
     """
     siblings = list(siblings)
-    digits = F.regexp_extract(name, r"^(.*?)(\d+)\z", 2)
+    digits, before = (F.regexp_extract(name, r"^(.*?)(\d+)\z", k) for k in (2, 1))
     split = (
         rows.select(parent, name, *siblings)
-        .withColumn("_digits", digits)
-        .withColumn("_prefix", F.regexp_extract(name, r"^(.*?)(\d+)\z", 1))
-        .withColumn("_num", F.when(F.length("_digits") <= 18, F.col("_digits").try_cast("bigint")))
+        .withColumn("_all", digits)
+        .withColumn("_digits", F.right("_all", F.lit(18)))
+        .withColumn("_prefix", F.concat(before, F.left("_all", F.length("_all") - 18)))
+        .withColumn("_num", F.col("_digits").try_cast("bigint"))
         .withColumn(
             "_width",
-            F.when(F.col("_digits").rlike("^0."), F.length("_digits")).otherwise(F.lit(0)),
+            F.when((F.length("_all") > 18) | F.col("_digits").rlike("^0."), F.length("_digits")).otherwise(F.lit(0)),
         )
     )
     numbered = split.where(F.col("_num").isNotNull() & F.col(parent).isNotNull())

@@ -164,10 +164,13 @@ def relation_presence(t: Tables):
     return dic.relation_presence(entities(t), relationships(t))
 
 
+#: Each line relates its part to its supplier; its quantity says what stands on the other side: the inverse, one
+#: between generics, or a relation to something else.
 INVERSES = """WITH e AS (SELECT 'P' || p_partkey AS kind, p_brand AS base FROM part UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier),
-  r AS (SELECT 'P' || l_partkey AS kind, 'rel_' || l_linenumber AS name, 'S' || l_suppkey AS peer, 'ps_' || l_linenumber AS identifier, 'one' AS cardinality FROM lineitem WHERE l_returnflag = 'A'
-    UNION ALL SELECT 'S' || l_suppkey, 'back_' || l_linenumber, 'P' || l_partkey, 'ps_' || l_linenumber, 'many' FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 20
-    UNION ALL SELECT 'N' || s_nationkey, 'wide', p_brand, 'ps_' || l_linenumber, 'many' FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50)"""
+  l AS (SELECT *, CASE WHEN l_quantity < 20 THEN 'back' WHEN l_quantity = 50 THEN 'wide' ELSE 'other' END AS side FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+  r AS (SELECT 'P' || l_partkey AS kind, 'rel_' || l_linenumber AS name, 'S' || l_suppkey AS peer, 'ps_' || l_linenumber AS identifier, 'one' AS cardinality FROM l
+    UNION ALL SELECT CASE side WHEN 'wide' THEN 'N' || s_nationkey ELSE 'S' || l_suppkey END, side || '_' || l_linenumber,
+      CASE side WHEN 'back' THEN 'P' || l_partkey WHEN 'wide' THEN p_brand ELSE 'O' || l_orderkey END, 'ps_' || l_linenumber, 'many' FROM l)"""
 
 
 @query(
@@ -181,25 +184,20 @@ def missing_inverse(t: Tables):
     kinds = t.part.selectExpr("'P' || p_partkey AS kind", "array(p_brand) AS inherit_from").unionByName(
         t.supplier.selectExpr("'S' || s_suppkey AS kind", "array('N' || s_nationkey) AS inherit_from")
     )
-    sold = t.lineitem.where("l_returnflag = 'A'")
-    forward = sold.selectExpr(
-        "'P' || l_partkey AS kind", "'rel_' || l_linenumber AS name", "'S' || l_suppkey AS peer",
-        "'ps_' || l_linenumber AS identifier", "'one' AS cardinality", "'Attribute' AS rel_kind",
-    )
-    back = sold.where("l_quantity < 20").selectExpr(
-        "'S' || l_suppkey AS kind", "'back_' || l_linenumber AS name", "'P' || l_partkey AS peer",
-        "'ps_' || l_linenumber AS identifier", "'many' AS cardinality", "'Attribute' AS rel_kind",
-    )
-    wide = (
-        t.lineitem.where("l_quantity = 50")
+    lines = (
+        t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
         .join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
         .join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .selectExpr(
-            "'N' || s_nationkey AS kind", "'wide' AS name", "p_brand AS peer", "'ps_' || l_linenumber AS identifier",
-            "'many' AS cardinality", "'Attribute' AS rel_kind",
-        )
+        .withColumn("side", F.expr("CASE WHEN l_quantity < 20 THEN 'back' WHEN l_quantity = 50 THEN 'wide' ELSE 'other' END"))
+    )
+    both = lines.selectExpr(
+        "inline(array(struct('P' || l_partkey AS kind, 'rel_' || l_linenumber AS name, 'S' || l_suppkey AS peer,"
+        " 'ps_' || l_linenumber AS identifier, 'one' AS cardinality, 'Attribute' AS rel_kind),"
+        " struct(CASE side WHEN 'wide' THEN 'N' || s_nationkey ELSE 'S' || l_suppkey END AS kind, side || '_' || l_linenumber AS name,"
+        " CASE side WHEN 'back' THEN 'P' || l_partkey WHEN 'wide' THEN p_brand ELSE 'O' || l_orderkey END AS peer,"
+        " 'ps_' || l_linenumber AS identifier, 'many' AS cardinality, 'Attribute' AS rel_kind)))"
     )
-    return dic.missing_inverses(kinds, forward.unionByName(back).unionByName(wide))
+    return dic.missing_inverses(kinds, both)
 
 
 @query(

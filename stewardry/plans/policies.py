@@ -372,7 +372,7 @@ def cross_key(t: Tables):
     "C2_traverse",
     """SELECT r_name, n_name, count(DISTINCT c_custkey) AS n_customers, count(o_orderkey) AS n_orders
        FROM region LEFT JOIN nation ON r_regionkey = n_regionkey
-       LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON n_nationkey = c_nationkey
+       LEFT JOIN customer ON n_nationkey = c_nationkey
        LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL""",
     headline=True,
 )
@@ -383,11 +383,7 @@ def traverse(t: Tables):
         t.region.select("r_regionkey", "r_name"),
         [
             joins.Hop(t.nation, "r_regionkey", "n_regionkey"),
-            joins.Hop(
-                t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_nationkey"),
-                "n_nationkey",
-                "c_nationkey",
-            ),
+            joins.Hop(t.customer.select("c_custkey", "c_nationkey"), "n_nationkey", "c_nationkey"),
             joins.Hop(placed, "c_custkey", "o_custkey"),
         ],
     )

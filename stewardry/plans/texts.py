@@ -474,6 +474,36 @@ def text_rules(t: Tables):
     return corpus.text_rules(t.spread("documents", "doc_id", "text"), "text", RULES, ["doc_id"])
 
 
+#: Rules that are rows: two passages of each benchmark item are forbidden, each customer segment is to be named by some
+#: short spelling, each brand's letters all have to occur, addresses must not.
+RULE_ROWS = r"""SELECT 'item-' || item_id AS rule, 'forbid' AS mode, 'phrase' AS kind, substr(text, 1, 30) AS term FROM benchmark
+  UNION ALL SELECT 'item-' || item_id, 'forbid', 'phrase', substr(text, 41, 24) FROM benchmark
+  UNION ALL SELECT DISTINCT 'segment-' || c_mktsegment, 'require_any', 'phrase', substr(c_mktsegment, CAST(1 + c_custkey % 4 AS INT), 3) FROM customer
+  UNION ALL SELECT DISTINCT 'brand-' || p_brand, 'require_all', 'phrase', substr(p_type, CAST(1 + p_partkey % 3 AS INT), 2) FROM part
+  UNION ALL SELECT 'addresses', 'forbid', 'pattern', '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+' FROM region"""
+
+
+@query(
+    "M1_rule_rows",
+    rf"""WITH r AS (SELECT DISTINCT rule, mode, kind, CASE WHEN kind = 'phrase' THEN lower(regexp_replace(term, '\s+', ' ', 'g')) ELSE term END AS term FROM ({RULE_ROWS}) WHERE term <> ''),
+        n AS (SELECT rule, mode, count(*) AS n FROM r GROUP BY ALL),
+        d AS (SELECT doc_id, lower(regexp_replace(text, '\s+', ' ', 'g')) AS low FROM documents),
+        h AS (SELECT doc_id, rule, count(*) AS n FROM d JOIN r ON CASE kind WHEN 'phrase' THEN contains(low, term) ELSE regexp_matches(low, term) END GROUP BY ALL)
+        SELECT d.doc_id, n.rule FROM d CROSS JOIN n LEFT JOIN h ON h.doc_id = d.doc_id AND h.rule = n.rule
+        WHERE CASE mode WHEN 'forbid' THEN h.n > 0 WHEN 'require_all' THEN coalesce(h.n, 0) < n.n ELSE h.n IS NULL END""",
+)
+def rule_rows(t: Tables):
+    parts = {n: getattr(t, n) for n in ("benchmark", "customer", "part", "region")}
+    rules = (
+        parts["benchmark"].selectExpr("'item-' || item_id AS rule", "'forbid' AS mode", "'phrase' AS kind", "inline(array(struct(substr(text, 1, 30) AS term), struct(substr(text, 41, 24) AS term)))")
+        .unionByName(parts["customer"].selectExpr("'segment-' || c_mktsegment AS rule", "'require_any' AS mode", "'phrase' AS kind", "substr(c_mktsegment, int(1 + c_custkey % 4), 3) AS term"))
+        .unionByName(parts["part"].selectExpr("'brand-' || p_brand AS rule", "'require_all' AS mode", "'phrase' AS kind", "substr(p_type, int(1 + p_partkey % 3), 2) AS term"))
+        .unionByName(parts["region"].selectExpr("'addresses' AS rule", "'forbid' AS mode", "'pattern' AS kind", "'[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+' AS term"))
+    )
+    rules = rules.where("term <> ''").distinct()
+    return corpus.text_rule_rows(t.spread("documents", "doc_id", "text"), "doc_id", "text", rules, broken_only=True).select("doc_id", "rule")
+
+
 @query(
     "K4_policy_rows",
     """WITH p AS (SELECT p_brand, 'size-' || p_brand AS policy, 'at_least' AS rule, CAST(min(p_size) + 2 AS VARCHAR) AS argument FROM part GROUP BY 1

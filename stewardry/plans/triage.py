@@ -223,13 +223,11 @@ def expand_ranges(t: Tables):
 
 INCIDENTS = """SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS incident FROM (
   SELECT event_id, user_id, ts, event_type, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000 THEN 1 ELSE 0 END AS opens
-  FROM events WHERE event_type IN ('error', 'view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 
 
 def clustered(t: Tables):
-    signals = t.events.where("event_type IN ('error', 'view', 'purchase')").select(
-        "event_id", "user_id", "ts", "event_type"
-    )
+    signals = t.events.select("event_id", "user_id", "ts", "event_type")
     return windows.incidents(signals, ["user_id"], "ts", 21600, tie=["event_id"])
 
 
