@@ -375,7 +375,7 @@ def known_issue_scores(
 
 def top_known_issues(
     subjects: DataFrame, issues: DataFrame, k: int, *, subject: str, subject_text: str, issue: str, issue_text: str,
-    min_score: int = 1, stop: Sequence[str] = (), rare: int = 16, widen: int = 8,
+    min_score: int = 1, stop: Sequence[str] = (), rare: int = 128, widen: int = 16,
 ) -> DataFrame:
     """The ``k`` best known issues of each subject, as :func:`known_issue_scores` scores them, without all pairs.
 
@@ -447,20 +447,17 @@ def top_known_issues(
     return reps.join(found.withColumnRenamed(subject, "_rep"), "_rep").select(subject, issue, "n_shared", "score", "rank")
 
 
-SMALL_SHAPE = 16
-
-
 def shape_duplicates(
     members: DataFrame, node: str, attribute: str, *, percent: int = 70, min_nodes: int = 3
 ) -> DataFrame:
     """Shapes (sets of attributes) with at least ``min_nodes`` nodes of like shape around them.
 
     Alike means a Jaccard overlap above ``percent`` (50 at least). Nodes of equal shape are folded
-    into one row first, so a group of copies never meets itself. Different shapes meet on their
-    rarest attributes only: two alike share at least ``k = floor(n percent / 100) + 1`` attributes,
-    so they share two of each one's ``n - k + 2`` rarest. Small shapes meet on such pairs; shapes
-    above ``SMALL_SHAPE`` attributes on single attributes among the ``n - k + 1`` rarest, which are
-    selective enough there. Every candidate pair is then verified on all attributes.
+    into one row first, so a group of copies never meets itself. Different shapes meet by the pair of their sizes, which
+    says how many attributes two alike must share, and so how few of their rarest ones cannot all be missing in
+    the other: for sizes 4 and 5 at 70 percent the rarest one of the smaller, two of the larger. Only sizes that occur
+    are paired. What follows in both behind the attribute they meet on, and the bits of their attributes that differ,
+    leave out pairs that cannot reach that many. Every other candidate is verified on all attributes.
     """
     if percent < 50:
         raise ValueError("below 50 percent a single shared attribute could be enough")
@@ -468,61 +465,51 @@ def shape_duplicates(
     pairs = cut(members.select(node, attribute).distinct(), "pairs")
     code = F.xxhash64(attribute)
     mark = F.xxhash64(F.lit("second"), F.col(attribute))
+    place = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(F.lit("bit"), F.col(attribute)), F.lit(64)).cast("int"))
     shapes = (
         pairs.groupBy(node)
-        .agg(F.count("*").alias("n"), F.bit_xor(code).alias("_x"), F.bit_xor(mark).alias("_y"))
+        .agg(F.count("*").alias("n"), F.bit_xor(code).alias("_x"), F.bit_xor(mark).alias("_y"), F.bit_or(place).alias("bits"))
         .groupBy("n", "_x", "_y")
-        .agg(F.min(node).alias("shape"), F.count("*").alias("n_nodes"))
-        .select("shape", "n", "n_nodes")
+        .agg(F.min(node).alias("shape"), F.count("*").alias("n_nodes"), F.min("bits").alias("bits"))
+        .select("shape", "n", "n_nodes", "bits")
     )
     shapes = cut(shapes, "shapes")
     held = cut(
-        pairs.join(shapes.select(F.col("shape").alias(node), "n"), node).select(
-            F.col(node).alias("shape"), "n", F.col(attribute).alias("attr")
+        pairs.join(shapes.select(F.col("shape").alias(node), "n", "bits"), node).select(
+            F.col(node).alias("shape"), "n", "bits", F.col(attribute).alias("attr")
         ),
         "held",
     )
     frequency = held.groupBy("attr").agg(F.count("*").alias("freq"))
     rare = Window.partitionBy("shape").orderBy("freq", "attr")
+    # two of sizes n and m alike share more than percent (n + m) / (100 + percent) attributes
+    least = lambda total: F.floor(total * percent / (100 + percent)) + 1
     prefix = cut(
-        held.where(F.col("n") > 1)
-        .join(frequency, "attr")
-        .withColumn("_r", F.row_number().over(rare))
-        .where(F.col("_r") <= F.col("n") - F.floor(F.col("n") * percent / 100) + 1),
+        held.join(frequency, "attr").withColumn("r", F.row_number().over(rare))
+        .where(F.col("r") <= F.col("n") - F.floor(F.col("n") * percent / 100)),
         "prefix",
     )
-    token = F.struct(F.col("_r").alias("r"), F.col("attr").alias("t"))
-    listed = (
-        prefix.where(F.col("n") <= SMALL_SHAPE)
-        .groupBy("shape", "n")
-        .agg(F.sort_array(F.collect_list(token)).alias("_l"))
-    )
-    twos = F.flatten(
-        F.transform(
-            "_l",
-            lambda x: F.transform(
-                F.filter("_l", lambda y: y["r"] > x["r"]),
-                lambda y: F.struct(x["t"].alias("t1"), y["t"].alias("t2"), y["r"].alias("r")),
-            ),
-        )
+    sizes = shapes.agg(F.array_sort(F.collect_set("n"))).scalar()
+    listed = prefix.withColumn("_sizes", sizes)
+    own = F.col("n")
+
+    def side(end: str, fits: Column) -> DataFrame:
+        """Rows of shapes that meet partners of another size, for the attributes they may meet on."""
+        rows = listed.select("shape", "n", "bits", "attr", "r", F.explode("_sizes").alias("m")).where(fits & (F.col("r") <= own - least(own + F.col("m")) + 1))
+        low, high = ("n", "m") if end == "a" else ("m", "n")
+        return rows.select("attr", F.col(low).alias("na"), F.col(high).alias("nb"), F.col("shape").alias(end), F.col("r").alias(f"r{end}"), F.col("bits").alias(f"bits_{end}"))
+
+    enough = F.least(own, F.col("m")) * 100 > F.greatest(own, F.col("m")) * percent
+    smaller = side("a", enough & (own <= F.col("m")))
+    larger = side("b", enough & (F.col("m") <= own))
+    most = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
+    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
+    possible = (
+        ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
+        & (most >= least(F.col("na") + F.col("nb")))
+        & (apart <= F.col("na") + F.col("nb") - 2 * least(F.col("na") + F.col("nb")))
     )
-    small = listed.select("shape", "n", F.explode(twos).alias("_k")).select("shape", "n", "_k.*")
-    # small shapes close to the border also list single attributes, for their larger partners
-    single = prefix.where(
-        (F.col("n") * 100 > F.lit(SMALL_SHAPE * percent))
-        & (F.col("_r") <= F.col("n") - F.floor(F.col("n") * percent / 100))
-    ).select("shape", "n", F.col("attr").alias("t1"), F.col("_r").alias("r"))
-
-    def meet(index: DataFrame, keys: list[str], shared: int) -> DataFrame:
-        left = index.select(*keys, F.col("shape").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
-        right = index.select(*keys, F.col("shape").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
-        # a pair alike meets on its first shared attributes, after which this many can follow
-        most = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + shared
-        possible = (F.col("a") < F.col("b")) & (most * 100 > (F.col("na") + F.col("nb") - most) * percent)
-        return left.join(right, keys).where(possible).select("a", "b", "na", "nb")
-
-    large = meet(single, ["t1"], 1).where(F.greatest("na", "nb") > SMALL_SHAPE)
-    candidates = meet(small, ["t1", "t2"], 2).unionByName(large).distinct()
+    candidates = cut(smaller.join(larger, ["attr", "na", "nb"]).where(possible).select("a", "b", "na", "nb").distinct(), "candidates")
     shared = cut(
         candidates.join(held.select(F.col("shape").alias("a"), "attr"), "a")
         .join(held.select(F.col("shape").alias("b"), "attr"), ["b", "attr"])

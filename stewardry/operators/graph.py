@@ -146,6 +146,66 @@ def dependency_levels(nodes: DataFrame, refs: DataFrame, *, node: str = "node")
     return _levels(spark, path, like).unionByName(cyclic)
 
 
+def dependency_cycles(nodes: DataFrame, refs: DataFrame, *, node: str = "node") -> DataFrame:
+    """Why nodes have no load level: ``node, status, cycle`` for those on a cycle and those that wait behind one.
+
+    ``cycle`` names a strongly connected set by its least node; it is NULL for a node that is on none but refers, through
+    others, to one. Nodes that can be loaded are left out. What has a level goes first, then what nothing left refers
+    to; in the rest, each round marks every node with the least node that reaches it, and a set is what reaches its mark
+    back among nodes of that mark. Rounds go with the length of the cycles, tables shrink with every set that is found.
+    """
+    spark = nodes.sparkSession
+    path = new_path(spark, "cycles")
+    stuck = cut(dependency_levels(nodes, refs, node=node).where("level IS NULL").select(F.col(node).alias("node")), "stuck")
+    among = lambda links, kept: links.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(
+        kept.withColumnRenamed("node", "dst"), "dst", "left_semi"
+    ).select("src", "dst")
+    links = cut(among(refs.select("src", "dst").distinct(), stuck), "stuck-refs")
+    left = stuck
+    rounds = 0
+    like = stuck.select("node", F.col("node").alias("cycle"))
+    while not left.isEmpty():
+        # nodes that none of the rest refers to are on no cycle, and then those that only these referred to
+        while True:
+            held = cut(left.join(links.select(F.col("dst").alias("node")).distinct(), "node", "left_semi"), "held")
+            if held.count() == left.count():
+                break
+            left, links = held, cut(among(links, held), "stuck-refs")
+        if left.isEmpty():
+            break
+        marks = left.select("node", F.col("node").alias("mark"))
+        while True:
+            reached = links.join(marks, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "mark")
+            new = cut(marks.unionByName(reached).groupBy("node").agg(F.min("mark").alias("mark")), "marks")
+            changed = new.join(marks.withColumnRenamed("mark", "old"), "node").where("mark <> old").isEmpty()
+            marks = new
+            if changed:
+                break
+        of = lambda end: marks.select(F.col("node").alias(end), F.col("mark").alias(f"{end}_mark"))
+        inside = cut(links.join(of("src"), "src").join(of("dst"), "dst").where("src_mark = dst_mark").select("src", "dst", F.col("src_mark").alias("mark")), "inside")
+        back = marks.where("node = mark")
+        while True:
+            more = inside.join(back, (inside["dst"] == back["node"]) & (inside["mark"] == back["mark"])).select(inside["src"].alias("node"), inside["mark"])
+            grown = cut(back.unionByName(more).distinct(), "back")
+            done = grown.count() == back.count()
+            back = grown
+            if done:
+                break
+        # a single node is a cycle only if it refers to itself
+        alone = back.groupBy("mark").agg(F.count("*").alias("n")).where("n = 1").select("mark")
+        loops = inside.where("src = dst").select(F.col("src").alias("mark")).distinct()
+        found = back.join(alone.join(loops, "mark", "left_anti"), "mark", "left_anti")
+        found.select("node", F.col("mark").alias("cycle")).write.parquet(f"{path}/round={rounds}")
+        rounds += 1
+        left = cut(left.join(back.select("node"), "node", "left_anti"), "left")
+        links = cut(among(links, left), "stuck-refs")
+    sets = like.limit(0)
+    if rounds:
+        sets = spark.read.schema(like.schema).parquet(*[f"{path}/round={k}" for k in range(rounds)])
+    status = F.when(F.col("cycle").isNull(), "behind").otherwise("cycle")
+    return stuck.join(sets, "node", "left").select(F.col("node").alias(node), status.alias("status"), "cycle")
+
+
 def cascade_delete(seeds: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Deleted nodes with their level, and the references to null.
 

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stewardry.contracts import violations
-from stewardry.functions.network import ip_to_long, network_of
-from stewardry.scale import block_of
+from stewardry.functions.network import ip_parts, ip_to_long, network_parts
+from stewardry.scale import block_of, cut
 
 
 def cross_key(
@@ -127,28 +127,28 @@ def reverse_state(edges: DataFrame, local: str, remote: str, active: Column) ->
     return joined.select(local, remote, state.alias("state")).where(F.col("state").isNotNull())
 
 
-def _power_blocks(first: Column, end: Column) -> Column:
-    """The bins from ``first`` to before ``end`` as blocks ``(size, block)`` of 2**size bins each.
+def _power_blocks(rows: DataFrame, first: Column, end: Column) -> DataFrame:
+    """``rows`` once for each block ``size, block`` of 2**size bins that the bins from ``first`` to before ``end`` make up.
 
     The whole blocks of a size in the run are those from its low end rounded up to its high end rounded down; of these
-    the outermost are the run's own where they are no half of a larger one. A single bin is its own block.
+    the outermost are the run's own where they are no half of a larger one.
     """
-    many = F.element_at(F.transform(F.array(F.struct(first.alias("_low"), end.alias("_high"))), lambda x: _blocks_of(x["_low"], x["_high"])), 1)
-    one = F.array(F.struct(F.lit(0).alias("size"), first.alias("block")))
-    return F.when(end - first == 1, one).otherwise(many)
-
+    shift = lambda n, k: F.call_function("shiftright", n, k)
+    size, low, high = F.col("size"), F.col("_low"), F.col("_high")
+    # shifts round down; from the negative side they round up
+    ends = rows.withColumns({"_first": first, "_end": end}).select(
+        "*", F.explode(F.sequence(F.lit(0), _largest(F.col("_first"), F.col("_end")))).alias("size")
+    ).withColumns({"_low": -shift(-F.col("_first"), size), "_high": shift(F.col("_end"), size)})
+    odd = (low % 2 != 0).cast("bigint")
+    blocks = F.array(
+        F.when((low < high) & (low % 2 != 0), low), F.when((low + odd < high) & (high % 2 != 0), high - 1)
+    )
+    return ends.withColumn("block", F.explode(blocks)).where(F.col("block").isNotNull()).drop("_first", "_end", "_low", "_high")
 
-def _blocks_of(low: Column, high: Column) -> Column:
-    def at(k: Column) -> Column:
-        # shifts round down; from the negative side they round up
-        lowest, highest = -F.call_function("shiftright", -low, k), F.call_function("shiftright", high, k)
-        odd = (lowest % 2 != 0).cast("bigint")
-        left = F.when((lowest < highest) & (lowest % 2 != 0), F.struct(k.alias("size"), lowest.alias("block")))
-        right = F.when((lowest + odd < highest) & (highest % 2 != 0), F.struct(k.alias("size"), (highest - 1).alias("block")))
-        return F.array(left, right)
 
-    sizes = F.sequence(F.lit(0), F.length(F.bin(high - low)) - 1)
-    return F.filter(F.flatten(F.transform(sizes, at)), lambda x: x.isNotNull())
+def _largest(first: Column, end: Column) -> Column:
+    """The size of the largest block that fits into a run of bins."""
+    return F.length(F.bin(end - first)) - 1
 
 
 def interval_overlap(
@@ -181,11 +181,11 @@ def interval_overlap(
         *carry,
     )
     first = F.floor(F.col("s") / F.lit(bin_width)).cast("bigint")
-    rows = rows.withColumn("_blocks", _power_blocks(first, F.floor((F.col("e") - 1) / F.lit(bin_width)).cast("bigint") + 1))
-    early = rows.select(
-        "bucket", F.inline("_blocks"), *[F.col(c).alias(f"{c}_a") for c in ("id", "s", "e", *carry)]
+    end = F.floor((F.col("e") - 1) / F.lit(bin_width)).cast("bigint") + 1
+    early = _power_blocks(rows, first, end).select(
+        "bucket", "size", "block", *[F.col(c).alias(f"{c}_a") for c in ("id", "s", "e", *carry)]
     )
-    sizes = rows.groupBy("bucket").agg(F.max(F.array_max(F.transform("_blocks", lambda x: x["size"]))).alias("_most"))
+    sizes = rows.groupBy("bucket").agg(F.max(_largest(first, end)).alias("_most"))
     late = rows.join(sizes, "bucket").select(
         "bucket",
         F.explode(F.sequence(F.lit(0), F.col("_most"))).alias("size"),
@@ -206,36 +206,52 @@ def interval_overlap(
     )
 
 
-def cidr_containment(
-    addresses: DataFrame,
-    prefixes: DataFrame,
-    *,
-    address: str,
-    scope: str,
-) -> DataFrame:
-    """Addresses outside every approved prefix (``network``, ``prefix_len``) of their own scope.
+def _prefix_matches(addresses: DataFrame, prefixes: DataFrame, address: str, prefix: str, scope: str) -> tuple[DataFrame, DataFrame]:
+    """Readable addresses with their ``_ip``, and (scope, _ip, _len, prefix) for each prefix of the scope that holds one.
 
-    Every address lists its network for each prefix length in use in its scope (33 at most), which
-    turns containment into an equi-join on ``(scope, length, network)``. NULL addresses are left to
-    :func:`without_any`, those that are no IPv4 address to :func:`unreadable_addresses`.
+    Every distinct address lists its network for each prefix length in use in its scope and family (129 at most),
+    which turns containment into an equi-join on ``(scope, family, length, network)``.
     """
-    approved = prefixes.select(
-        scope, F.col("prefix_len").cast("int").alias("_len"), F.col("network").alias("_net")
-    ).distinct()
-    numbered = addresses.withColumn("_ip", ip_to_long(F.col(address)))
-    seen = numbered.where(F.col("_ip").isNotNull())
-    distinct = seen.select(scope, "_ip").distinct()
-    lengths = approved.groupBy(scope).agg(F.collect_set("_len").alias("_lens"))
-    candidates = distinct.join(lengths, scope).select(scope, "_ip", F.explode("_lens").alias("_len")).withColumn(
-        "_net", network_of(F.col("_ip"), F.col("_len"))
-    )
-    inside = candidates.join(approved, [scope, "_len", "_net"], "left_semi").select(scope, "_ip")
-    return seen.join(inside.distinct(), [scope, "_ip"], "left_anti").drop("_ip")
+    part = lambda name: F.col("_p")[name]
+    approved = prefixes.select(scope, F.col(prefix).alias("_prefix"), ip_parts(F.col(prefix)).alias("_p")).where(F.col("_p").isNotNull())
+    net = network_parts(part("hi"), part("lo"), part("length"))
+    approved = approved.select(
+        scope, part("family").alias("_family"), part("length").alias("_len"), net[0].alias("_hi"), net[1].alias("_lo"), "_prefix"
+    ).groupBy(scope, "_family", "_len", "_hi", "_lo").agg(F.min("_prefix").alias("_prefix"))
+    # an address is read once, and most are of the plain kind
+    seen = addresses.withColumn("_four", ip_to_long(F.col(address))).withColumn(
+        "_ip", F.when(F.col("_four").isNotNull(), F.struct(F.lit(4).alias("family"), F.lit(0).cast("bigint").alias("hi"), F.col("_four").alias("lo")))
+        .otherwise(F.transform(F.array(ip_parts(F.col(address))), lambda p: F.struct(p["family"].alias("family"), p["hi"].alias("hi"), p["lo"].alias("lo")))[0])
+    ).where(F.col("_ip.family").isNotNull()).drop("_four")
+    seen = cut(seen, "addresses")
+    lengths = approved.groupBy(scope, "_family").agg(F.collect_set("_len").alias("_lens"))
+    distinct = seen.select(scope, "_ip", F.col("_ip.family").alias("_family")).distinct()
+    candidates = distinct.join(lengths, [scope, "_family"]).select(scope, "_family", "_ip", F.explode("_lens").alias("_len"))
+    net = network_parts(F.col("_ip.hi"), F.col("_ip.lo"), F.col("_len"))
+    candidates = candidates.withColumns({"_hi": net[0], "_lo": net[1]})
+    return seen, candidates.join(approved, [scope, "_family", "_len", "_hi", "_lo"]).select(scope, "_ip", "_len", "_prefix")
+
+
+def cidr_containment(addresses: DataFrame, prefixes: DataFrame, *, address: str, scope: str, prefix: str = "prefix") -> DataFrame:
+    """Addresses, IPv4 or IPv6, outside every approved ``prefix`` of their own scope and family.
+
+    NULL addresses are left to :func:`without_any`, those that cannot be read to :func:`unreadable_addresses`;
+    prefixes that cannot be read approve nothing.
+    """
+    seen, inside = _prefix_matches(addresses, prefixes, address, prefix, scope)
+    return seen.join(inside.select(scope, "_ip").distinct(), [scope, "_ip"], "left_anti").drop("_ip")
+
+
+def longest_prefix(addresses: DataFrame, prefixes: DataFrame, *, address: str, scope: str, prefix: str = "prefix") -> DataFrame:
+    """Readable addresses with ``best_prefix``, the most specific prefix of their scope that holds them, or NULL."""
+    seen, inside = _prefix_matches(addresses, prefixes, address, prefix, scope)
+    best = inside.groupBy(scope, "_ip").agg(F.max_by("_prefix", "_len").alias("best_prefix"))
+    return seen.join(best, [scope, "_ip"], "left").drop("_ip")
 
 
 def unreadable_addresses(addresses: DataFrame, *, address: str) -> DataFrame:
-    """Addresses that are given but no IPv4 address, which containment cannot judge."""
-    return addresses.where(F.col(address).isNotNull() & ip_to_long(F.col(address)).isNull())
+    """Addresses that are given but neither IPv4 nor IPv6, which containment cannot judge."""
+    return addresses.where(F.col(address).isNotNull() & ip_parts(F.col(address)).isNull())
 
 
 def without_any(objects: DataFrame, details: DataFrame, keys: Sequence[str]) -> DataFrame:

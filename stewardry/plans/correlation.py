@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stewardry.functions.network import cidr_first, prefix_length
 from stewardry.operators import aggregates as agg
 from stewardry.operators import graph, joins
 from stewardry.operators import reconcile as rec
@@ -145,13 +144,55 @@ def addresses(t: Tables):
     headline=True,
 )
 def cidr_containment(t: Tables):
-    prefixes = t.nation.selectExpr(
-        "n_nationkey AS site", "'10.' || n_nationkey || '.0.0/' || (16 + n_nationkey % 5) AS prefix"
-    ).select("site", cidr_first(F.col("prefix")).alias("network"), prefix_length(F.col("prefix")).alias("prefix_len"))
+    prefixes = t.nation.selectExpr("n_nationkey AS site", "'10.' || n_nationkey || '.0.0/' || (16 + n_nationkey % 5) AS prefix")
     rogue = joins.cidr_containment(addresses(t), prefixes, address="address", scope="site")
     return rogue.select("o_orderkey", "address")
 
 
+# Orders of even customers have an address of the other family; prefixes nest.
+BOTH_FAMILIES = """CASE WHEN o_custkey % 2 = 0 THEN '2001:DB8:' || {hex_site} || ':' || {hex_third} || '::' || {hex_host}
+  ELSE '10.' || c_nationkey || '.' || (o_orderkey % 256) || '.' || (o_custkey % 256) END"""
+
+
+def mixed_addresses(t: Tables):
+    made = BOTH_FAMILIES.format(hex_site="lower(hex(c_nationkey))", hex_third="hex(o_orderkey % 256)", hex_host="hex(o_custkey % 65536)")
+    placed = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return placed.selectExpr("o_orderkey", "c_nationkey AS site", f"{made} AS address")
+
+
+def mixed_prefixes(t: Tables):
+    return t.nation.selectExpr(
+        "n_nationkey AS site",
+        "explode(array('10.' || n_nationkey || '.0.0/' || (16 + n_nationkey % 5), '10.' || n_nationkey || '.0.0/20',"
+        " '2001:db8:' || hex(n_nationkey) || '::/' || (56 + n_nationkey % 5), '2001:0db8:' || hex(n_nationkey) || ':0:0:0:0.0.0.0/60')) AS prefix",
+    )
+
+
+MIXED = f"""SELECT o_orderkey, c_nationkey AS site, o_custkey % 2 AS family, o_orderkey % 256 AS third, c_nationkey % 5 AS wide,
+    {BOTH_FAMILIES.format(hex_site="format('{:x}', c_nationkey)", hex_third="format('{:X}', o_orderkey % 256)", hex_host="format('{:X}', o_custkey % 65536)")} AS address
+  FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+@query(
+    "C8_mixed_families",
+    f"""SELECT o_orderkey, address FROM ({MIXED}) WHERE third >= CAST(power(2, 8 - wide) AS BIGINT) AND third >= 16""",
+)
+def mixed_containment(t: Tables):
+    rogue = joins.cidr_containment(mixed_addresses(t), mixed_prefixes(t), address="address", scope="site")
+    return rogue.select("o_orderkey", "address")
+
+
+@query(
+    "C8_longest_prefix",
+    f"""SELECT o_orderkey, CASE WHEN third < 16 AND family = 0 THEN '2001:0db8:' || format('{{:X}}', site) || ':0:0:0:0.0.0.0/60'
+          WHEN third < 16 THEN '10.' || site || '.0.0/20' WHEN third >= CAST(power(2, 8 - wide) AS BIGINT) THEN NULL
+          WHEN family = 0 THEN '2001:db8:' || format('{{:X}}', site) || '::/' || (56 + wide) ELSE '10.' || site || '.0.0/' || (16 + wide) END AS best_prefix
+        FROM ({MIXED})""",
+)
+def longest_prefix(t: Tables):
+    return joins.longest_prefix(mixed_addresses(t), mixed_prefixes(t), address="address", scope="site").select("o_orderkey", "best_prefix")
+
+
 @query(
     "C8_without_address",
     f"""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM
@@ -732,6 +773,28 @@ def dependency_levels(t: Tables):
     return out.withColumn("level", F.col("level").cast("bigint"))
 
 
+# Twelve nations refer to each other in rings of three, the customers of the first ring stand behind it.
+@query(
+    "I3_dependency_cycles",
+    """SELECT 'nation:' || n_nationkey AS node, 'cycle' AS status, 'nation:' || (n_nationkey // 3 * 3) AS cycle FROM nation WHERE n_nationkey < 9
+       UNION ALL SELECT 'region:' || r_regionkey, 'cycle', 'region:' || r_regionkey FROM region WHERE r_regionkey = 4
+       UNION ALL SELECT 'customer:' || c_custkey, 'behind', NULL FROM customer WHERE c_nationkey < 9""",
+)
+def dependency_cycles(t: Tables):
+    nodes = (
+        t.nation.selectExpr("'nation:' || n_nationkey AS node").unionByName(t.region.selectExpr("'region:' || r_regionkey AS node"))
+        .unionByName(t.customer.selectExpr("'customer:' || c_custkey AS node"))
+    )
+    refs = (
+        t.nation.where("n_nationkey < 9").selectExpr(
+            "'nation:' || n_nationkey AS src", "'nation:' || (n_nationkey div 3 * 3 + (n_nationkey + 1) % 3) AS dst"
+        )
+        .unionByName(t.customer.selectExpr("'customer:' || c_custkey AS src", "'nation:' || c_nationkey AS dst"))
+        .unionByName(t.region.where("r_regionkey = 4").selectExpr("'region:4' AS src", "'region:4' AS dst"))
+    )
+    return graph.dependency_cycles(nodes, refs)
+
+
 @query(
     "D17_kind_coverage",
     """WITH f AS (SELECT source AS kind, lang AS file FROM documents WHERE lang IN ('en', 'fr')),

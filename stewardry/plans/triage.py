@@ -453,7 +453,7 @@ SCORES = f"""WITH d AS (SELECT * FROM ({TOKENS.format(key='doc_id', table='docum
 
 def best_items(t: Tables, k: int, min_score: int = 1):
     return corpus.top_known_issues(
-        t.documents.select("doc_id", "text"), t.benchmark.select("item_id", "text"), k,
+        t.spread("documents", "doc_id", "text"), t.benchmark.select("item_id", "text"), k,
         subject="doc_id", subject_text="text", issue="item_id", issue_text="text", min_score=min_score,
     )
 

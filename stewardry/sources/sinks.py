@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,16 +91,47 @@ def envelope_problems(documents: DataFrame, document: str, keep: Sequence[str])
     return documents.select(*keep, F.explode(F.array_compact(F.array(*lacking, wrong))).alias("problem"))
 
 
-def provenance(spark: SparkSession, paths: Sequence[str], *, format: str = "csv", header: bool = True) -> DataFrame:
-    """Per source file its full SHA-256, size and row count.
+def file_digests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``_path``, ``sha256`` and ``bytes`` of files of any size.
 
-    Hashing needs the whole file in one task, as any SHA-256 does; rows are counted by splits.
+    Splits of a file are read by many tasks, as runs of bytes between line feeds; one task then takes them in order, a
+    batch at a time, as any SHA-256 must. The length tells whether the last line feed is one of the file's.
     """
-    files = spark.read.format("binaryFile").load(list(paths)).select(
-        F.col("path").alias("_path"),
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("bytes"),
+    rows = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("value"),
     )
+    ordered = rows.repartition("_path").sortWithinPartitions("_path", "_start", "_id")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, size, seen, state = None, 0, 0, hashlib.sha256()
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"_path": [path], "sha256": [state.hexdigest()], "bytes": pa.array([size], pa.int64())})
+
+        for batch in batches:
+            for name, length, value in zip(batch["_path"].to_pylist(), batch["_size"].to_pylist(), batch["value"], strict=True):
+                if name != path:
+                    if path is not None:
+                        yield row()
+                    path, size, seen, state = name, length, 0, hashlib.sha256()
+                state.update(value.as_buffer())
+                seen += len(value.as_buffer())
+                if seen < size:
+                    state.update(b"\n")
+                    seen += 1
+        if path is not None:
+            yield row()
+
+    found = ordered.mapInArrow(digest, "_path string, sha256 string, bytes long")
+    listed = spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("_path"), F.col("length").alias("_length"))
+    # an empty file has no line
+    empty = listed.where("_length = 0").select("_path", F.sha2(F.lit(b""), 256).alias("sha256"), F.col("_length").alias("bytes"))
+    return found.unionByName(empty)
+
+
+def provenance(spark: SparkSession, paths: Sequence[str], *, format: str = "csv", header: bool = True) -> DataFrame:
+    """Per source file its full SHA-256, size and row count; see :func:`file_digests`. Rows are counted by splits."""
     reader = spark.read.option("header", header) if format == "csv" else spark.read
     counts = (
         reader.format(format)
@@ -108,7 +141,7 @@ def provenance(spark: SparkSession, paths: Sequence[str], *, format: str = "csv"
     )
     clean = lambda df: df.withColumn("_path", F.regexp_replace("_path", "^file:/+", "/"))
     return (
-        clean(files)
+        clean(file_digests(spark, paths))
         .join(clean(counts), "_path", "left")
         .select(
             F.regexp_extract("_path", r"([^/]+)\z", 1).alias("file"),

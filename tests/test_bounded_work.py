@@ -3,7 +3,7 @@
 import datetime
 import random
 import time
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,11 +65,14 @@ def test_huge_pools_are_never_listed(spark):
 
 def test_blocks_of_an_interval(spark):
     spans = [(a, b) for a in range(-9, 10) for b in range(a + 1, a + 20)] + [(-(10**12), 10**12 + 7), (3, 3 + 2**40)]
-    df = spark.createDataFrame(spans, "a long, b long")
-    for r in df.withColumn("blocks", joins._power_blocks(F.col("a"), F.col("b"))).collect():
-        runs = sorted((x["block"] << x["size"], (x["block"] + 1) << x["size"]) for x in r.blocks)
-        assert runs[0][0] == r.a and runs[-1][1] == r.b and all(x[1] == y[0] for x, y in zip(runs, runs[1:], strict=False))
-        assert len(runs) <= 2 * (r.b - r.a).bit_length()
+    found = defaultdict(list)
+    for r in joins._power_blocks(spark.createDataFrame(spans, "a long, b long"), F.col("a"), F.col("b")).collect():
+        found[r.a, r.b].append((r["block"] << r["size"], (r["block"] + 1) << r["size"]))
+    assert sorted(found) == sorted(spans)
+    for (a, b), runs in found.items():
+        runs.sort()
+        assert runs[0][0] == a and runs[-1][1] == b and all(x[1] == y[0] for x, y in zip(runs, runs[1:], strict=False))
+        assert len(runs) <= 2 * (b - a).bit_length()
 
 
 # --- best known issues --------------------------------------------------------------------------------
