@@ -158,14 +158,14 @@ def test_toxic_words_are_learned(spark, odd, no_docs):
 ITEMS = [(1, invented(70, 30)), (2, invented(71, 14)), (3, None), (4, "too short"), (5, invented(72, 50)), (6, invented(70, 30))]
 
 
-def plain_matches(data):
+def plain_matches(data, items=None):
     def grams(words):
         return [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
 
     out = {}
     for i, text in data:
         words = (text or "").lower().split()
-        for item, item_text in ITEMS:
+        for item, item_text in items or ITEMS:
             own = (item_text or "").lower().split()
             if len(own) < 5:
                 continue
@@ -202,21 +202,67 @@ def test_matches_of_planted_items(spark, odd, no_docs, block, monkeypatch):
 
 
 @pytest.mark.parametrize("run", [4096, 3])
-def test_fingerprints_are_those_of_each_window_and_their_arrays_stay_small(run, monkeypatch):
+def test_blocks_are_simhashes_of_each_windows_groups(run, monkeypatch):
     monkeypatch.setattr(decontam, "RUN", run)
-    sizes, signs = [], decontam.signs
-    monkeypatch.setattr(decontam, "signs", lambda v: (sizes.append(len(v)), signs(v))[1])
     values = np.random.default_rng(1).integers(0, 1 << 63, 60_000).astype(np.uint64)
     first = np.array([*range(0, 90), 97, *range(400, 420), *range(30_000, 39_000), 59_950])
-    got = list(decontam.fingerprints(values, first, 50))
-    assert max(sizes) <= max(run, 50) + 50 and [p for p, _ in got] == first.tolist()
-    for p, bits in got:
-        assert (bits == (signs(values[p : p + 50]).sum(axis=0) > 0)).all()
+    parts = list(decontam.runs(first, 50))
+    assert np.concatenate(parts).tolist() == first.tolist() and all(p[-1] - p[0] <= max(run, 50) for p in parts)
+    for part in (parts[0], parts[-1]):
+        keys = collections.defaultdict(set)
+        for some, key in decontam.block_keys(values[part[0] : part[-1] + 50], part - part[0], 50, 54, 17):
+            for k, x in zip(some.tolist(), key.tolist(), strict=True):
+                keys[int(part[k])].add(x)
+        for p in part.tolist():  # a window by itself has the same blocks
+            alone = {x for _, key in decontam.block_keys(values[p : p + 50], np.zeros(1, dtype=np.int64), 50, 54, 17) for x in key.tolist()}
+            assert keys[p] == alone and 0 < len(alone) <= 17
+
+
+def test_all_within_the_radius_share_a_block_and_others_none():
+    rng = np.random.default_rng(5)
+    for n in (1, 4, 9, 30, 60, 200):
+        texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, n + 4)) for _ in range(40)]
+        index = decontam.Index(list(enumerate(texts)))
+        assert not len(index.few[n + 4])
+        for k in range(40):
+            own = index.shingles[index.offsets[k] : index.offsets[k + 1]].copy()
+            rng.shuffle(own)
+            lost = decontam.radius(n) // 2  # as many go as come
+            own[:lost] = rng.integers(0, 1 << 63, lost).astype(np.uint64)
+            keys = np.concatenate([key for _, key in decontam.block_keys(own, np.zeros(1, dtype=np.int64), n, n + 4, index.n_blocks[n + 4])])
+            met = index.by_block.find(keys)[1].tolist()
+            assert set(met) == {k} and len(met) >= index.needed[k] >= 1
+
+
+def test_candidates_of_a_common_phrase_are_few():
+    """All items share a phrase with all texts; only the window that is an item has a candidate."""
+    phrase = "this is a phrase that all of them share with each other"
+    items = [(k, f"{invented(1000 + k, 12)} {phrase} {invented(2000 + k, 12)}") for k in range(300)]
+    index = decontam.Index(items)
+    windows = met = 0
+    for k in range(50):
+        words, _ = decontam.hash_texts([f"{invented(5000 + k, 40)} {phrase} {invented(6000 + k, 40)}".encode()])
+        values = decontam.shingles(words)
+        at = index.shared(values)
+        windows += sum(len(first) for _, first in index.windows(values, len(words), at))
+        met += sum(len(found) for *_, found in index.candidates(values, len(words), at))
+        assert index.search(values, len(words), at) == {}
+    assert windows >= 500 and met <= windows / 10  # of 300 items that each window could meet
+    [found] = decontam._matches(index, [items[7][1]])
+    assert list(found) == [7]
+
+
+def test_items_of_few_shingles_are_found(spark):
+    items = [(1, "ab " * 60), (2, "x y " * 40), (3, "la la la la la")]
+    data = [(1, "start " + "ab " * 57), (2, "y x " * 39 + "z"), (3, "la " * 5), (4, "la " * 9), (5, "ab " * 300)]
+    got = decontam.matches(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    monkey = {(r.doc_id, r.item_id): r.similarity for r in got.collect()}
+    assert monkey == pytest.approx(plain_matches(data, items))
 
 
 def test_a_long_text_with_an_item_near_each_end_is_searched_in_stretches(monkeypatch):
     sizes, signs = [], decontam.signs
-    index = decontam.Index.of([(1, ITEMS[0][1])])
+    index = decontam.Index([(1, ITEMS[0][1])])
     monkeypatch.setattr(decontam, "signs", lambda v: (sizes.append(len(v)), signs(v))[1])
     filling = invented(80, 30_000)
     [found] = decontam._matches(index, [f"{ITEMS[0][1]} {filling} {ITEMS[0][1]}"])
