@@ -29,8 +29,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Words that mark a host of the list: advertising, gambling, adult, pills, spam.
-LISTED_WORDS = r"(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)"
+#: What lists a page: a title that runs of symbols break up. Its key is host and path, which say nothing of the title.
+BAD_TITLE = r"<title>[^<]*[%*#$]{3}"
+#: Of the cascade: small filters, that the levels alternate over several rounds.
+BITS_PER_KEY = 3
 URL_RULES = [
     url_filter.Rule("net", "/", "block"),
     url_filter.Rule("example.net", "/en/", "allow"),
@@ -47,6 +49,8 @@ URL_RULES = [
             translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
             coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
         FROM pages
+    ), listed AS (
+        SELECT DISTINCT host || path AS key FROM parts JOIN pages USING (page_id) WHERE regexp_matches(html, '<title>[^<]*[%*#$]{3}') AND host || path <> ''
     ), ruled AS (
         SELECT *, CASE
             WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
@@ -57,16 +61,17 @@ URL_RULES = [
     )
     SELECT page_id, host, path, rule, CASE
         WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
-        WHEN rule IS NOT NULL OR regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)') THEN 'block'
+        WHEN rule IS NOT NULL OR host || path IN (SELECT key FROM listed) THEN 'block'
         ELSE 'allow' END AS verdict
     FROM ruled
     """,
 )
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages").select("page_id", "url")
-    hosts = pages.select(url_filter.host_of(F.col("url")).alias("key"))
-    listed = hosts.where(F.col("key").rlike(LISTED_WORDS)).distinct()
-    return url_filter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, folder, "pages")
+    key = F.concat(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))
+    listed = pages.where(F.col("html").rlike(BAD_TITLE)).select(key.alias("key")).distinct()
+    judged = url_filter.judge(pages.select("page_id", "url"), URL_RULES, listed, whole=True, bits_per_key=BITS_PER_KEY)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 @query("op2_secrets")

@@ -14,6 +14,7 @@ from __future__ import annotations
 import string
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,18 +58,19 @@ def first_rule(rules: list[Rule], host: Column, path: Column, value) -> Column:
 @dataclass(frozen=True)
 class Level:
     bits: int
-    words: str  # the filter's 64-bit words, comma-joined
+    words: str  # the filter's 64-bit words, 16 hexadecimal digits each
     seed: int
     hashes: int
 
     def holds(self, key: Column) -> Column:
-        # a constant of the plan: Spark folds it into one array before it runs
-        words = F.split(F.lit(self.words), ",").cast("array<bigint>")
-        test = F.lit(True)
-        for at in _places(key, self.bits, self.seed, self.hashes):
-            word = F.get(words, F.floor(at / 64).cast("int"))
-            test = test & (F.getbit(word, F.pmod(at, F.lit(64)).cast("int")) == 1)
-        return test
+        # the filter is one binary constant of the plan, whatever the number of hashes
+        filter_ = F.unhex(F.lit(self.words))
+
+        def is_set(at: Column) -> Column:
+            byte = F.conv(F.hex(F.substring(filter_, (F.floor(at / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+            return F.getbit(byte, F.lit(7) - F.pmod(at, F.lit(8)).cast("int")) == 1
+
+        return F.forall(F.array(*_places(key, self.bits, self.seed, self.hashes)), is_set)
 
 
 def _places(key: Column, bits: int, seed: int, hashes: int) -> list[Column]:
@@ -116,15 +118,15 @@ def build(universe: DataFrame, listed: DataFrame, bits_per_key: int = 10, most_b
             raise TooManyKeys(f"{n} keys need {bits} bits; the bound is {most_bits}")
         seed = len(levels)
         at = inside.select(F.explode(F.array(*_places(F.col("key"), bits, seed, hashes))).alias("at"))
+        # bits of a word from the left, as its hexadecimal digits have them
         rows = (
             at.groupBy((F.floor(F.col("at") / 64)).alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 64) as int))")).alias("bits"))
-            .collect()
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(63 - pmod(at, 64) as int))")).alias("bits"))
+            .toArrow()
         )
-        words = [0] * (bits // 64)
-        for row in rows:
-            words[row["word"]] = row["bits"]
-        levels.append(Level(bits, ",".join(map(str, words)), seed, hashes))
+        words = np.zeros(bits // 64, dtype=">i8")
+        words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+        levels.append(Level(bits, words.tobytes().hex(), seed, hashes))
         inside, outside = outside.where(levels[-1].holds(F.col("key"))), inside
         n = inside.count()
     return Cascade(tuple(levels))
@@ -143,10 +145,14 @@ def is_listed(df: DataFrame, key: str, listed: DataFrame, name: str, **options)
     return df.withColumn(name, F.coalesce(cascade.lists(F.col(key)) & (F.length(key) > 0), F.lit(False)))
 
 
-def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "url", **options) -> DataFrame:
-    """Add host, path, rule and verdict: the longest fitting rule's verdict, else block for a listed host."""
+def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "url", whole: bool = False, **options) -> DataFrame:
+    """Add host, path, rule and verdict: the longest fitting rule's verdict, else block for a listed key.
+
+    A key is the host, or with ``whole`` host and path.
+    """
     out = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    out = is_listed(out, "host", listed, "listed", **options)
+    out = out.withColumn("_key", F.concat("host", "path") if whole else F.col("host"))
+    out = is_listed(out, "_key", listed, "listed", **options).drop("_key")
     by_rule = first_rule(rules, F.col("host"), F.col("path"), lambda r: r.verdict)
     return out.withColumns({
         "rule": first_rule(rules, F.col("host"), F.col("path"), str),

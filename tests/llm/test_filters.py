@@ -46,6 +46,22 @@ def test_url_verdicts(spark):
     assert url_filter.judge(pages.limit(0), RULES, listed).count() == 0
 
 
+def test_the_query_has_a_cascade_of_levels(spark, monkeypatch):
+    from stewardry.llm import queries
+
+    made, build = [], url_filter.build
+    monkeypatch.setattr(url_filter, "build", lambda *a, **k: made.append(build(*a, **k)) or made[-1])
+    found = queries.op1(spark, "/root/testdata/sf0.1")
+    assert len(made[0].levels) >= 3 and found.where("verdict = 'block' AND rule IS NULL").count() > 0
+
+
+def test_whole_urls_as_keys(spark):
+    pages = spark.createDataFrame([(i, u) for i, u in URLS], "page_id long, url string")
+    listed = spark.createDataFrame([("x.org/fr/",), ("spam.example.org",), ("É.net/É",)], "key string")
+    got = {(r.page_id, r.verdict) for r in url_filter.judge(pages, [], listed, whole=True).collect()}
+    assert {i for i, v in got if v == "block"} == {7, 10, 12}
+
+
 @pytest.mark.parametrize("bits", [3, 10])
 def test_cascade_is_exact_for_its_universe(spark, bits):
     universe = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"))
