@@ -188,6 +188,14 @@ def computed(template: str, columns: Mapping[str, str] | None = None) -> Column:
     return F.concat(*parts)
 
 
+def computed_issues(df: DataFrame, template: str, keep: Sequence[str], columns: Mapping[str, str] | None = None) -> DataFrame:
+    """A row ``keep.., token, code`` for each token without default that is NULL, for which :func:`computed` gives no name."""
+    names = {m.group(1): (columns or {}).get(m.group(1), m.group(1)) for m in _TOKEN.finditer(template) if m.group(2) is None}
+    lacking = [F.when(F.col(column).isNull(), F.lit(token)) for token, column in names.items()]
+    tokens = F.array_compact(F.array(*lacking)) if lacking else F.array().cast("array<string>")
+    return df.select(*keep, F.explode(tokens).alias("token")).withColumn("code", F.lit("mandatory_input_missing"))
+
+
 def batch_names(df: DataFrame, prefix: str, role: str, quantity: str, *, out: str = "name") -> DataFrame:
     """``quantity`` rows per input row, named ``{prefix}-{role}-{i:02d}`` from 1."""
     rows = df.where(F.col(quantity) > 0).withColumn("index", F.explode(F.sequence(F.lit(1), F.col(quantity).cast("int"))))
@@ -326,7 +334,9 @@ VOLATILE: tuple[tuple[str, str], ...] = (
     (IPV4, "<ip>"),
     (r"(?:/[\w.-]+){2,}", "<path>"),
     (r"\b[a-z0-9]+(?:-[a-z0-9]+)*-[0-9a-f]{8}\b", "<branch>"),
-    (r"\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b", "<host>"),
+    # a dotted name is a host where a port follows or its last label says so; modules and files stay
+    (r"\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:\d+\b", "<host>:<n>"),
+    (r"\b(?:[A-Za-z0-9-]+\.)+(?:com|net|org|edu|gov|io|dev|cloud|local|internal|intra|lan|corp|home|example|test|localdomain)\b", "<host>"),
     (r"\d+", "<n>"),
 )
 

@@ -321,22 +321,50 @@ def slow_queries(
     )
 
 
+# From how many on a counter of a session is worth a look.
+COUNTER_THRESHOLDS = {
+    "repeated_errors": 2,
+    "edits_of_one": 3,
+    "restated": 1,
+    "fetches_after_read": 1,
+    "reads_before_edit": 4,
+}
+
+
 def session_counters(
-    events: DataFrame, keys: Sequence[str], *, error: Column, edit: Column, read: Column, ts: str
+    events: DataFrame, keys: Sequence[str], *, ts: str, error: Column, edit: Column, read: Column, ask: Column, fetch: Column,
+    tool: str, target: str, request: str,
 ) -> DataFrame:
-    """Counters of a session; reads count only before its first edit. Counters are hints, no proof.
+    """Five counters of a session, and ``hints``, the names of those that reach their threshold. Hints are no proof.
 
-    The first edit is a partial aggregate joined back on the session key.
+    The most errors of one tool on one target, the most edits of one target, asks that repeat an earlier one (but for case
+    and white space), fetches after the first read, and reads before the first edit. An event is counted in the groups it
+    belongs to by one aggregate; the first read and edit are one row per session.
     """
     keys = list(keys)
-    first_edit = events.where(edit).groupBy(*keys).agg(F.min(ts).alias("_first_edit"))
-    rows = events.join(first_edit, keys, "left")
-    early = read & (F.col("_first_edit").isNull() | (F.col(ts) < F.col("_first_edit")))
-    return rows.groupBy(*keys).agg(
-        F.count_if(error).alias("n_errors"),
-        F.count_if(edit).alias("n_edits"),
-        F.count_if(early).alias("n_reads_before_edit"),
+    facet = lambda name, value: F.struct(F.lit(name).alias("facet"), value.alias("value"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    facets = F.array_compact(F.array(
+        F.when(error, facet("error", F.concat_ws("\u0001", text(tool), text(target)))),
+        F.when(edit, facet("edit", text(target))),
+        F.when(ask, facet("ask", F.trim(F.lower(F.regexp_replace(text(request), r"\s+", " "))))),
+    ))
+    groups = events.select(*keys, F.explode(facets).alias("_f")).groupBy(*keys, "_f.facet", "_f.value").agg(F.count("*").alias("_n"))
+    most = lambda name: F.max(F.when(F.col("facet") == name, F.col("_n")))
+    counted = groups.groupBy(*keys).agg(
+        most("error").alias("repeated_errors"), most("edit").alias("edits_of_one"),
+        F.sum(F.when(F.col("facet") == "ask", F.col("_n") - 1)).alias("restated"),
     )
+    firsts = events.groupBy(*keys).agg(F.min(F.when(edit, F.col(ts))).alias("_edit"), F.min(F.when(read, F.col(ts))).alias("_read"))
+    placed = events.join(firsts, keys)
+    early = read & (F.col("_edit").isNull() | (F.col(ts) < F.col("_edit")))
+    rows = placed.groupBy(*keys).agg(
+        F.count_if(fetch & (F.col(ts) > F.col("_read"))).alias("fetches_after_read"), F.count_if(early).alias("reads_before_edit")
+    ).join(counted, keys, "left")
+    zero = lambda name: F.coalesce(name, F.lit(0)).cast("bigint")
+    rows = rows.select(*keys, *[zero(name).alias(name) for name in COUNTER_THRESHOLDS])
+    reached = [F.when(F.col(name) >= least, F.lit(name)) for name, least in COUNTER_THRESHOLDS.items()]
+    return rows.withColumn("hints", F.array_compact(F.array(*reached)))
 
 
 def fixed_profile(profiles: DataFrame, kind: str, attribute: str, value: str, profile: str) -> DataFrame:

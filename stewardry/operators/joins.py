@@ -285,6 +285,19 @@ def window_impact(
     )
 
 
+def impact_rows(
+    windows: DataFrame, scope: DataFrame, dependents: DataFrame, *, window_id: str, asset: str, dependent: str, customer: str,
+    at: Column | None = None,
+) -> DataFrame:
+    """The lists behind :func:`window_impact`: each asset of an active window with each of its dependents and their customer.
+
+    An asset without dependents is one row with NULLs. A list is rows, so that no asset's is gathered in one.
+    """
+    active = windows if at is None else windows.where((F.col("start") <= at) & (at < F.col("end")))
+    assets = active.select(window_id).join(scope.select(window_id, asset).distinct(), window_id)
+    return assets.join(dependents.select(asset, dependent, customer).distinct(), asset, "left").select(window_id, asset, dependent, customer)
+
+
 def dropdown_lookup(df: DataFrame, column: str, choices: DataFrame) -> DataFrame:
     """Distinct cell values with the choice they stand for: exact name, exact label, then any case.
 
@@ -399,6 +412,28 @@ def resolve_profiles(
     return joined.select(*untouched, *resolved)
 
 
+def resolve_profile_peers(
+    own: DataFrame, assignments: DataFrame, profiles: DataFrame, peers: DataFrame, *, object_id: str
+) -> DataFrame:
+    """Peers of each object's relationships: ``relation, peer, from_profile, source``, own ones or a profile's.
+
+    ``own`` has the object id, ``relation`` and ``peer``, ``peers`` the same of profiles by ``profile_id``. An object
+    that sets any peer of a relationship overrides it as a whole; else the whole relationship comes from the one profile
+    with the lowest priority number that sets it, ties to the lowest id. Lists of several profiles are never mixed.
+    """
+    rank = F.struct("priority", "profile_id")
+    offered = peers.select("profile_id", "relation").distinct().join(profiles.select("profile_id", "priority"), "profile_id")
+    winners = assignments.join(offered, "profile_id").groupBy(object_id, "relation").agg(F.min_by("profile_id", rank).alias("profile_id"))
+    winners = winners.join(own.select(object_id, "relation").distinct(), [object_id, "relation"], "left_anti")
+    inherited = winners.join(peers.distinct(), ["profile_id", "relation"]).select(
+        object_id, "relation", "peer", F.lit(True).alias("from_profile"), F.col("profile_id").alias("source")
+    )
+    explicit = own.select(object_id, "relation", "peer").distinct().select(
+        "*", F.lit(False).alias("from_profile"), F.lit(None).cast(inherited.schema["source"].dataType).alias("source")
+    )
+    return explicit.unionByName(inherited)
+
+
 def instantiate_template(
     objects: DataFrame,
     templates: DataFrame,

@@ -203,6 +203,28 @@ def without_address(t: Tables):
     return joins.without_any(t.customer.select("c_custkey"), held, ["c_custkey"])
 
 
+def impact_inputs(t: Tables) -> dict:
+    windows = t.nation.selectExpr(
+        "n_nationkey AS window_id",
+        "add_months(DATE '1996-01-01', n_nationkey)::timestamp AS start",
+        "add_months(DATE '1996-01-01', n_nationkey + 14)::timestamp AS end",
+    )
+    orders = t.orders.select("o_orderkey", "o_custkey")
+    riding = t.lineitem.select("l_suppkey", "l_orderkey").join(
+        orders, F.col("l_orderkey") == F.col("o_orderkey")
+    )
+    return {
+        "windows": windows,
+        "scope": t.supplier.selectExpr("s_nationkey AS window_id", "s_suppkey"),
+        "dependents": riding.selectExpr("l_suppkey AS s_suppkey", "l_orderkey", "o_custkey"),
+        "window_id": "window_id",
+        "asset": "s_suppkey",
+        "dependent": "l_orderkey",
+        "customer": "o_custkey",
+        "at": F.lit("1997-06-15").cast("timestamp"),
+    }
+
+
 @query(
     "C9_window_impact",
     """WITH w AS (SELECT n_nationkey AS window_id, TIMESTAMP '1996-01-01' + INTERVAL (n_nationkey) MONTH AS "start",
@@ -214,26 +236,17 @@ def without_address(t: Tables):
        WHERE "start" <= TIMESTAMP '1997-06-15' AND TIMESTAMP '1997-06-15' < "end" GROUP BY 1""",
 )
 def window_impact(t: Tables):
-    windows = t.nation.selectExpr(
-        "n_nationkey AS window_id",
-        "add_months(DATE '1996-01-01', n_nationkey)::timestamp AS start",
-        "add_months(DATE '1996-01-01', n_nationkey + 14)::timestamp AS end",
-    )
-    orders = t.orders.select("o_orderkey", "o_custkey")
-    riding = t.lineitem.select("l_suppkey", "l_orderkey").join(
-        orders, F.col("l_orderkey") == F.col("o_orderkey")
-    )
-    out = joins.window_impact(
-        windows,
-        t.supplier.selectExpr("s_nationkey AS window_id", "s_suppkey"),
-        riding.selectExpr("l_suppkey AS s_suppkey", "l_orderkey", "o_custkey"),
-        window_id="window_id",
-        asset="s_suppkey",
-        dependent="l_orderkey",
-        customer="o_custkey",
-        at=F.lit("1997-06-15").cast("timestamp"),
-    )
-    return out.withColumn("window_id", F.col("window_id").cast("bigint"))
+    return joins.window_impact(**impact_inputs(t)).withColumn("window_id", F.col("window_id").cast("bigint"))
+
+
+@query(
+    "C9_impact_rows",
+    """SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS window_id, s_suppkey, l_orderkey, o_custkey
+       FROM supplier LEFT JOIN (SELECT l_suppkey, l_orderkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) ON l_suppkey = s_suppkey
+       WHERE TIMESTAMP '1996-01-01' + INTERVAL (s_nationkey) MONTH <= TIMESTAMP '1997-06-15' AND TIMESTAMP '1997-06-15' < TIMESTAMP '1996-01-01' + INTERVAL (s_nationkey + 14) MONTH""",
+)
+def impact_rows(t: Tables):
+    return joins.impact_rows(**impact_inputs(t)).withColumn("window_id", F.col("window_id").cast("bigint"))
 
 
 # Choices come from the data: names are the bare words, labels their upper-case spelling.
@@ -339,6 +352,36 @@ ASSIGNED = """SELECT c_custkey, 'seg-' || c_mktsegment AS profile_id FROM custom
   UNION ALL SELECT c_custkey, 'nat-' || c_nationkey FROM customer WHERE c_custkey % 3 > 0"""
 
 
+@query(
+    "C14_profile_peers",
+    """WITH p AS (SELECT DISTINCT 'seg-' || c_mktsegment AS profile_id, length(c_mktsegment) AS priority FROM customer
+             UNION ALL SELECT 'nat-' || n_nationkey, 8 + n_nationkey % 3 FROM nation),
+         q AS (SELECT DISTINCT 'seg-' || c_mktsegment AS profile_id, 'site' AS relation, 'S' || unnest(range(0, length(c_mktsegment) % 3 + 1)) AS peer FROM customer
+             UNION ALL SELECT 'nat-' || n_nationkey, 'site', 'N' || n_regionkey FROM nation WHERE n_nationkey % 2 = 0
+             UNION ALL SELECT 'nat-' || n_nationkey, 'vlan', n_name FROM nation),
+         a AS (SELECT c_custkey, 'seg-' || c_mktsegment AS profile_id FROM customer UNION ALL SELECT c_custkey, 'nat-' || c_nationkey FROM customer),
+         o AS (SELECT DISTINCT o_custkey AS c_custkey, 'site' AS relation, 'own-' || o_orderpriority AS peer FROM orders WHERE o_orderkey % 5 = 0),
+         w AS (SELECT c_custkey, relation, profile_id FROM a JOIN (SELECT DISTINCT profile_id, relation FROM q) USING (profile_id) JOIN p USING (profile_id)
+             QUALIFY row_number() OVER (PARTITION BY c_custkey, relation ORDER BY priority, profile_id) = 1)
+       SELECT c_custkey, relation, peer, false AS from_profile, NULL AS source FROM o
+       UNION ALL SELECT DISTINCT w.c_custkey, w.relation, q.peer, true, w.profile_id FROM w JOIN q ON q.profile_id = w.profile_id AND q.relation = w.relation
+       WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.c_custkey = w.c_custkey AND o.relation = w.relation)""",
+)
+def profile_peers(t: Tables):
+    segments = t.customer.select("c_mktsegment").distinct()
+    profiles = segments.selectExpr("'seg-' || c_mktsegment AS profile_id", "length(c_mktsegment) AS priority").unionByName(
+        t.nation.selectExpr("'nat-' || n_nationkey AS profile_id", "int(8 + n_nationkey % 3) AS priority")
+    )
+    peers = (
+        segments.selectExpr("'seg-' || c_mktsegment AS profile_id", "'site' AS relation", "explode(transform(sequence(0, length(c_mktsegment) % 3), k -> 'S' || k)) AS peer")
+        .unionByName(t.nation.where("n_nationkey % 2 = 0").selectExpr("'nat-' || n_nationkey AS profile_id", "'site' AS relation", "'N' || n_regionkey AS peer"))
+        .unionByName(t.nation.selectExpr("'nat-' || n_nationkey AS profile_id", "'vlan' AS relation", "n_name AS peer"))
+    )
+    assigned = t.customer.selectExpr("c_custkey", "explode(array('seg-' || c_mktsegment, 'nat-' || c_nationkey)) AS profile_id")
+    own = t.orders.where("o_orderkey % 5 = 0").selectExpr("o_custkey AS c_custkey", "'site' AS relation", "'own-' || o_orderpriority AS peer")
+    return joins.resolve_profile_peers(own, assigned, profiles, peers, object_id="c_custkey")
+
+
 @query(
     "C14_resolve_profiles",
     f"""WITH p AS ({PROFILES}), a AS ({ASSIGNED}),

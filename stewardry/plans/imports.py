@@ -288,6 +288,27 @@ def write_artifacts(t: Tables):
     return back.groupBy("target").agg(F.count("*").alias("n_lines"), F.min("value").alias("first_line"))
 
 
+@query(
+    "A10_artifact_forms",
+    """SELECT n_name AS target, 'text/csv' AS content_type, c_name || ', "' || c_mktsegment || '"' AS name, CAST(c_custkey AS VARCHAR) AS "key" FROM customer JOIN nation ON c_nationkey = n_nationkey
+       UNION ALL SELECT n_name, 'application/xml', c_name || ', "' || c_mktsegment || '"', CAST(c_custkey AS VARCHAR) FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+)
+def artifact_forms(t: Tables):
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
+        "n_name AS target", "named_struct('name', c_name || ', \"' || c_mktsegment || '\"', 'key', c_custkey) AS content"
+    )
+    csv, xml = new_path(t.spark, "csv"), new_path(t.spark, "xml")
+    sinks.write_artifacts(rows, "target", F.col("content"), "text/csv", csv)
+    sinks.write_artifacts(rows, "target", F.col("content"), "application/xml", xml)
+    lines = t.spark.read.schema("name string, key string, target string").options(header=True, escape='"').csv(csv)
+    elements = t.spark.read.schema("value string, target string").text(xml).select(
+        "target", F.from_xml("value", "name string, key string").alias("c")
+    ).select("target", "c.*")
+    return lines.withColumn("content_type", F.lit("text/csv")).unionByName(elements.withColumn("content_type", F.lit("application/xml"))).select(
+        "target", "content_type", "name", "key"
+    )
+
+
 # --- user extensions ---------------------------------------------------------------------------------
 
 EXTENSIONS = Extensions()

@@ -212,6 +212,16 @@ def computed(t: Tables):
     )
 
 
+@query(
+    "H13_computed_issues",
+    """SELECT c_custkey, 'segment' AS token, 'mandatory_input_missing' AS code FROM customer WHERE c_mktsegment = 'BUILDING'
+       UNION ALL SELECT c_custkey, 'balance', 'mandatory_input_missing' FROM customer WHERE c_acctbal < 0""",
+)
+def computed_issues(t: Tables):
+    rows = t.customer.withColumns({"segment": F.expr("nullif(c_mktsegment, 'BUILDING')"), "bal": F.expr("CASE WHEN c_acctbal >= 0 THEN c_acctbal END")})
+    return text.computed_issues(rows, "{{ c_name }}/{{ segment__value }}/{{ balance }} {{ bal | default('0') }}", ["c_custkey"], {"balance": "bal"})
+
+
 @query(
     "H14_batch_names",
     """SELECT c_custkey, i AS "index", 'par' || c_nationkey || '-leaf-' || lpad(CAST(i AS VARCHAR), 2, '0') AS name, c_nationkey + 10000 AS vlan_id, '65000:' || c_nationkey AS rd

@@ -148,21 +148,27 @@ def slow_queries(t: Tables):
 
 @query(
     "D19_session_counters",
-    """WITH f AS (SELECT user_id, min(ts) AS first_edit FROM events WHERE event_type = 'purchase' GROUP BY 1)
-       SELECT e.user_id, count(*) FILTER (event_type = 'error') AS n_errors, count(*) FILTER (event_type = 'purchase') AS n_edits,
-         count(*) FILTER (event_type = 'view' AND (first_edit IS NULL OR ts < first_edit)) AS n_reads_before_edit
-       FROM events e LEFT JOIN f ON e.user_id = f.user_id GROUP BY 1""",
+    """WITH e AS (SELECT *, json_extract_string(props, '$.k') AS target FROM events),
+         f AS (SELECT user_id, min(ts) FILTER (event_type = 'purchase') AS first_edit, min(ts) FILTER (event_type = 'view') AS first_read FROM e GROUP BY 1),
+         n AS (SELECT user_id, event_type, target, count(*) AS n FROM e GROUP BY ALL),
+         m AS (SELECT user_id, max(n) FILTER (event_type = 'error') AS repeated_errors, max(n) FILTER (event_type = 'purchase') AS edits_of_one,
+           sum(n - 1) FILTER (event_type = 'click') AS restated FROM n GROUP BY 1),
+         c AS (SELECT e.user_id, count(*) FILTER (event_type = 'signup' AND ts > first_read) AS fetches_after_read,
+           count(*) FILTER (event_type = 'view' AND (first_edit IS NULL OR ts < first_edit)) AS reads_before_edit FROM e JOIN f ON e.user_id = f.user_id GROUP BY 1),
+         r AS (SELECT c.user_id, CAST(coalesce(repeated_errors, 0) AS BIGINT) AS repeated_errors, CAST(coalesce(edits_of_one, 0) AS BIGINT) AS edits_of_one,
+           CAST(coalesce(restated, 0) AS BIGINT) AS restated, fetches_after_read, reads_before_edit FROM c JOIN m ON m.user_id = c.user_id)
+       SELECT *, concat_ws(',', CASE WHEN repeated_errors >= 2 THEN 'repeated_errors' END, CASE WHEN edits_of_one >= 3 THEN 'edits_of_one' END,
+         CASE WHEN restated >= 1 THEN 'restated' END, CASE WHEN fetches_after_read >= 1 THEN 'fetches_after_read' END,
+         CASE WHEN reads_before_edit >= 4 THEN 'reads_before_edit' END) AS hints FROM r""",
 )
 def session_counters(t: Tables):
     kind = F.col("event_type")
-    return agg.session_counters(
-        t.events.select("user_id", "event_type", "ts"),
-        ["user_id"],
-        error=kind == "error",
-        edit=kind == "purchase",
-        read=kind == "view",
-        ts="ts",
+    events = t.events.select("user_id", "event_type", "ts", F.get_json_object("props", "$.k").alias("target"))
+    found = agg.session_counters(
+        events, ["user_id"], ts="ts", error=kind == "error", edit=kind == "purchase", read=kind == "view", ask=kind == "click",
+        fetch=kind == "signup", tool="event_type", target="target", request="target",
     )
+    return found.withColumn("hints", F.array_join("hints", ","))
 
 
 @query(

@@ -95,7 +95,8 @@ def file_digests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``_path``, ``sha256`` and ``bytes`` of files of any size.
 
     Splits of a file are read by many tasks, as runs of bytes between line feeds; one task then takes them in order, a
-    batch at a time, as any SHA-256 must. The length tells whether the last line feed is one of the file's.
+    batch at a time, as any SHA-256 must. The length tells whether the last line feed is one of the file's. Spark's readers
+    pass over empty files, which have no row.
     """
     rows = spark.read.option("lineSep", "\n").text(list(paths)).select(
         F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"),
@@ -123,11 +124,7 @@ def file_digests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         if path is not None:
             yield row()
 
-    found = ordered.mapInArrow(digest, "_path string, sha256 string, bytes long")
-    listed = spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("_path"), F.col("length").alias("_length"))
-    # an empty file has no line
-    empty = listed.where("_length = 0").select("_path", F.sha2(F.lit(b""), 256).alias("sha256"), F.col("_length").alias("bytes"))
-    return found.unionByName(empty)
+    return ordered.mapInArrow(digest, "_path string, sha256 string, bytes long")
 
 
 def provenance(spark: SparkSession, paths: Sequence[str], *, format: str = "csv", header: bool = True) -> DataFrame:
@@ -160,14 +157,38 @@ def write_manifest(manifest: DataFrame, path: str, *, branch: str) -> None:
     stamped.write.json(path)
 
 
-def write_artifacts(df: DataFrame, target: str, content: Column, content_type: str, path: str) -> None:
-    """One artifact folder per target; a struct is written as JSON, a string as it is.
+def artifact_text(df: DataFrame, content: Column, content_type: str) -> Column:
+    """The content as text of its type: a struct as JSON (which YAML contains), a CSV line or an XML element.
 
-    Rows are rebalanced by target, so a target is a few even files instead of one per task.
+    A string is taken as it is, and the other types, which structs have no one form of, take nothing else.
     """
     if content_type not in CONTENT_TYPES:
         raise ValueError(f"content type {content_type!r} is not one of {CONTENT_TYPES}")
     kind = df.select(content.alias("c")).schema["c"].dataType.typeName()
-    text = content if kind == "string" else F.to_json(content)
-    rows = df.select(text.alias("value"), F.col(target)).hint("rebalance", target)
+    if kind == "string":
+        return content
+    if content_type in ("application/json", "application/yaml"):
+        return F.to_json(content)
+    if kind == "struct" and content_type == "text/csv":
+        # quoted where a cell holds a comma, a quote or a line break; those two are doubled and kept
+        return F.to_csv(content, {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    if kind == "struct" and content_type == "application/xml":
+        return F.regexp_replace(F.to_xml(content, {"rowTag": "item"}), r"\s*\n\s*", "")
+    raise ValueError(f"{content_type} needs text, not a {kind}")
+
+
+def write_artifacts(df: DataFrame, target: str, content: Column, content_type: str, path: str) -> None:
+    """One artifact folder per target, in the form of its content type; see :func:`artifact_text`.
+
+    Rows are rebalanced by target, so a target is a few even files instead of one per task. A CSV file begins
+    with the names of the struct's fields.
+    """
+    rows = df.select(artifact_text(df, content, content_type).alias("value"), F.col(target)).hint("rebalance", target)
+    kind = df.select(content.alias("c")).schema["c"].dataType
+    if content_type == "text/csv" and kind.typeName() == "struct":
+        parsed = df.select(F.col(target), content.alias("c")).select(target, "c.*").hint("rebalance", target)
+        parsed.write.partitionBy(target).options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(path)
+        return
     rows.write.partitionBy(target).text(path)

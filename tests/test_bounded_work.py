@@ -2,13 +2,16 @@
 
 import datetime
 import random
+import re
 import time
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from stewardry.operators import corpus, joins, windows
+from stewardry.functions import network, text
+from stewardry.operators import checks, corpus, graph, joins, windows
+from stewardry.sources import sinks
 from stewardry.streaming import changes
 
 
@@ -158,3 +161,152 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     assert minutes(out.held, "first_seen", "last_seen") == [(400, 400)]
     assert minutes(out.late, "ts") == [(3,), (150,)]
     assert sum(r.n_signals for r in out.final.collect()) == 6
+
+
+# --- rules as rows ------------------------------------------------------------------------------------
+
+
+def test_a_thousand_rules_in_one_plan(spark):
+    rng = random.Random(8)
+    alphabet = ["on", "er", "Ü", "data", " ", "the  end", "x-1", "1.2", "!", "é"]
+    texts = [(k, "".join(rng.choices(alphabet, k=rng.randint(0, 25)))) for k in range(40)] + [(98, None), (99, "")]
+    rules, modes = [], {}
+    for k in range(1000):
+        modes[f"r{k}"] = rng.choice(["require_all", "require_any", "forbid"])
+        for _ in range(rng.randint(1, 3)):
+            rules.append((f"r{k}", modes[f"r{k}"], "phrase", "".join(rng.choices(alphabet, k=rng.randint(1, 3)))))
+    rules.append(("p", "forbid", "pattern", r"\d\.\d"))
+    modes["p"] = "forbid"
+    got = corpus.text_rule_rows(
+        spark.createDataFrame(texts, "id long, text string"), "id", "text", spark.createDataFrame(rules, "rule string, mode string, kind string, term string")
+    ).collect()
+    low = {i: re.sub(r"\s+", " ", (t or "").lower()) for i, t in texts}
+    terms = defaultdict(set)
+    for rule, _, kind, term in rules:
+        terms[rule].add((kind, re.sub(r"\s+", " ", term.lower()) if kind == "phrase" else term))
+    for r in got:
+        hits = [re.search(t, low[r.id]) is not None if kind == "pattern" else t in low[r.id] for kind, t in terms[r.rule]]
+        assert r.passed == {"require_all": all(hits), "require_any": any(hits), "forbid": not any(hits)}[modes[r.rule]], (r, low[r.id], terms[r.rule])
+    assert len(got) == len(texts) * 1001
+
+
+def test_rules_that_cannot_be_read_are_refused(spark):
+    texts = spark.createDataFrame([(1, "a")], "id long, text string")
+    for bad in [("r", "perhaps", "phrase", "a"), ("r", "forbid", "word", "a"), ("r", "forbid", "phrase", None)]:
+        with pytest.raises(checks.GateClosed, match="rule=r"):
+            corpus.text_rule_rows(texts, "id", "text", spark.createDataFrame([bad], "rule string, mode string, kind string, term string"))
+
+
+# --- shapes -------------------------------------------------------------------------------------------
+
+
+def test_shape_candidates_grow_no_faster_than_shapes(spark, monkeypatch):
+    counts = []
+    real = corpus.cut
+
+    def watched(df, label="cut"):
+        out = real(df, label)
+        if label == "candidates":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(corpus, "cut", watched)
+    for n in (300, 3000):
+        rng = random.Random(n)
+        rows = [(k, f"a{a}") for k in range(n) for a in {*(int(rng.random() ** 2 * n) for _ in range(8)), 0, 1}]
+        corpus.shape_duplicates(spark.createDataFrame(rows, "node long, attribute string"), "node", "attribute").count()
+    assert counts[1] <= 30 * max(counts[0], 20)  # ten times the shapes; all pairs would be a hundred times as many
+
+
+# --- addresses, files, cycles, numbers ----------------------------------------------------------------
+
+
+def test_addresses_of_both_families(spark):
+    import ipaddress
+
+    rng = random.Random(6)
+    given = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "fe80::1:2", "::ffff:10.0.0.1", "1:2:3:4:5:6:7.8.9.10", "2001:DB8::A", "255.255.255.255", "0.0.0.0"]
+    given += [str(ipaddress.IPv6Address(rng.getrandbits(128))) for _ in range(40)] + [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(20)]
+    bad = ["", ":", ":::", "1:2", "1:2:3:4:5:6:7:8:9", "1::2::3", "12345::", ":1::2", "1::2:", "g::", "1.2.3", "1.2.3.256", "::1.2.3.4.5", "1/2/3", "::/129", "1.2.3.4/33", "::/x"]
+    rows = spark.createDataFrame([(a,) for a in [*given, *bad]], "a string").select("a", network.ip_parts(F.col("a")).alias("p")).collect()
+    for r in rows:
+        if r.a in bad:
+            assert r.p is None, r.a
+        else:
+            ip = ipaddress.ip_address(r.a)
+            number = (r.p.hi % 2**64) << 64 | r.p.lo % 2**64
+            assert (r.p.family, number, r.p.length) == (ip.version, int(ip), 128), r.a
+    prefixes = [f"{a}/{rng.randint(0, 128 if ':' in a else 32)}" for a in given]
+    df = spark.createDataFrame([(p,) for p in prefixes], "prefix string").select("prefix", F.lit(1).alias("site"))
+    ips = spark.createDataFrame([(a, 1) for a in given], "ip string, site int")
+    nets = [ipaddress.ip_network(p, strict=False) for p in prefixes]
+    best = {r.ip: r.best_prefix for r in joins.longest_prefix(ips, df, address="ip", scope="site").collect()}
+    for a in given:
+        inside = [n for n in nets if n.version == ipaddress.ip_address(a).version and ipaddress.ip_address(a) in n]
+        want = max((n.prefixlen for n in inside), default=None)
+        assert (best[a] and int(best[a].split("/")[1])) == want
+    outside = {r.ip for r in joins.cidr_containment(ips, df, address="ip", scope="site").collect()}
+    assert outside == {a for a in given if best[a] is None}
+
+
+def test_digests_of_files(spark, tmp_path):
+    import hashlib
+
+    rng = random.Random(9)
+    contents = [b"", b"\n", b"a", b"a\n", b"\n\n\r\n", rng.randbytes(50_000), b"x" * 300_000 + b"\n", "é\n".encode("latin-1") * 999]
+    for k, content in enumerate(contents):
+        (tmp_path / f"f{k}.bin").write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        found = {r["_path"].rsplit("/", 1)[-1]: (r["sha256"], r["bytes"]) for r in sinks.file_digests(spark, [str(tmp_path)]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {f"f{k}.bin": (hashlib.sha256(c).hexdigest(), len(c)) for k, c in enumerate(contents) if c}
+
+
+def test_cycles_by_name(spark):
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "a"), ("g", "f"), ("h", "h"), ("d", "i"), ("j", "k"), ("x", "missing")]
+    links += [(f"n{k:02}", f"n{(k + 1) % 20:02}") for k in range(20)] + [("a", "n00")]
+    nodes = sorted({x for pair in links for x in pair} - {"missing"})
+    got = graph.dependency_cycles(
+        spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(links, "src string, dst string")
+    ).collect()
+    want = {**dict.fromkeys("abc", ("cycle", "a")), **dict.fromkeys("de", ("cycle", "d")), "f": ("behind", None), "g": ("behind", None), "h": ("cycle", "h")}
+    want |= {f"n{k:02}": ("cycle", "n00") for k in range(20)}
+    assert {r.node: (r.status, r.cycle) for r in got} == want
+    assert graph.dependency_cycles(spark.createDataFrame([("a",)], "node string"), spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_long_numbers_fold(spark):
+    from stewardry.functions.text import expand_range
+
+    names = [f"sn{123456789012345678901 + k}" for k in range(6)] + [f"sn{10**18 + k}" for k in range(5)] + ["sn7", "sn8", f"t{9 * 10**40}"]
+    df = spark.createDataFrame([("p", n, "r") for n in names], "parent string, name string, role string")
+    folded = windows.collapse_ranges(df, "parent", "name", ["role"])
+    assert {r.name for r in folded.where("expand_range").collect()} == {"sn123[456789012345678901-456789012345678906]", "sn1[000000000000000000-000000000000000004]"}
+    assert sorted(r.name for r in expand_range(folded, "name").collect()) == sorted(names)
+
+
+# --- small functions ----------------------------------------------------------------------------------
+
+
+def test_modules_and_files_are_no_hosts(spark):
+    lines = {
+        "app.core.schema_gone: x": "app.core.schema_gone: x", "job.py failed": "job.py failed", "no route to db-1.prod.internal": "no route to <host>",
+        "db.prod.zone7:5432 refused": "<host>:<n> refused", "www.example.com gave 502": "<host> gave <n>",
+    }
+    df = spark.createDataFrame([(k,) for k in lines], "m string").select("m", text.error_template(F.col("m")).alias("t"))
+    assert {r.m: r.t for r in df.collect()} == lines
+
+
+def test_artifact_forms(spark, tmp_path):
+    df = spark.createDataFrame([("t", 'a,"b"\nc', 1), ("t", "plain", 2)], "target string, name string, n int")
+    content = F.struct("name", "n")
+    sinks.write_artifacts(df, "target", content, "text/csv", str(tmp_path / "csv"))
+    [path] = (tmp_path / "csv" / "target=t").glob("*.csv")
+    import csv
+
+    assert list(csv.reader(path.open(newline=""))) == [["name", "n"], ['a,"b"\nc', "1"], ["plain", "2"]]
+    with pytest.raises(ValueError, match="needs text"):
+        sinks.write_artifacts(df, "target", content, "text/markdown", str(tmp_path / "md"))
+    sinks.write_artifacts(df, "target", F.col("name"), "text/markdown", str(tmp_path / "md"))
