@@ -20,31 +20,85 @@ def _levels(spark, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _contracted(links: DataFrame, fixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The inner nodes of unbranched stretches, and the edges that are left when each stretch is one edge.
+
+    Inner is a node with one link in and one out that is not ``fixed``. Inner nodes come with the ``head`` that their
+    stretch begins behind and their distance ``far`` from it; edges have a weight ``w``, the links they stand for. Each
+    round doubles how far a node looks back, so that a stretch of n nodes takes log2(n) joins. Rings of inner nodes hang
+    on nothing and are left out of both.
+    """
+    outs = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_out"), F.min("dst").alias("next")).where("_out = 1")
+    ins = links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("_in"), F.min("src").alias("prev")).where("_in = 1")
+    inner = cut(outs.join(ins, "node").join(fixed, "node", "left_anti").select("node", "prev", "next"), "inner")
+    is_inner = inner.select(F.col("node").alias("prev"), F.lit(True).alias("_inner"))
+    back = F.when(F.col("_inner"), F.col("prev"))
+    walking = cut(
+        inner.join(is_inner, "prev", "left").select(
+            "node", back.alias("up"), F.when(F.col("_inner").isNull(), F.col("prev")).alias("head"), F.lit(1).cast("bigint").alias("far")
+        ),
+        "walking",
+    )
+    left = walking.where("up IS NOT NULL").count()
+    while left:
+        above = walking.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("head").alias("_head"), F.col("far").alias("_far"))
+        walking = cut(
+            walking.join(above, "up", "left").select(
+                "node", F.col("_up").alias("up"), F.coalesce("head", "_head").alias("head"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far")
+            ),
+            "walking",
+        )
+        before, left = left, walking.where("up IS NOT NULL").count()
+        if left == before:
+            break
+    placed = walking.where("up IS NULL").select("node", "head", "far")
+    nodes = inner.select("node")
+    ends = inner.join(nodes.withColumnRenamed("node", "next"), "next", "left_anti").select("node", "next")
+    long = placed.join(ends, "node").select(F.col("head").alias("src"), F.col("next").alias("dst"), (F.col("far") + 1).alias("w"))
+    short = (
+        links.join(nodes.withColumnRenamed("node", "src"), "src", "left_anti").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        .select("src", "dst", F.lit(1).cast("bigint").alias("w"))
+    )
+    return placed, cut(long.unionByName(short), "contracted")
+
+
 def reachable(
     seeds: DataFrame, edges: DataFrame, *, node: str = "node", src: str = "src", dst: str = "dst",
     max_depth: int | None = None,
 ) -> DataFrame:
     """Nodes reachable from the seeds with the least level at which they are reached.
 
-    A node already seen is not visited again, so cycles end.
+    Unbranched stretches are one weighted edge each (see :func:`_contracted`), so rounds go with the branchings on a
+    path, not with its length. A round goes on from the nodes whose level it lowered; cycles lower none, so it ends.
     """
     spark = seeds.sparkSession
     path = new_path(spark, "reachable")
-    seeds.select(node).distinct().write.parquet(f"{path}/level=0")
     links = cut(
-        edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(src, dst).distinct(), "edges"
+        edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "edges"
     )
-    like = seeds.select(node)
-    level = 0
-    while max_depth is None or level < max_depth:
-        seen = _levels(spark, path, like)
-        frontier = seen.where(F.col("level") == level).select(F.col(node).alias(src))
-        found = links.join(frontier, src, "left_semi").select(F.col(dst).alias(node)).distinct()
-        level += 1
-        found.join(seen.select(node), node, "left_anti").write.parquet(f"{path}/level={level}")
-        if spark.read.schema(like.schema).parquet(f"{path}/level={level}").isEmpty():
+    first = cut(seeds.select(F.col(node).alias("node")).where("node IS NOT NULL").distinct(), "seeds")
+    inner, steps = _contracted(links, first)
+    start = first.select("node", F.lit(0).cast("bigint").alias("level"))
+    start.write.parquet(f"{path}/round=0")
+    read = lambda folder: spark.read.schema(start.schema).parquet(folder).select("node", "level")
+    rounds = 0
+    while True:
+        frontier = read(f"{path}/round={rounds}")
+        seen = read(path).groupBy("node").agg(F.min("level").alias("_best"))
+        found = steps.join(frontier, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("level") + F.col("w")).alias("level"))
+        if max_depth is not None:
+            found = found.where(F.col("level") <= max_depth)
+        better = found.join(seen, "node", "left").where(F.col("_best").isNull() | (F.col("level") < F.col("_best")))
+        rounds += 1
+        better.select("node", "level").write.parquet(f"{path}/round={rounds}")
+        if read(f"{path}/round={rounds}").isEmpty():
             break
-    return _levels(spark, path, like)
+    met = read(path).groupBy("node").agg(F.min("level").alias("level"))
+    between = inner.join(met.select(F.col("node").alias("head"), F.col("level").alias("_at")), "head").select("node", (F.col("_at") + F.col("far")).alias("level"))
+    whole = met.unionByName(between)
+    if max_depth is not None:
+        whole = whole.where(F.col("level") <= max_depth)
+    return whole.select(F.col("node").alias(node), F.col("level").cast("int").alias("level"))
 
 
 def blast_radius(
@@ -122,28 +176,42 @@ def dependency_levels(nodes: DataFrame, refs: DataFrame, *, node: str = "node")
     """The load level of every node: a referent lies strictly below its referrers.
 
     ``refs`` has ``src`` (referrer) and ``dst`` (referent); references to unknown nodes do not
-    count. Nodes on or behind a cycle get a NULL level.
+    count. Nodes on or behind a cycle get a NULL level; see :func:`dependency_cycles`. Unbranched stretches are one
+    weighted edge each, so that rounds go with the branchings on the longest path.
     """
     spark = nodes.sparkSession
     path = new_path(spark, "dependency")
-    waiting = cut(nodes.select(node).distinct(), "waiting")
+    known = cut(nodes.select(F.col(node).alias("node")).distinct(), "nodes")
     links = cut(
-        refs.join(waiting.select(F.col(node).alias("dst")), "dst", "left_semi").select("src", "dst").distinct(),
+        refs.select("src", "dst").distinct().join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        .join(known.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst")),
         "refs",
     )
-    like = nodes.select(node)
-    level = 0
+    # from referents up: an inner node lies as far above its head as it is away
+    inner, steps = _contracted(links, known.limit(0))
+    unbranched = links.groupBy("dst").count().where("count = 1").join(links.groupBy("src").count().where("count = 1"), F.col("dst") == F.col("src"))
+    placed = known.join(unbranched.select(F.col("dst").alias("node")), "node", "left_anti")
+    waiting = cut(placed.select("node", F.lit(0).cast("bigint").alias("level")), "waiting")
+    left = steps
+    rounds = 0
+    like = waiting
     while True:
-        blocked = links.select(F.col("src").alias(node))
-        waiting.join(blocked, node, "left_anti").write.parquet(f"{path}/level={level}")
-        ready = spark.read.schema(like.schema).parquet(f"{path}/level={level}")
+        waiting.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").write.parquet(f"{path}/round={rounds}")
+        ready = spark.read.schema(like.schema).parquet(f"{path}/round={rounds}")
         if ready.isEmpty():
             break
-        waiting = cut(waiting.join(ready, node, "left_anti"), "waiting")
-        links = cut(links.join(ready.select(F.col(node).alias("dst")), "dst", "left_anti"), "refs")
-        level += 1
-    cyclic = waiting.withColumn("level", F.lit(None).cast("int"))
-    return _levels(spark, path, like).unionByName(cyclic)
+        raised = left.join(ready, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("level") + F.col("w")).alias("_to"))
+        left = cut(left.join(ready.select(F.col("node").alias("src")), "src", "left_anti"), "left")
+        waiting = cut(
+            waiting.join(ready.select("node"), "node", "left_anti").join(raised, "node", "left")
+            .select("node", F.greatest("level", F.coalesce("_to", F.lit(0))).alias("level")),
+            "waiting",
+        )
+        rounds += 1
+    done = spark.read.schema(like.schema).parquet(path).select("node", "level")
+    between = inner.join(done.select(F.col("node").alias("head"), F.col("level").alias("_at")), "head").select("node", (F.col("_at") + F.col("far")).alias("level"))
+    levels = done.unionByName(between)
+    return known.join(levels, "node", "left").select(F.col("node").alias(node), F.col("level").cast("int").alias("level"))
 
 
 def dependency_cycles(nodes: DataFrame, refs: DataFrame, *, node: str = "node") -> DataFrame:

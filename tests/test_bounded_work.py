@@ -310,3 +310,60 @@ def test_artifact_forms(spark, tmp_path):
     with pytest.raises(ValueError, match="needs text"):
         sinks.write_artifacts(df, "target", content, "text/markdown", str(tmp_path / "md"))
     sinks.write_artifacts(df, "target", F.col("name"), "text/markdown", str(tmp_path / "md"))
+
+
+# --- long chains --------------------------------------------------------------------------------------
+
+
+def plain_levels(seeds, links):
+    level, frontier, k = dict.fromkeys(seeds, 0), list(seeds), 0
+    after = defaultdict(list)
+    for a, b in links:
+        after[a].append(b)
+    while frontier:
+        k += 1
+        frontier = list({b for a in frontier for b in after[a] if b not in level})
+        level.update(dict.fromkeys(frontier, k))
+    return level
+
+
+def plain_depths(nodes, refs):
+    below = {n: {b for a, b in refs if a == n and b in nodes} for n in nodes}
+    out = {}
+    while True:
+        ready = [n for n in nodes if n not in out and all(b in out for b in below[n])]
+        if not ready:
+            return {n: out.get(n) for n in nodes}
+        out.update({n: 1 + max((out[b] for b in below[n]), default=-1) for n in ready})
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_levels_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    nodes = [f"n{k}" for k in range(60)]
+    links = [(rng.choice(nodes), rng.choice(nodes)) for _ in range((40, 70, 60, 90)[seed])] + [(f"c{k}", f"c{k + 1}") for k in range(30)] + [("n1", "c0"), ("c30", "n2"), ("c9", "n3")]
+    links += [("r0", "r1"), ("r1", "r2"), ("r2", "r0"), (None, "n1"), ("n1", None)]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    seeds = ["n1", "n5", "c12"]
+    got = graph.reachable(spark.createDataFrame([(s,) for s in seeds], "node string"), edges).collect()
+    want = plain_levels(seeds, [x for x in links if None not in x])
+    assert {r.node: r.level for r in got} == want and len(got) == len(want)
+    near = graph.reachable(spark.createDataFrame([(s,) for s in seeds], "node string"), edges, max_depth=3).collect()
+    assert {r.node: r.level for r in near} == {n: k for n, k in want.items() if k <= 3}
+    acyclic = [(a, b) for a, b in links if a and b and (a < b or seed % 2)]
+    known = sorted({x for pair in acyclic for x in pair} - {"n7"})
+    depths = graph.dependency_levels(spark.createDataFrame([(n,) for n in known], "node string"), spark.createDataFrame(acyclic, "src string, dst string")).collect()
+    assert {r.node: r.level for r in depths} == plain_depths(set(known), acyclic) and len(depths) == len(known)
+
+
+def test_a_chain_of_a_hundred_thousand(spark, monkeypatch):
+    cuts = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, label="cut": cuts.append(label) or real(df, label))
+    n = 100_000
+    chain = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = graph.reachable(spark.createDataFrame([(0,)], "node long"), chain)
+    assert got.agg(F.count("*"), F.max("level"), F.sum((F.col("node") != F.col("level")).cast("int"))).first() == (n + 1, n, 0)
+    levels = graph.dependency_levels(spark.range(n + 1).select(F.col("id").alias("node")), chain)
+    assert levels.agg(F.max("level"), F.sum((F.col("node") + F.col("level") != n).cast("int"))).first() == (n, 0)
+    assert len(cuts) < 80
