@@ -35,6 +35,7 @@ from stewardry.scale import cut
 
 K = 8
 PLACE_BITS = 28  # positions within one Arrow batch
+MARKED = 62  # windows whose marks are the bits of one number
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so that they have inverses modulo 2**64
 
 
@@ -222,11 +223,14 @@ def marks(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     )
     opened = cut(_opened(texts, branches, width), "windows")
     counted = opened.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2")
-    settled = opened.join(counted, ["w1", "w2"]).groupBy("anchor", "piece").agg(
-        F.bit_or(F.expr("shiftleft(1L, offset)")).alias("which")
+    # a piece of a wide window has more windows than a number has bits: they are marked in runs
+    settled = opened.join(counted, ["w1", "w2"]).groupBy("anchor", "piece", F.expr(f"offset div {MARKED}").alias("run")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, offset % {MARKED})")).alias("which")
     )
     settled = cut(settled, "settled")
-    branching = repeated.where("branches").join(settled, ["anchor", "piece"]).select("_k1", "_k2", "start", "windows", "which")
+    branching = repeated.where("branches").join(settled, ["anchor", "piece"]).select(
+        "_k1", "_k2", (F.col("start") + F.col("run") * MARKED).alias("start"), "windows", "which"
+    )
     return _compacted(repeated.where("NOT branches")).unionByName(branching)
 
 
@@ -272,7 +276,7 @@ def remove(docs: DataFrame, width: int = 35) -> DataFrame:
                     start, windows = (lists.values.field(k).to_numpy() for k in ("start", "windows"))
                     which = lists.values.field("which")
                     whole = which.is_null().to_numpy(zero_copy_only=False)
-                    at, bit = np.nonzero((which.fill_null(0).to_numpy()[:, None] >> np.arange(width)) & 1)
+                    at, bit = np.nonzero((which.fill_null(0).to_numpy()[:, None] >> np.arange(min(width, MARKED))) & 1)
                     begins = np.concatenate([start[at] + bit, start[whole]])
                     ends = np.concatenate([start[at] + bit + width, start[whole] + windows[whole] + width - 1])
                     change = np.zeros(len(words) + 1, dtype=np.int64)

@@ -91,6 +91,18 @@ def got_removed(df, width):
     return sorted((str(r.doc_id), r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in debruijn.remove(df, width).collect())
 
 
+@pytest.mark.parametrize("width", [35, 71, 72, 150])
+def test_wide_windows_over_branching_paths(spark, width):
+    rng = random.Random(3)
+    stretches = [invented(700 + k, rng.randint(width - 20, width + 60)) for k in range(6)]
+    data = [
+        (k, " ".join([invented(900 + k, rng.randint(0, 9)), rng.choice(stretches), rng.choice(["x", "y z", ""]), rng.choice(stretches), invented(1100 + k, 5)]))
+        for k in range(180)
+    ]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert got_removed(df, width) == plain_removed(data, width)
+
+
 @pytest.mark.parametrize("width", [10, 35])
 def test_repeated_windows_of_odd_rows(odd, no_docs, width):
     assert got_removed(odd, width) == plain_removed([r[:2] for r in rows()], width)
