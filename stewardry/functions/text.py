@@ -228,7 +228,7 @@ SECRETS = {
 
 _ALLOWED = "|".join([*map(re.escape, ALLOWED_IPS), *(re.escape(p) + r"\d+" for p in DOCUMENTATION_PREFIXES)])
 #: An address that a redacted text must not show: loopback, wildcard and documentation addresses stay.
-TELLING_IPV4 = rf"\b(?!(?:{_ALLOWED})\b){IPV4.removeprefix(chr(92) + 'b')}"
+TELLING_IPV4 = rf"\b(?!(?:{_ALLOWED})\b)(?:{_OCTET}\.){{3}}{_OCTET}\b"
 
 REDACTIONS: tuple[tuple[str, str], ...] = (
     (INTERNAL_URL, "<internal-url>"),
@@ -313,8 +313,12 @@ def quarantine_secrets(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
 PLACEHOLDER = r"<[A-Za-z][\w-]*>"
 
 
+# From how few words a redacted text is too thin, and from how many placeholders on it needs a term.
+MIN_WORDS, MAX_PLACEHOLDERS = 25, 4
+
+
 def over_redacted(
-    text: Column, domain_terms: Sequence[str], *, min_words: int = 25, max_placeholders: int = 4
+    text: Column, domain_terms: Sequence[str], *, min_words: int = MIN_WORDS, max_placeholders: int = MAX_PLACEHOLDERS
 ) -> Column:
     """``too_little_prose``, ``placeholders_only`` or NULL for a redacted text still worth reading."""
     prose = F.regexp_replace(text, PLACEHOLDER, " ")

@@ -358,6 +358,7 @@ def seed_scan(t: Tables):
 
 # Short documents with many placeholders are what an over-eager redaction leaves behind.
 THINNED = "CASE WHEN n_chars < 300 THEN regexp_replace(text, '[A-Z][a-z]+', '<Name>'{g}) WHEN lang = 'en' THEN text || ' <a> <b> <c> <d>' ELSE text || ' <a> <b> cardinality <c> <d>' END"
+# Terms that show a subject, and the classes of reports with the tags and terms that name them.
 TERMS = (r"\bhierarchical\b", r"\bcardinalit(?:y|ies)\b", r"\bpeers?\b")
 
 
@@ -618,6 +619,7 @@ def windowed_cooccurrence(t: Tables):
     return t.documents.where(near).select("doc_id")
 
 
+# As above.
 KINDS = (
     corpus.KindSpec("bug", "bug", "bug"),
     corpus.KindSpec("feature", "feat", "feature"),

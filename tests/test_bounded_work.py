@@ -123,7 +123,7 @@ def test_hot_words_are_not_joined(spark, monkeypatch):
         met.clear()
         texts = spark.range(n).select("id", F.concat(F.lit("common word here own"), F.col("id")).alias("t"))
         found = corpus.top_known_issues(
-            texts, texts.select(F.col("id").alias("i"), F.col("t").alias("u")), 1, subject="id", subject_text="t", issue="i", issue_text="u"
+            texts, texts.select(F.col("id").alias("i"), F.col("t").alias("u")), 1, subject="id", subject_text="t", issue="i", issue_text="u", rare=16,
         ).collect()
         assert sorted((r.id, r.i, r.n_shared) for r in found) == [(k, k, 4) for k in range(n)]
         assert sum(x.count() for x in met) == n
