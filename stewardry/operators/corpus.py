@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -447,6 +448,35 @@ def top_known_issues(
     return reps.join(found.withColumnRenamed(subject, "_rep"), "_rep").select(subject, issue, "n_shared", "score", "rank")
 
 
+#: How many keys a shape may have for partners of one size.
+KEYS_OF_A_SHAPE = 64
+
+
+def _combinations(codes: Column, k: Column) -> Column:
+    """A number for each combination of ``k`` of the codes, the same in whatever array the codes stand.
+
+    To leave out none or one code is read off the number of all codes. Else, code by code, each combination begun so
+    far goes on with the code and without it; one that the codes left cannot fill any more is dropped.
+    """
+    whole = F.aggregate(codes, F.lit(0).cast("bigint"), lambda key, x: key.bitwiseXOR(x))
+    left = F.size(codes)
+    placed = F.transform(codes, lambda x, i: F.struct(x.alias("code"), (left - i - 1).alias("left")))
+    none = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key")))
+
+    def taken(begun: Column, x: Column) -> Column:
+        more = F.transform(
+            F.filter(begun, lambda c: c["n"] < k),
+            lambda c: F.struct((c["n"] + 1).alias("n"), c["key"].bitwiseXOR(x["code"]).alias("key")),
+        )
+        return F.filter(F.concat(begun, more), lambda c: c["n"] + x["left"] >= k)
+
+    return (
+        F.when(left == k, F.array(whole))
+        .when(left == k + 1, F.zip_with(codes, F.array_repeat(whole, left), lambda x, all_of: all_of.bitwiseXOR(x)))
+        .otherwise(F.transform(F.aggregate(placed, none, taken), lambda c: c["key"]))
+    )
+
+
 def shape_duplicates(
     members: DataFrame, node: str, attribute: str, *, percent: int = 70, min_nodes: int = 3
 ) -> DataFrame:
@@ -454,10 +484,11 @@ def shape_duplicates(
 
     Alike means a Jaccard overlap above ``percent`` (50 at least). Nodes of equal shape are folded
     into one row first, so a group of copies never meets itself. Different shapes meet by the pair of their sizes, which
-    says how many attributes two alike must share, and so how few of their rarest ones cannot all be missing in
-    the other: for sizes 4 and 5 at 70 percent the rarest one of the smaller, two of the larger. Only sizes that occur
-    are paired. What follows in both behind the attribute they meet on, and the bits of their attributes that differ,
-    leave out pairs that cannot reach that many. Every other candidate is verified on all attributes.
+    says how many attributes ``t`` two alike must share. Two that share ``t`` share at least ``k`` of their
+    ``size - t + k`` rarest ones, so they meet on a combination of ``k`` of these instead of one attribute that most
+    shapes may have: on ``t`` at once where that makes at most ``KEYS_OF_A_SHAPE`` combinations, as it does for small
+    shapes, else on as many as keep to it. Only sizes that occur are paired. The bits of their attributes that differ
+    leave out pairs that cannot share ``t``. Every other candidate is verified on all attributes.
     """
     if percent < 50:
         raise ValueError("below 50 percent a single shared attribute could be enough")
@@ -481,35 +512,38 @@ def shape_duplicates(
         "held",
     )
     frequency = held.groupBy("attr").agg(F.count("*").alias("freq"))
-    rare = Window.partitionBy("shape").orderBy("freq", "attr")
+    rarest = F.transform(F.array_sort(F.collect_list(F.struct("freq", F.xxhash64("attr").alias("code")))), lambda x: x["code"])
     # two of sizes n and m alike share more than percent (n + m) / (100 + percent) attributes
     least = lambda total: F.floor(total * percent / (100 + percent)) + 1
-    prefix = cut(
-        held.join(frequency, "attr").withColumn("r", F.row_number().over(rare))
-        .where(F.col("r") <= F.col("n") - F.floor(F.col("n") * percent / 100)),
-        "prefix",
-    )
+    listed = cut(held.join(frequency, "attr").groupBy("shape", "n", "bits").agg(rarest.alias("codes")), "rarest")
     sizes = shapes.agg(F.array_sort(F.collect_set("n"))).scalar()
-    listed = prefix.withColumn("_sizes", sizes)
-    own = F.col("n")
+    own, other = F.col("n"), F.col("m")
+    enough = F.least(own, other) * 100 > F.greatest(own, other) * percent
+    # two different shapes of one size do not share all attributes
+    apart = (own != other) | (least(own + other) < own)
+    # the most attributes a key may have, by how many the larger one may lack
+    spare = F.greatest(own, other) - F.col("t")
+    widest = F.array(*[F.lit(max(k for k in range(1, KEYS_OF_A_SHAPE) if comb(d + k, k) <= KEYS_OF_A_SHAPE)) for d in range(1, KEYS_OF_A_SHAPE)])
+    paired = (
+        listed.withColumn("_sizes", sizes).withColumn("m", F.explode("_sizes"))
+        .where(enough & apart)
+        .withColumn("t", least(own + other))
+        .withColumn("k", F.least(F.col("t").cast("int"), F.coalesce(F.get(widest, (spare - 1).cast("int")), F.lit(1))))
+        .select("shape", "n", "m", "bits", F.explode(_combinations(F.slice("codes", F.lit(1), (own - F.col("t") + F.col("k")).cast("int")), F.col("k"))).alias("key"))
+    )
 
     def side(end: str, fits: Column) -> DataFrame:
-        """Rows of shapes that meet partners of another size, for the attributes they may meet on."""
-        rows = listed.select("shape", "n", "bits", "attr", "r", F.explode("_sizes").alias("m")).where(fits & (F.col("r") <= own - least(own + F.col("m")) + 1))
+        """Rows of shapes that meet partners of another size, for the keys they may meet on."""
         low, high = ("n", "m") if end == "a" else ("m", "n")
-        return rows.select("attr", F.col(low).alias("na"), F.col(high).alias("nb"), F.col("shape").alias(end), F.col("r").alias(f"r{end}"), F.col("bits").alias(f"bits_{end}"))
+        return paired.where(fits).select("key", F.col(low).alias("na"), F.col(high).alias("nb"), F.col("shape").alias(end), F.col("bits").alias(f"bits_{end}"))
 
-    enough = F.least(own, F.col("m")) * 100 > F.greatest(own, F.col("m")) * percent
-    smaller = side("a", enough & (own <= F.col("m")))
-    larger = side("b", enough & (F.col("m") <= own))
-    most = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
-    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
+    smaller, larger = side("a", own <= other), side("b", other <= own)
+    differing = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
     possible = (
         ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
-        & (most >= least(F.col("na") + F.col("nb")))
-        & (apart <= F.col("na") + F.col("nb") - 2 * least(F.col("na") + F.col("nb")))
+        & (differing <= F.col("na") + F.col("nb") - 2 * least(F.col("na") + F.col("nb")))
     )
-    candidates = cut(smaller.join(larger, ["attr", "na", "nb"]).where(possible).select("a", "b", "na", "nb").distinct(), "candidates")
+    candidates = cut(smaller.join(larger, ["key", "na", "nb"]).where(possible).select("a", "b", "na", "nb").distinct(), "candidates")
     shared = cut(
         candidates.join(held.select(F.col("shape").alias("a"), "attr"), "a")
         .join(held.select(F.col("shape").alias("b"), "attr"), ["b", "attr"])

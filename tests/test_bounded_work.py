@@ -1,6 +1,9 @@
 """Operators whose work must not grow with what they need not look at: brute force, and sizes of what they make."""
 
 import datetime
+import functools
+import itertools
+import operator
 import random
 import re
 import time
@@ -218,6 +221,26 @@ def test_shape_candidates_grow_no_faster_than_shapes(spark, monkeypatch):
     assert counts[1] <= 30 * max(counts[0], 20)  # ten times the shapes; all pairs would be a hundred times as many
 
 
+def test_shapes_meet_on_as_many_attributes_as_they_must_share(spark):
+    codes = [3, 5, 9, 17, 33, 65]
+    for k in range(1, 7):
+        (found,) = spark.range(1).select(corpus._combinations(F.array(*[F.lit(c).cast("bigint") for c in codes]), F.lit(k))).first()
+        assert sorted(found) == sorted(functools.reduce(operator.xor, c) for c in itertools.combinations(codes, k))
+
+
+def test_dense_shapes_against_brute_force(spark):
+    rng = random.Random(5)
+    shapes = {i: frozenset(rng.sample(range(13), rng.randint(1, 11))) for i in range(400)}
+    rows = [(i, f"a{x}") for i, s in shapes.items() for x in s]
+    first = {}
+    for i, s in shapes.items():
+        first.setdefault(s, i)
+    for percent in (50, 70, 85):
+        out = corpus.shape_duplicates(spark.createDataFrame(rows, "node long, attr string"), "node", "attr", percent=percent)
+        alike = {s: sum(len(s & o) * 100 > len(s | o) * percent for o in shapes.values()) for s in first}
+        assert rows_of(out.select("shape", "n_alike")) == sorted(((first[s], n) for s, n in alike.items() if n >= 3), key=str)
+
+
 # --- addresses, files, cycles, numbers ----------------------------------------------------------------
 
 
