@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stewardry.scale import CHUNK, block_of, first_per_key, ranked, running_total, with_previous
+from stewardry.scale import CHUNK, block_of, dealt, first_per_key, ranked, running_total, tasks_for, with_previous
 
 
 def first_wins(
@@ -40,7 +40,8 @@ def collapse_ranges(
     Equal rows are folded first; see :func:`duplicate_names` for reporting them.
 
     Islands are found inside blocks of the number line, so a parent of any size is spread over
-    tasks; only the pieces that touch a block border are then stitched.
+    tasks; only the pieces that touch a block border are then stitched. The rows are counted first and
+    dealt out by block to as many tasks as they are worth, before anything is held of them.
     """
     siblings = list(siblings)
     digits, before = (F.regexp_extract(name, r"^(.*?)(\d+)\z", k) for k in (2, 1))
@@ -58,9 +59,8 @@ def collapse_ranges(
     numbered = split.where(F.col("_num").isNotNull() & F.col(parent).isNotNull())
     # siblings are grouping columns themselves: NULL equals NULL there, and all aggregates stay numeric
     group = [parent, "_prefix", "_width", *siblings]
-    distinct = (
-        numbered.select(*group, "_num").distinct().withColumn("_block", block_of(F.col("_num"), RANGE_BLOCK))
-    )
+    blocks = numbered.select(*group, "_num", block_of(F.col("_num"), RANGE_BLOCK).alias("_block"))
+    distinct = dealt(blocks, [*group, "_block"], tasks_for(rows)).distinct()
     within = Window.partitionBy(*group, "_block").orderBy("_num")
     pieces = (
         distinct.withColumn("_island", F.col("_num") - F.row_number().over(within))

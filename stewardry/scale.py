@@ -85,6 +85,25 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+#: How many rows one task is to hold where work on a key needs all of its rows at once.
+ROWS_A_TASK = 200_000
+
+
+def tasks_for(scan: DataFrame) -> int:
+    """How many tasks the rows of a table are worth; counting a plain scan reads file footers only."""
+    return -(-scan.count() // ROWS_A_TASK)
+
+
+def dealt(df: DataFrame, keys: Sequence[str], tasks: int) -> DataFrame:
+    """Rows dealt out by keys to at least so many tasks, however few shuffle partitions the session has.
+
+    Groups, joins and windows on these keys, or on more, then need no other shuffle, and hold what one task got.
+    Up to the session's own number, Spark may put small tasks together.
+    """
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys) if tasks > own else df.repartition(*keys)
+
+
 def block_of(number: Column, size: int) -> Column:
     """The first number of the block a whole number lies in (exact for any bigint)."""
     return number - F.pmod(number, F.lit(size))
