@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stewardry.contracts import violations
 from stewardry.functions.network import ip_parts, ip_to_long, network_parts
-from stewardry.scale import block_of, cut
+from stewardry.scale import block_of, cut, dealt
 
 
 def cross_key(
@@ -269,33 +269,47 @@ def window_impact(
     dependent: str,
     customer: str,
     at: Column | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Per active window the number of assets, distinct dependents and distinct customers.
 
     A window is active at ``start <= at < end``. ``scope`` maps windows to assets, ``dependents``
-    assets to the dependents and customers riding on them.
+    assets to the dependents and customers riding on them. ``tasks`` as in :func:`impact_rows`.
     """
-    active = windows if at is None else windows.where((F.col("start") <= at) & (at < F.col("end")))
-    assets = active.select(window_id).join(scope.select(window_id, asset).distinct(), window_id)
-    hit = assets.join(dependents.select(asset, dependent, customer).distinct(), asset, "left")
-    return hit.groupBy(window_id).agg(
-        F.count_distinct(asset).alias("n_assets"),
-        F.count_distinct(dependent).alias("n_dependents"),
-        F.count_distinct(customer).alias("n_customers"),
-    )
+    assets, hit = _impact(windows, scope, dependents, window_id, asset, dependent, customer, at, tasks)
+    # each count from its own distinct pairs: counted together, every row would be repeated for each of them
+    counts = assets.groupBy(window_id).agg(F.count_distinct(asset).alias("n_assets"))
+    for column, name in ((dependent, "n_dependents"), (customer, "n_customers")):
+        pairs = hit.where(F.col(column).isNotNull()).select(window_id, column)
+        pairs = (pairs if tasks is None else dealt(pairs, [window_id, column], tasks)).distinct()
+        counts = counts.join(pairs.groupBy(window_id).agg(F.count("*").alias(name)), window_id, "left")
+    return counts.select(window_id, "n_assets", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_dependents", "n_customers")])
 
 
 def impact_rows(
     windows: DataFrame, scope: DataFrame, dependents: DataFrame, *, window_id: str, asset: str, dependent: str, customer: str,
-    at: Column | None = None,
+    at: Column | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """The lists behind :func:`window_impact`: each asset of an active window with each of its dependents and their customer.
 
-    An asset without dependents is one row with NULLs. A list is rows, so that no asset's is gathered in one.
+    An asset without dependents is one row with NULLs. A list is rows, so that no asset's is gathered in one. ``tasks``
+    is how many tasks the dependents are worth (:func:`stewardry.scale.tasks_for`); without it the session decides.
     """
+    return _impact(windows, scope, dependents, window_id, asset, dependent, customer, at, tasks)[1].select(window_id, asset, dependent, customer)
+
+
+def _impact(
+    windows: DataFrame, scope: DataFrame, dependents: DataFrame, window_id: str, asset: str, dependent: str, customer: str,
+    at: Column | None, tasks: int | None,
+) -> tuple[DataFrame, DataFrame]:
+    """The assets of the active windows, and these with their distinct dependents; those of other assets are left out first."""
     active = windows if at is None else windows.where((F.col("start") <= at) & (at < F.col("end")))
     assets = active.select(window_id).join(scope.select(window_id, asset).distinct(), window_id)
-    return assets.join(dependents.select(asset, dependent, customer).distinct(), asset, "left").select(window_id, asset, dependent, customer)
+    riding = dependents.select(asset, dependent, customer)
+    if tasks is not None:
+        riding = dealt(riding, [asset], tasks)
+    riding = riding.join(assets.select(asset), asset, "left_semi").distinct()
+    return assets, assets.join(riding, asset, "left")
 
 
 def dropdown_lookup(df: DataFrame, column: str, choices: DataFrame) -> DataFrame:

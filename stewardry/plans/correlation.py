@@ -10,6 +10,7 @@ from stewardry.operators import reconcile as rec
 from stewardry.operators.windows import first_wins
 from stewardry.plans.policies import SHEET_SQL, SUPPLIER_INPUTS, customer_sheet, supplier_inputs
 from stewardry.registry import Tables, query
+from stewardry.scale import dealt, tasks_for
 
 
 @query(
@@ -210,7 +211,8 @@ def impact_inputs(t: Tables) -> dict:
         "add_months(DATE '1996-01-01', n_nationkey + 14)::timestamp AS end",
     )
     orders = t.orders.select("o_orderkey", "o_custkey")
-    riding = t.lineitem.select("l_suppkey", "l_orderkey").join(
+    tasks = tasks_for(t.lineitem)
+    riding = dealt(t.lineitem.select("l_suppkey", "l_orderkey"), ["l_orderkey"], tasks).join(
         orders, F.col("l_orderkey") == F.col("o_orderkey")
     )
     return {
@@ -222,6 +224,7 @@ def impact_inputs(t: Tables) -> dict:
         "dependent": "l_orderkey",
         "customer": "o_custkey",
         "at": F.lit("1997-06-15").cast("timestamp"),
+        "tasks": tasks,
     }
 
 

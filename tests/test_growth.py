@@ -39,3 +39,11 @@ def test_ranges_are_dealt_to_as_many_tasks_as_rows_are_worth(spark, data, monkey
     plan = plan_of(QUERIES[name](spark, data))
     assert "REPARTITION_BY_NUM" in plan
     assert "keys=[parent" not in plan.split("REPARTITION_BY_NUM")[-1]  # nothing is grouped before the rows are dealt
+
+
+@pytest.mark.parametrize("name", ["C9_impact_rows", "C9_window_impact"])
+def test_impact_is_dealt_to_as_many_tasks_as_rows_are_worth(spark, data, monkeypatch, name):
+    monkeypatch.setattr(scale, "ROWS_A_TASK", 300)
+    plan = plan_of(QUERIES[name](spark, data))
+    assert plan.count("REPARTITION_BY_NUM") >= 2 and "LeftSemi" in plan
+    assert plan.count("Expand") == 0  # no row is repeated for each count
