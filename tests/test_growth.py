@@ -47,3 +47,9 @@ def test_impact_is_dealt_to_as_many_tasks_as_rows_are_worth(spark, data, monkeyp
     plan = plan_of(QUERIES[name](spark, data))
     assert plan.count("REPARTITION_BY_NUM") >= 2 and "LeftSemi" in plan
     assert plan.count("Expand") == 0  # no row is repeated for each count
+
+
+def test_hierarchies_are_dealt_to_as_many_tasks_as_rows_are_worth(spark, data, monkeypatch):
+    monkeypatch.setattr(scale, "ROWS_A_TASK", 300)
+    plan = plan_of(QUERIES["L5_hierarchy_rules"](spark, data))
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
