@@ -422,13 +422,14 @@ def length_caps(values: DataFrame, caps: DataFrame | None, key: str, value: str)
     """Values longer than their cap; without a cap (or a cap table) the result is ``unverified``."""
     if caps is None:
         return values.withColumn("status", F.lit("unverified"))
-    joined = values.join(caps.select(key, "cap"), key, "left")
+    # measured before the join, so that a caller that does not keep the values sends lengths instead of texts
+    joined = values.withColumn("_length", F.length(value)).join(caps.select(key, "cap"), key, "left")
     status = (
         F.when(F.col("cap").isNull(), "unverified")
-        .when(F.length(value) > F.col("cap"), "too_long")
+        .when(F.col("_length") > F.col("cap"), "too_long")
         .otherwise("ok")
     )
-    return joined.withColumn("status", status)
+    return joined.withColumn("status", status).drop("_length")
 
 
 def rows_by_role(df: DataFrame, role: str) -> DataFrame:

@@ -53,3 +53,8 @@ def test_hierarchies_are_dealt_to_as_many_tasks_as_rows_are_worth(spark, data, m
     monkeypatch.setattr(scale, "ROWS_A_TASK", 300)
     plan = plan_of(QUERIES["L5_hierarchy_rules"](spark, data))
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_length_caps_send_lengths_instead_of_texts(spark, data):
+    above_the_join = optimized(QUERIES["H24_length_caps"](spark, data)).split("Join")[0]
+    assert "_length" in above_the_join and "text#" not in above_the_join
