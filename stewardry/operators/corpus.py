@@ -309,7 +309,9 @@ def seed_scan(texts: DataFrame, text_id: str, text: str, needles: DataFrame) ->
     """
     low = texts.select(text_id, normalised(F.col(text)).alias("_low"))
     words = F.filter(F.split("_low", WORD_BREAK), lambda x: x != "")
-    marks = F.regexp_extract_all("_low", F.lit(r"([^\p{L}\p{N}])"), F.lit(1))
+    # all but letters, digits and blanks, one by one, and a blank
+    blank = F.when(F.contains("_low", F.lit(" ")), F.array(F.lit(" "))).otherwise(F.array().cast("array<string>"))
+    marks = F.concat(blank, F.regexp_extract_all(F.regexp_replace("_low", r"[\p{L}\p{N} ]+", ""), F.lit("(?s)(.)"), F.lit(1)))
     units = cut(low.select(text_id, F.array_distinct(F.concat(words, marks)).alias("_units")), "units")
     runs = F.filter(F.split("needle", WORD_BREAK), lambda x: x != "")
     longest = F.array_max(F.transform(runs, lambda x: F.struct(F.length(x).alias("n"), x.alias("run"))))
@@ -324,7 +326,7 @@ def seed_scan(texts: DataFrame, text_id: str, text: str, needles: DataFrame) ->
         .select("unit", "run")
     )
     met = units.select(text_id, F.explode("_units").alias("unit")).join(inside, "unit").select(text_id, "run").distinct()
-    hits = met.join(anchored, "run")
+    hits = cut(met.join(anchored, "run"), "hits")  # read twice below
     alone = F.col("needle") == F.col("run")
     gathered = hits.where(~alone).groupBy(text_id).agg(F.collect_set("needle").alias("_needles"))
     whole = gathered.join(low, text_id).select(

@@ -58,3 +58,13 @@ def test_hierarchies_are_dealt_to_as_many_tasks_as_rows_are_worth(spark, data, m
 def test_length_caps_send_lengths_instead_of_texts(spark, data):
     above_the_join = optimized(QUERIES["H24_length_caps"](spark, data)).split("Join")[0]
     assert "_length" in above_the_join and "text#" not in above_the_join
+
+
+def test_seed_hits_are_worked_out_once(spark, monkeypatch):
+    made = written(monkeypatch, corpus)
+    texts = spark.createDataFrame([(1, "a  b, c-d \U0001f600! x"), (2, "nothing"), (3, None)], "id long, text string")
+    needles = ["b, c", "\U0001f600", "\U0001f600!", "-", " ", "!", "oth", "?"]
+    hits = corpus.seed_scan(texts, "id", "text", spark.createDataFrame([(n,) for n in needles], "needle string"))
+    want = [(1, n) for n in needles if n in "a b, c-d \U0001f600! x"] + [(2, "oth")]
+    assert rows_of(hits) == sorted(want, key=str)
+    assert "hits" in made
