@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stewardry.scale import dealt, tasks_for
+from stewardry.scale import cut, dealt, tasks_for
 
 
 def _verdicts(per_doc: DataFrame, rules: Mapping[str, tuple[str, Column]]) -> DataFrame:
@@ -253,21 +253,36 @@ def missing_inverses(entities: DataFrame, relationships: DataFrame) -> DataFrame
     ).select("kind", "name", "identifier", "peer").distinct()
     bases = F.array_append(F.coalesce("inherit_from", F.array().cast("array<string>")), F.col("kind"))
     lineage = entities.select("kind", F.explode(bases).alias("base")).distinct()
-    # each forward relation lists the few places its inverse may connect, by a hash of all three, and looks them up
+    # the place of an inverse, by two hashes of all three; most stand right between the two kinds
+    places = lambda on, to: [F.xxhash64("identifier", on, to).alias("_p1"), F.xxhash64(to, on, "identifier").alias("_p2")]
+    declared = relationships.where(~F.col("rel_kind").isin("Parent", "Component")).select(
+        "identifier", F.col("kind").alias("on_kind"), F.col("peer").alias("to_kind")
+    )
+    rest = cut(
+        forward.select("*", *places("peer", "kind")).join(declared.select(*places("on_kind", "to_kind")), ["_p1", "_p2"], "left_anti").drop("_p1", "_p2"),
+        "without-direct-inverse",
+    )
+    # the others list the few places with a generic on either side; only relations of generics can stand there
     source = lineage.select("kind", F.col("base").alias("to_kind"))
     holder = lineage.select(F.col("kind").alias("peer"), F.col("base").alias("on_kind"))
-    place = [F.xxhash64("identifier", "on_kind", "to_kind").alias("_p1"), F.xxhash64("to_kind", "on_kind", "identifier").alias("_p2")]
-    places = (
-        forward.join(source, "kind", "left").join(holder, "peer", "left")
-        .withColumns({"to_kind": F.coalesce("to_kind", "kind"), "on_kind": F.coalesce("on_kind", "peer")})
-        .select("kind", "name", "identifier", "peer", *place)
+    generics = lineage.where(F.col("base") != F.col("kind")).select("base").distinct()
+    one = F.lit(True)
+    generic = cut(
+        declared.join(generics.select(F.col("base").alias("on_kind"), one.alias("_on")), "on_kind", "left")
+        .join(generics.select(F.col("base").alias("to_kind"), one.alias("_to")), "to_kind", "left")
+        .where(F.col("_on").isNotNull() | F.col("_to").isNotNull())
+        .select(*places("on_kind", "to_kind")).distinct(),
+        "generic-places",
     )
-    declared = (
-        relationships.where(~F.col("rel_kind").isin("Parent", "Component"))
-        .withColumnsRenamed({"kind": "on_kind", "peer": "to_kind"}).select(*place).distinct().withColumn("_found", F.lit(True))
+    kept = ["kind", "name", "identifier", "peer"]
+    found = (
+        rest.join(source, "kind", "left").join(holder, "peer", "left")
+        .withColumns({"to_kind": F.coalesce("to_kind", "kind"), "on_kind": F.coalesce("on_kind", "peer")})
+        .where((F.col("to_kind") != F.col("kind")) | (F.col("on_kind") != F.col("peer")))
+        .select(*kept, *places("on_kind", "to_kind"))
+        .join(generic, ["_p1", "_p2"], "left_semi").select(*kept)
     )
-    found = places.join(declared, ["_p1", "_p2"], "left").groupBy("kind", "name", "identifier", "peer").agg(F.bool_or("_found").alias("_found"))
-    return found.where(F.col("_found").isNull()).drop("_found")
+    return rest.join(found, kept, "left_anti")
 
 
 def unused_flags(flags: DataFrame, uses: DataFrame) -> DataFrame:

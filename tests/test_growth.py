@@ -68,3 +68,20 @@ def test_seed_hits_are_worked_out_once(spark, monkeypatch):
     want = [(1, n) for n in needles if n in "a b, c-d \U0001f600! x"] + [(2, "oth")]
     assert rows_of(hits) == sorted(want, key=str)
     assert "hits" in made
+
+
+def test_direct_inverses_list_no_places(spark, monkeypatch):
+    made = written(monkeypatch, dictionary)
+    kinds = spark.createDataFrame([("A", ["G"]), ("B", ["H"]), ("C", None), ("D", [])], "kind string, inherit_from array<string>")
+    relations = [
+        ("A", "a1", "B", "i1", "one"), ("B", "b1", "A", "i1", "many"),  # direct
+        ("A", "a2", "B", "i2", "one"), ("H", "h2", "A", "i2", "many"),  # on a generic of the peer
+        ("A", "a3", "B", "i3", "one"), ("B", "b3", "G", "i3", "many"),  # to a generic of the source
+        ("A", "a4", "B", "i4", "one"), ("H", "h4", "G", "i4", "many"),  # between generics
+        ("A", "a5", "B", "i5", "one"), ("H", "h5", "G", "i6", "many"),  # of another identifier
+        ("C", "c1", "D", "i7", "one"), ("E", "e1", "F", "i8", "one"), ("A", "a9", "F", "i9", "one"), ("F", "f9", "G", "i9", "many"),
+    ]
+    rows = spark.createDataFrame([(*r, "Attribute") for r in relations], "kind string, name string, peer string, identifier string, cardinality string, rel_kind string")
+    missing = dictionary.missing_inverses(kinds, rows)
+    assert [r[1] for r in rows_of(missing.select("kind", "name"))] == ["a5", "c1", "e1"]
+    assert "a1" not in {r["name"] for r in made["without-direct-inverse"].collect()}
