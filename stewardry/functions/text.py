@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -365,27 +365,45 @@ def exception_parts(block: Column, own_code: str) -> tuple[Column, Column, Colum
     )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out once per row, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def version_key(version: Column) -> Column:
     """A struct that sorts like the version: all its numbers, a release above its pre-releases, then the suffix number.
 
-    NULL for a text that does not start with a number (``v`` may stand before it).
+    NULL for a text that does not start with a number (``v`` may stand before it). Patterns of suffixes are tried on
+    versions that have one only.
     """
-    numbers = F.regexp_replace(F.regexp_extract(version, r"^v?(\d+(?:\.\d+)*)", 1), r"(\.0+)+$", "")
-    rest = F.lower(F.regexp_extract(version, r"^v?\d+(?:\.\d+)*(.*)$", 1))
-    parts = F.transform(F.split(numbers, r"\."), lambda x: x.try_cast("decimal(38,0)"))
-    later = (rest == "") | rest.rlike(r"^[.+-]?post|^\+")
-    key = F.struct(
-        parts.alias("numbers"), later.cast("int").alias("released"), rest.rlike(r"post").cast("int").alias("post"),
-        F.regexp_extract(rest, r"^[^0-9]*", 0).alias("stage"), F.regexp_extract(rest, r"(\d+)", 1).try_cast("bigint").alias("number"),
+    leading = F.regexp_extract(version, r"^v?(\d+(?:\.\d+)*)", 1)
+    suffix = lambda x: F.when(x["version"] == x["numbers"], "").otherwise(
+        F.lower(F.regexp_extract(x["version"], r"^v?\d+(?:\.\d+)*(.*)$", 1))
     )
-    return F.when(numbers != "", key)
+    short = lambda x: F.when(x.endswith("0"), F.regexp_replace(x, r"(\.0+)+$", "")).otherwise(x)
+
+    def key(x: Column) -> Column:
+        numbers, rest = x["numbers"], x["rest"]
+        parts = F.transform(F.split(numbers, r"\."), lambda n: n.try_cast("decimal(38,0)"))
+        later = (rest == "") | rest.rlike(r"^[.+-]?post|^\+")
+        made = F.struct(
+            parts.alias("numbers"), later.cast("int").alias("released"), ((rest != "") & rest.rlike(r"post")).cast("int").alias("post"),
+            F.when(rest == "", "").otherwise(F.regexp_extract(rest, r"^[^0-9]*", 0)).alias("stage"),
+            F.when(rest != "", F.regexp_extract(rest, r"(\d+)", 1).try_cast("bigint")).alias("number"),
+        )
+        return F.when(numbers != "", made)
+
+    read = F.struct(version.alias("version"), leading.alias("numbers"))
+    return _once(read, lambda x: _once(F.struct(short(x["numbers"]).alias("numbers"), suffix(x).alias("rest")), key))
 
 
 def fix_status(running: Column, fix: Column) -> Column:
     """``upgrade``, ``unconfirmed`` or ``undetermined``; an unreadable version is undetermined."""
-    have, want = version_key(running), version_key(fix)
-    return (
-        F.when(have.isNull() | want.isNull(), "undetermined").when(want > have, "upgrade").otherwise("unconfirmed")
+    keys = F.struct(version_key(running).alias("have"), version_key(fix).alias("want"))
+    return _once(
+        keys,
+        lambda x: F.when(x["have"].isNull() | x["want"].isNull(), "undetermined")
+        .when(x["want"] > x["have"], "upgrade").otherwise("unconfirmed"),
     )
 
 
