@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import hashlib
+import _hashlib
+import ctypes
 from collections.abc import Iterator, Mapping, Sequence
+from ctypes.util import find_library
+from itertools import pairwise
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stewardry.operators.checks import GateClosed, fail_closed
 from stewardry.operators.graph import dependency_levels
 from stewardry.operators.windows import load_order
+from stewardry.scale import cut, dealt, new_path, scratch
 
 # The envelope of an object document and the allowed artifact types.
 ENVELOPE = ("apiVersion", "kind", "spec.kind", "spec.data")
@@ -91,40 +96,102 @@ def envelope_problems(documents: DataFrame, document: str, keep: Sequence[str])
     return documents.select(*keep, F.explode(F.array_compact(F.array(*lacking, wrong))).alias("problem"))
 
 
+#: A task takes those splits of a file that begin within so many bytes; the hash goes on in the next round's task.
+BYTES_A_TASK = 64 << 20
+#: Files with these ends Spark's text reader unpacks, so that their own bytes come from the binary reader.
+PACKED = ("bz2", "deflate", "gz", "lz4", "snappy", "zst")
+PIECE = 8 << 10
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+STATES = "_path string, _size long, _bytes long, value binary, sha256 string"
+
+
 def file_digests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``_path``, ``sha256`` and ``bytes`` of files of any size.
 
-    Splits of a file are read by many tasks, as runs of bytes between line feeds; one task then takes them in order, a
-    batch at a time, as any SHA-256 must. The length tells whether the last line feed is one of the file's. Spark's readers
-    pass over empty files, which have no row.
+    Splits of a file are read by many tasks, as lines, and written as pieces of bytes. A SHA-256 must take them in order,
+    so it goes on in rounds: in each, one task takes about ``BYTES_A_TASK`` of a file, beginning with the state that the
+    round before has left. The pieces are removed at the end. A line is read by one task. The reader drops a byte order
+    mark, which the lengths tell, and it is put back. Packed files are read whole, which Spark refuses above 2 GB. Spark's
+    readers pass over empty files, and those of a byte order mark alone, which have no row.
     """
-    rows = spark.read.option("lineSep", "\n").text(list(paths)).select(
-        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"),
-        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("value"),
-    )
-    ordered = rows.repartition("_path").sortWithinPartitions("_path", "_start", "_id")
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            path, size, start, value = batch.columns
+            new = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(start[1:], start[:-1]))
+            for a, b in pairwise(sorted({0, *(k + 1 for k in pc.indices_nonzero(new).to_pylist()), batch.num_rows})):
+                data = pa.py_buffer(b"\n".join([*value[a:b].to_pylist(), b""]))
+                ends = pa.array([*range(0, data.size, PIECE), data.size], pa.int32())
+                cuts = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, ends.buffers()[1], data])
+                place = {"_path": path[a].as_py(), "_size": size[a].as_py(), "_start": start[a].as_py()}
+                own = {"_n": range(n, n + len(cuts)), "_bytes": pc.cast(pc.binary_length(cuts), pa.int64()), "value": cuts}
+                made = pa.RecordBatch.from_pydict({k: [v] * len(cuts) for k, v in place.items()} | own)
+                yield from (made.slice(k, 1000) for k in range(0, len(cuts), 1000))
+                n += len(cuts)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, size, seen, state = None, 0, 0, hashlib.sha256()
+        # the OpenSSL that hashlib uses; hashlib's own objects do not hand out their state, an SHA256_CTX of 112 bytes
+        openssl = ctypes.CDLL(getattr(_hashlib, "__file__", None) or find_library("crypto"))
+        path, size, seen, state = None, 0, 0, None
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"_path": [path], "sha256": [state.hexdigest()], "bytes": pa.array([size], pa.int64())})
+            kept, result = state.raw, ctypes.create_string_buffer(32)
+            openssl.SHA256_Final(result, state)
+            found = pa.array([result.raw.hex() if seen == size else None], pa.string())
+            return pa.RecordBatch.from_pydict({"_path": [path], "_size": [size], "_bytes": [seen], "value": [kept], "sha256": found})
 
         for batch in batches:
-            for name, length, value in zip(batch["_path"].to_pylist(), batch["_size"].to_pylist(), batch["value"], strict=True):
+            for name, length, start, _, taken, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if name != path:
                     if path is not None:
                         yield row()
-                    path, size, seen, state = name, length, 0, hashlib.sha256()
-                state.update(value.as_buffer())
-                seen += len(value.as_buffer())
-                if seen < size:
-                    state.update(b"\n")
-                    seen += 1
+                    path, size, seen, state = name, length, 0, ctypes.create_string_buffer(112)
+                    openssl.SHA256_Init(state)
+                if start < 0:
+                    seen, state = taken, ctypes.create_string_buffer(value, 112)
+                else:
+                    value = value[: size - seen]  # the last line may have had no line feed
+                    openssl.SHA256_Update(state, value, ctypes.c_size_t(len(value)))
+                    seen += len(value)
         if path is not None:
             yield row()
 
-    return ordered.mapInArrow(digest, "_path string, sha256 string, bytes long")
+    states = new_path(spark, "sha256-states")
+    packed = rf"(?i)\.({'|'.join(PACKED)})$"
+    lines = (
+        spark.read.option("lineSep", "\n").text(list(paths))
+        .select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"),
+                F.col("_metadata.file_block_start").alias("_start"), F.col("value").cast("binary").alias("value"))
+        .where(~F.col("_path").rlike(packed))
+    )
+    with scratch(spark):
+        kinds = "_path string, _size long, _start long, _n long, _bytes long, value binary"
+        pieces = cut(lines.mapInArrow(split, kinds), "pieces")
+        totals = pieces.groupBy("_path").agg(F.max("_size").alias("_size"), (F.max("_size") - F.sum("_bytes")).alias("_gap"))
+        fail_closed(totals.where(~F.col("_gap").isin(-1, 0, 2, 3)).select("_path"), "files whose lines do not add up to their size")
+        marks = totals.where("_gap >= 2").select(
+            "_path", "_size", F.lit(0).alias("_start"), F.lit(-1).alias("_n"), F.lit(3).alias("_bytes"), F.lit(BYTE_ORDER_MARK).alias("value")
+        )
+        part = F.floor(F.col("_start") / BYTES_A_TASK)
+        parts = sorted(pieces.groupBy(part.alias("_part")).agg(F.sum("_bytes").alias("_bytes")).collect()) or [(0, 0)]
+        for k, (number, size) in enumerate(parts):
+            first = number * BYTES_A_TASK
+            rows = pieces.where(F.col("_start").between(first, first + BYTES_A_TASK - 1))
+            if k == 0:
+                rows = rows.unionByName(marks)
+            else:
+                left = spark.read.schema(STATES).parquet(f"{states}/round={k - 1}").where("sha256 IS NULL")
+                rows = rows.unionByName(left.drop("sha256").withColumns({"_start": F.lit(-1), "_n": F.lit(-1)}))
+            taken = dealt(rows, ["_path"], -(-size // BYTES_A_TASK)).sortWithinPartitions("_path", "_start", "_n")
+            taken.mapInArrow(digest, STATES).write.parquet(f"{states}/round={k}")
+    done = spark.read.schema(STATES).parquet(states).where("sha256 IS NOT NULL")
+    ends = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in end) for end in PACKED]
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(ends)}}}").load(list(paths))
+    return done.select("_path", "sha256", F.col("_size").alias("bytes")).unionByName(
+        whole.where("length > 0").select(
+            F.col("_metadata.file_path").alias("_path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")
+        )
+    )
 
 
 def provenance(spark: SparkSession, paths: Sequence[str], *, format: str = "csv", header: bool = True) -> DataFrame:

@@ -1,5 +1,13 @@
 """Work and memory of one task that must not grow with the tables: plans, and what operators write on the way."""
 
+import bz2
+import gzip
+import hashlib
+import random
+from itertools import pairwise
+from pathlib import Path
+from urllib.parse import unquote
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +15,7 @@ from stewardry import scale
 from stewardry.functions import text
 from stewardry.operators import corpus, dictionary
 from stewardry.plans import QUERIES
+from stewardry.sources import sinks
 
 
 def plan_of(df) -> str:
@@ -99,3 +108,46 @@ def test_versions_are_read_once(spark):
             assert got[a, b] == ("upgrade" if j > i else "unconfirmed"), (a, b)
     assert {got[a, b] for a in ("", "x1", None) for b in versions} == {"undetermined"}
     assert got["1.2", "1.2.0"] == got["1.2.0", "1.2"] == got["1.0", "1"] == "unconfirmed"
+
+
+@pytest.fixture
+def short_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def digests(spark, folder, contents):
+    for name, content in contents.items():
+        (folder / name).write_bytes(content)
+    found = sinks.file_digests(spark, [str(folder)]).collect()
+    assert len(found) == len(contents)
+    assert {unquote(r["_path"]).rsplit("/", 1)[-1]: (r["sha256"], r["bytes"]) for r in found} == {
+        name: (hashlib.sha256(content).hexdigest(), len(content)) for name, content in contents.items()
+    }
+
+
+def test_a_digest_goes_on_from_task_to_task(spark, tmp_path, monkeypatch, short_splits):
+    made = []
+    monkeypatch.setattr(sinks, "new_path", lambda *a: made.append(scale.new_path(*a)) or made[-1], raising=False)
+    monkeypatch.setattr(sinks, "BYTES_A_TASK", 10_000, raising=False)
+    before = set(Path(scale.shared_dir(spark).removeprefix("file:")).glob("pieces-*"))
+    rng = random.Random(2)
+    # one line of the last runs over several rounds, in which the file has no bytes
+    contents = {"long": rng.randbytes(70_000), "short": b"a,b\n" * 100, "lines": b"x" * 15_000 + b"\n" + b"y" * 42_000 + b"\nz"}
+    digests(spark, tmp_path, contents)
+    states = spark.read.parquet(made[0]).where("_path LIKE '%/long'").orderBy("round").collect()
+    assert len(states) == 7 and all(b["_bytes"] - a["_bytes"] < 15_000 for a, b in pairwise(states))
+    assert [s["sha256"] for s in states[:-1]] == [None] * 6
+    assert set(Path(scale.shared_dir(spark).removeprefix("file:")).glob("pieces-*")) == before
+
+
+def test_digests_of_marked_and_packed_files(spark, tmp_path, monkeypatch, short_splits):
+    monkeypatch.setattr(sinks, "BYTES_A_TASK", 10_000, raising=False)
+    mark, rng = b"\xef\xbb\xbf", random.Random(3)
+    contents = {
+        "a.csv": mark + b"a,b\n1,2\n", "b.csv": mark + b"a,b\n1,2", "c.csv": mark + b"\n", "d.csv": mark * 2 + b"x\n", "e.csv": b"a\n" + mark + b"b",
+        "f g%20\u00e9.csv": mark + rng.randbytes(30_000),
+        "h.csv.gz": gzip.compress(b"a,b\n1,2\n" * 99), "i.csv.bz2": bz2.compress(b"a,b\n" * 9), "j.GZ": b"not packed\n", "k.snappy": b"not packed",
+    }
+    digests(spark, tmp_path, contents)
