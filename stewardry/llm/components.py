@@ -19,7 +19,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("_a").alias("a"), F.col("m").alias("b")))
+        out = met.select(F.explode(F.array("b", "_a")).alias("a"), F.col("m").alias("b"))
     return out.where("a <> b").distinct()
 
 

@@ -110,7 +110,7 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a pivot ``a``, a member ``b``) that are similar, from the full sets.
 
     A pivot's members come to it in chunks, each with a copy of the pivot's set in front; a task holds the pivot's
-    set and streams the members.
+    set and streams the members. The pairs are read three times and should be written.
     """
     chunks = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     members = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b")
@@ -151,11 +151,11 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """
     by = members.groupBy("g", "component").agg(F.count("*").alias("n"))
     largest = by.groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    sized = members.join(largest, "g").select(
+    sized = cut(members.join(largest, "g").select(
         "g", "sid", "component", (F.col("component") != F.col("main")).alias("outside"),
         F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"),
         F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("out_blocks"),
-    ).where("out_blocks > 0")
+    ).where("out_blocks > 0"), "sized")
     block = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = sized.where("outside").select("g", block("out_blocks").alias("x"), each("all_blocks").alias("y"), "sid", "component", F.lit(0).alias("side"))
@@ -220,6 +220,9 @@ def near_duplicates(
 
     Rows are linked if their sets of ``size``-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
     ``component_id`` is the least ``doc_id`` reachable, and a row is kept if that is its own.
+
+    What a later step reads more than once is written first, so that no plan holds the steps before it several times:
+    the driver's memory goes with the exchanges of a plan, all of which it starts at once, and their partitions.
     """
     rows = cut(sketches(docs, size, bands, permutations), "sketches")
     sets = rows.where("sid IS NOT NULL").groupBy("sid").agg(
@@ -237,15 +240,15 @@ def near_duplicates(
     full = cut(_sets_of(docs, met.select("_k1", "_k2", "sid").distinct(), size), "shingle-sets")
     pairs = met.where("sid <> pivot").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b"), "pivot").groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
     stars = pairs.select(F.col("pivot").alias("a"), F.when(F.col("a") == F.col("pivot"), F.col("b")).otherwise(F.col("a")).alias("b"))
-    links = cut(_star_links(stars, full, percent), "links")
+    links = cut(_star_links(cut(stars, "stars"), full, percent), "links")
 
     # what a pivot has not settled: buckets of three or more with members of different components
-    first = components(links)
+    first = cut(components(links), "components")
     placed = met.where("n > 2").join(first, met["sid"] == first["node"], "left").select(
         "key", "n", "pivot", "sid", F.coalesce("component", "sid").alias("component")
     )
     mixed_buckets = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("key")
-    open_rows = cut(placed.join(mixed_buckets, "key"), "open-buckets")
+    open_rows = cut(placed.join(cut(mixed_buckets, "mixed-buckets"), "key"), "open-buckets")
     small = open_rows.where((F.col("n") <= SMALL) & (F.col("sid") != F.col("pivot"))).select("key", "sid", "component")
     other = small.select("key", F.col("sid").alias("b"), F.col("component").alias("_c"))
     across = small.withColumnRenamed("sid", "a").join(other, "key").where("a < b AND component <> _c").select("a", "b").distinct()
@@ -254,14 +257,15 @@ def near_duplicates(
     members = large.select("sid", "component").distinct().join(
         groups.select(F.col("node").alias("sid"), F.col("component").alias("g")), "sid"
     )
-    more = _star_links(across, full, percent).unionByName(_block_links(members, full, percent))
-    final = components(links.unionByName(cut(more, "links")))
+    within = cut(_star_links(cut(across, "across"), full, percent), "links")
+    beyond = cut(_block_links(cut(members, "members"), full, percent), "links")
+    final = components(links.unionByName(within).unionByName(beyond))
 
     named = cut(sets.select("sid", "least_id"), "named").join(final, F.col("sid") == F.col("node"), "left").select(
         "sid", "least_id", F.coalesce("component", "sid").alias("component")
     )
     ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_set = named.join(ids, "component").select(F.col("sid").alias("_sid"), "component_id", F.col("component").alias("group"))
+    by_set = cut(named.join(ids, "component").select(F.col("sid").alias("_sid"), "component_id", F.col("component").alias("group")), "groups")
     out = rows.join(by_set, rows["sid"] == by_set["_sid"], "left")
     component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(

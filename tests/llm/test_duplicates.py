@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from stewardry import scale
 from stewardry.llm import common, debruijn, minmax
 from stewardry.llm.components import components
 from tests.llm.conftest import invented, rows
@@ -61,6 +62,19 @@ def test_large_groups_lose_no_link(spark, n, monkeypatch):
     assert got_components(spark.createDataFrame(data, "doc_id long, text string"), 2) == plain_components(data, 2)
 
 
+def test_no_plan_holds_the_steps_before_it_again(spark, monkeypatch):
+    exchanges = []
+
+    def planned(df):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return df
+
+    for module in ("minmax", "components"):
+        monkeypatch.setattr(f"stewardry.llm.{module}.cut", lambda df, label="cut": scale.cut(planned(df), label))
+    planned(minmax.near_duplicates(spark.createDataFrame(near_group(30), "doc_id long, text string"), 2))
+    assert len(exchanges) > 10 and max(exchanges) <= 10
+
+
 def test_one_row_of_each_group_stays(odd):
     got = minmax.clean(odd)
     assert got.columns == odd.columns
