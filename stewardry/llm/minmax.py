@@ -151,16 +151,17 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """
     by = members.groupBy("g", "component").agg(F.count("*").alias("n"))
     largest = by.groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    sized = cut(members.join(largest, "g").select(
+    sized = members.join(largest, "g").select(
         "g", "sid", "component", (F.col("component") != F.col("main")).alias("outside"),
         F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"),
         F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("out_blocks"),
-    ).where("out_blocks > 0"), "sized")
+    ).where("out_blocks > 0")
     block = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = sized.where("outside").select("g", block("out_blocks").alias("x"), each("all_blocks").alias("y"), "sid", "component", F.lit(0).alias("side"))
     right = sized.select("g", each("out_blocks").alias("x"), block("all_blocks").alias("y"), "sid", "component", F.lit(1).alias("side"))
-    cells = left.unionByName(right).join(sets, "sid").repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "side", "sid")
+    # a plan takes exploded rows for as few as those they come from, and would send them through the driver
+    cells = left.unionByName(right).hint("merge").join(sets, "sid").repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "side", "sid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, queries, rows = None, [], []
